@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import classes
+
+    return classes(read_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -28,5 +34,5 @@ def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_bpe_codec, op8_virtual_slots)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op4_bpe_codec, op8_virtual_slots)}
 ORACLES: dict[str, str] = {}
