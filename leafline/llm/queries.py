@@ -69,6 +69,12 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 FROM m"""
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import findings
+
+    return findings(read_table(spark, sf_dir, "documents"))
+
+
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import assign, first_map, grown, sized
 
@@ -83,5 +89,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op3_exact_topk, op4_bpe_codec, op5_toxicity, op6_warc, op8_virtual_slots, op9_quality)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import overlaps
+
+    return overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op3_exact_topk, op4_bpe_codec, op5_toxicity, op6_warc, op7_pii, op8_virtual_slots, op9_quality, op10_decontamination)}
 ORACLES: dict[str, str] = {"op3_exact_topk": OP3_SQL, "op6_warc": OP6_SQL}
