@@ -1,4 +1,19 @@
-"""Every registered query and its SQL."""
+"""Every registered query of the library's own operators, and its SQL."""
+
+from __future__ import annotations
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+from . import documents, tables  # noqa: E402, F401
