@@ -51,10 +51,10 @@ def p90_gap(spark, sf_dir):
     return ranked.where("r = floor(0.9 * (n - 1)) + 1").select("user_id", F.col("gap").alias("p90"))
 
 
-@query(f"SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events")
+@query(f"SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), -1) AS carried FROM events")
 def carry_forward(spark, sf_dir):
     rows = _events(spark, sf_dir).withColumn("mark", F.when(F.col("event_type") == "purchase", F.col("event_id")))
-    return carried_forward(rows, USER, TIME, "mark", "carried").select("event_id", "carried")
+    return carried_forward(rows, USER, TIME, "mark", "carried").select("event_id", F.coalesce("carried", F.lit(-1).cast("long")).alias("carried"))
 
 
 @query(f"WITH N AS (SELECT *, row_number() OVER {W} AS place, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER {W} THEN 1 ELSE 0 END AS c FROM events), B AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM N) SELECT user_id, event_type, min(place)::INT AS start_at, max(place)::INT AS end_at, count(*) AS n FROM B GROUP BY user_id, b, event_type")
