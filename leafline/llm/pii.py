@@ -88,25 +88,32 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """id, key, entity, context and term: each term near each span."""
-    spans = found.where(F.size("spans") > 0).select("id", "key", "text", F.explode("spans").alias("s"))
-    left = "substring_index(right(substring(text, 1, s.start), 60), '\n', -1)"
-    right = "substring_index(substring(text, s.end + 1, 60), '\n', 1)"
-    near = spans.select("id", "key", F.expr(_value("s")).alias("entity"), F.expr(f"concat({left}, ' ', {right})".replace("60", str(NEAR))).alias("near"))
-    return near.select("id", "key", "entity", F.xxhash64("near").alias("context"), F.array_distinct(words(F.col("near"))).alias("terms"))
+def near_spans() -> Column:
+    """entity and near for each span: its value and the text around it, in its line."""
+    left = f"substring_index(right(substring(text, 1, s.start), {NEAR}), '\\n', -1)"
+    right = f"substring_index(substring(text, s.end + 1, {NEAR}), '\\n', 1)"
+    return F.expr(f"transform(spans, s -> named_struct('entity', {_value('s')}, 'near', concat({left}, ' ', {right})))")
+
+
+def contexts(every: DataFrame) -> DataFrame:
+    """entity, context and terms: those near each span."""
+    near = every.select(F.explode("near").alias("x")).select("x.entity", "x.near")
+    return near.select("entity", F.xxhash64("near").alias("context"), F.array_distinct(words(F.col("near"))).alias("terms"))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, key (of the text) and spans, base ones and terms, in order; a term's
-    value is the empty string when it is to be removed."""
+    """id, key (of the text) and spans of every row, base ones and terms, in order;
+    a term's value is the empty string when it is to be removed. Base spans are
+    found in one pass and settled before anything filters on them: a filter above
+    would be pushed below and find them again for each mention."""
     found = base_spans(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
-    held = settled(found.where(F.size("spans") > 0).select("id", "key", "spans"))
-    near = settled(contexts(found))
-    pairs = near.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+    every = settled(found.select("id", "key", "spans", near_spans().alias("near")))
+    held = every.where(F.size("spans") > 0).select("id", "key", "spans")
+    whole = every.select("id", "key", "spans")
+    pairs = contexts(every).select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     pairs = settled(pairs.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_et")).where(F.col("contexts") >= CONTEXTS))
     if pairs.isEmpty():
-        return held
+        return whole
     terms = pairs.select("term").distinct()
     if terms.count() <= BROADCAST_ROWS:
         terms = F.broadcast(terms)
@@ -119,16 +126,17 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     share = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(total)) / F.col("n_e"))
     told = settled(told.where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") >= DISCLOSES).select("entity", "term", "share"))
     if told.isEmpty():
-        return held
+        return whole
+    same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.key") == F.col("b.key"))
     risky = values.join(told, "entity").groupBy("id", "key", "term").agg(F.max("share").alias("share"))
     risky = risky.groupBy("id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("risk"))
-    texts = found.select("id", "key", "text").join(F.broadcast(risky) if risky.count() <= BROADCAST_ROWS // 20 else risky, ["id", "key"]).dropDuplicates(["id", "key"])
+    texts = found.select("id", "key", "text").alias("a").join((F.broadcast(risky) if risky.count() <= BROADCAST_ROWS // 20 else risky).alias("b"), same).select("a.id", "a.key", "text", "risk").dropDuplicates(["id", "key"])
     rank = len(KINDS)
     marked = texts.select("id", "key", "risk", _marked("text", r"(?<!\p{L})\p{L}{4,}+").alias("p_term"))
     term_spans = marked.select("id", "key", "risk", F.expr(_spans(rank, "term", "map_contains_key(risk, lower(substring_index(p, '\x02', 1)))", "p_term")).alias("more"))
     term_spans = term_spans.select("id", "key", F.expr(f"transform(more, s -> named_struct('start', s.start, 'rank', s.rank, 'kind', s.kind, 'end', s.end, 'value', if(risk[lower(s.value)] >= {REMOVES}, '', s.value)))").alias("more"))
-    both = held.join(term_spans, ["id", "key"], "left")
-    return both.select("id", "key", F.array_sort(F.concat("spans", F.coalesce("more", F.expr(f"cast(array() as array<{SPAN}>)")))).alias("spans"))
+    both = whole.alias("a").join(term_spans.alias("b"), same, "left")
+    return both.select("a.id", "a.key", F.array_sort(F.concat("spans", F.coalesce("more", F.expr(f"cast(array() as array<{SPAN}>)")))).alias("spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -137,10 +145,7 @@ def _listed(spans: Column) -> Column:
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, counts of base spans, base_sha256 and spans of every row."""
-    every = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.translate(F.coalesce(F.col(text_col), F.lit("")), OPEN + CLOSE, OTHER + OTHER)).alias("key"))
-    with_spans = spans(docs, id_col, text_col).dropDuplicates(["id", "key"])
-    nothing = F.expr(f"cast(array() as array<{SPAN}>)")
-    rows = every.alias("a").join(with_spans.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.key") == F.col("b.key")), "left").select("a.id", F.coalesce("b.spans", nothing).alias("spans"))
+    rows = spans(docs, id_col, text_col)
     base = F.filter("spans", lambda s: s["kind"] != "term")
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in KINDS]
     return rows.select(F.col("id").alias(id_col), *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
@@ -151,7 +156,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     a term is to be removed; of overlapping spans the first counts. chars_col, if
     there is one, follows the text."""
     key = F.xxhash64(F.translate(F.coalesce(F.col(text_col), F.lit("")), OPEN + CLOSE, OTHER + OTHER))
-    with_spans = spans(docs, id_col, text_col).dropDuplicates(["id", "key"]).select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
+    with_spans = settled(spans(docs, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["id", "key"])).select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
     if with_spans.count() <= BROADCAST_ROWS // 20:
         with_spans = F.broadcast(with_spans)
     rows = docs.withColumn("_at", key).join(with_spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_key")), "left")
