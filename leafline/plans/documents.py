@@ -85,9 +85,8 @@ def _pairs(spark, sf_dir, split):
 
 @query()
 def block_alignment(spark, sf_dir):
-    """Sentences of neighbouring documents, aligned by similarity."""
-    pairs = _pairs(spark, sf_dir, F.transform(F.split("text", "\n"), lambda x: F.substring(x, 1, 60)))
-    return align.block_alignment(pairs.where((F.size("a") <= 40) & (F.size("b") <= 40)))
+    """Lines of neighbouring documents, whole, aligned by similarity."""
+    return align.block_alignment(_pairs(spark, sf_dir, F.split("text", "\n")))
 
 
 @query()
@@ -100,8 +99,7 @@ def align_ranges(spark, sf_dir):
 
 @query()
 def token_diff(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir, F.split(T.collapse_blanks(F.col("text")), " "))
-    return align.token_diff(pairs.where((F.size("a") <= 400) & (F.size("b") <= 400)))
+    return align.token_diff(_pairs(spark, sf_dir, F.split(T.collapse_blanks(F.col("text")), " ")))
 
 
 @query()

@@ -63,12 +63,17 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_similarities_equal_the_plain_edit_distance():
+def test_distances_equal_the_plain_edit_distance():
     rng = random.Random(1)
     words = ["".join(rng.choices("abç", k=rng.randrange(9))) for _ in range(30)]
-    for a in words[:8]:
-        got = align.similarities(a, words)
-        assert [round(x, 9) for x in got] == [round(1 - edit_distance(a, b) / max(1, len(a), len(b)), 9) for b in words]
+    words += ["".join(rng.choices("ab c", k=150)), "".join(rng.choices("ab c", k=90))]
+    for a in words[:8] + words[-2:]:
+        assert align.distances(a, words) == [edit_distance(a, b) for b in words]
+
+
+def test_similarities():
+    assert align.similarities("", ["", "a"]) == [1, 0] and align.similarities("abcd", [""]) == [0]
+    assert [round(x, 9) for x in align.similarities("abcd", ["abcd", "abcx", "ab"])] == [1, 0.7 * 0.75 + 0.3, 0.5]
 
 
 def test_alignment_and_diff(spark):
