@@ -9,14 +9,20 @@ each coordinate keeps its earliest dart. Two texts agree in a coordinate with
 the probability of their weighted Jaccard similarity. Texts that agree in a whole band meet in a
 bucket.
 
-In a bucket, members are compared with its most central members (those whose
-bands meet most texts), one from each hashed part of the bucket, never all with
-all. A first round takes two parts and links each text with the member that shares
+In a bucket, members are first compared with its most central members (those whose
+bands meet most texts), one from each hashed part of the bucket. A first round
+takes two parts and links each text with the member that shares
 most buckets with it; a second one takes sixteen parts of the buckets that still hold several classes,
-and pairs across classes only. Pairs whose signatures agree enough are verified
+and pairs across classes only. A last round takes the buckets that still hold
+several classes and have members that led no part: all their pairs across classes
+are compared, each in the first bucket that both texts share, in blocks of
+bounded size. So every two texts that share a bucket are compared or are in one
+class already. Pairs whose signatures agree enough are verified
 on the exact weighted shingle sets. Linked texts form a class.
 
-Figures: a pair of similarity 0.8 shares no band with probability 7e-5.
+Figures: a pair of similarity 0.8 shares no band with probability 7e-5. The last
+round grows with the square of the texts that share a bucket and stay in different
+classes; those of one class are not compared with each other.
 
 Defined cases: texts with the same words are copies; texts under five words are
 one shingle; null counts as empty; texts without words are copies if equal;
@@ -43,6 +49,8 @@ SIMILARITY = 0.8
 #: Pairs whose signatures agree less are not verified: 3.8 deviations below 0.8.
 AGREEMENT = 0.66
 PARTS = 16
+#: Texts and units (16 MB) of a block of the last round; two blocks meet in a task's memory.
+BLOCK_TEXTS, BLOCK_UNITS = 1024, 1 << 22
 #: A broadcast list of ids has at most so many (16 MB); beyond it is a shuffled join.
 BROADCAST_IDS = 2_000_000
 _STEP, _PLACE, _ID = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03), U64(0x8CB92BA72F3D8DD7)
@@ -217,15 +225,77 @@ def candidates(rows: DataFrame, texts: DataFrame, parts: int, closest: bool = Fa
     return settled(pairs.mapInArrow(_compare, "a long, b long"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose exact similarity is high enough; texts are read again for
-    the documents that pairs name."""
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+def _across(root: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """(index, indexes) that cover once all pairs of left and right, or of left
+    alone if that is right, with different roots; never those in the most frequent root."""
+    both = left if left is right else np.concatenate([left, right])
+    names, counts = np.unique(root[both], return_counts=True)
+    largest = names[counts.argmax()]
+    rest = left[root[left] != largest]
+    if left is right:
+        others = np.concatenate([rest, left[root[left] == largest]])
+        for at, i in enumerate(rest):
+            yield i, others[at + 1 :][root[others[at + 1 :]] != root[i]]
+        return
+    for i in rest:
+        yield i, right[root[right] != root[i]]
+    held = left[root[left] == largest]
+    for j in right[root[right] != largest] if len(held) else ():
+        yield j, held
+
+
+def _linked(group: pa.Table) -> pa.Table:
+    """(a, b) of one meeting of blocks i <= j of a band's bucket: pairs of different
+    roots that are similar and share no earlier bucket."""
+    n = group.num_rows
+    key, root, block = (group.column(c).to_numpy() for c in ("key", "root", "block"))
+    signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(n, K)
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(n, BANDS)
+    units = [x.values.to_numpy(zero_copy_only=False) for x in group.column("units")]
+    first = int(np.flatnonzero(bands[0] == group.column("band")[0].as_py())[0])
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    left = np.flatnonzero(block == i)
+    right = left if i == j else np.flatnonzero(block == j)
+    out = []
+    for x, ys in _across(root, left, right):
+        ys = ys[(signature[ys] == signature[x]).mean(axis=1) >= AGREEMENT]
+        ys = ys[~(bands[ys, :first] == bands[x, :first]).any(axis=1)]
+        out += [(key[x], key[y]) for y in ys if jaccard(units[x], units[y]) >= SIMILARITY]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs.min(axis=1) if out else pairs[:, 0], "b": pairs.max(axis=1) if out else pairs[:, 1]})
+
+
+def remaining(rows: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): the similar pairs across classes in those buckets of
+    rows(band, key, root) where a member led none of the second round's parts."""
+    part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
+    left = rows.groupBy("band").agg(F.count("*").alias("n"), F.countDistinct(part).alias("parts"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high and n > parts").select("band")
+    left = settled(rows.join(left, "band").select("band", "key", "root"))
+    sets = settled(unit_sets(left.select("key").distinct(), texts, docs, id_col, text_col))
+    sized = left.join(sets.select("key", F.size("units").alias("units")), "key")
+    cut = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("units") / BLOCK_UNITS)).cast("int")
+    blocks = sized.groupBy("band").agg(cut.alias("blocks"))
+    met = left.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root")
+    held = sets.join(texts.select("key", "bands", "signature"), "key")
+    return settled(met.join(held, "key").groupBy("band", "i", "j").applyInArrow(_linked, "a long, b long"))
+
+
+def unit_sets(needed: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, units) of the keys needed, each once; texts are read again."""
     needed = texts.join(needed, "key").select("key", F.col("first").alias(id_col))
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
     chosen = docs.select(id_col, text_col).join(needed, id_col).select("key", text_col)
-    sets = settled(shingle_sets(chosen, text_col).dropDuplicates(["key"]))
+    return shingle_sets(chosen, text_col).dropDuplicates(["key"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose exact similarity is high enough; texts are read again for
+    the documents that pairs name."""
+    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    sets = settled(unit_sets(needed, texts, docs, id_col, text_col))
     both = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("units").alias("ua")), "a").join(sets.select(F.col("key").alias("b"), F.col("units").alias("ub")), "b")
     return settled(both.select("a", "b", "ua", "ub").mapInArrow(_verify, "a long, b long"))
 
@@ -244,6 +314,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = candidates(settled(rows.join(mixed, "band")), texts, PARTS)
     links = verified(pairs, texts, docs, id_col, text_col).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = settled(components(links))
+    # last, in buckets that still do and had members without a part of their own, all pairs across classes
+    rows = rows.drop("root").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    links = remaining(rows, texts, docs, id_col, text_col)
+    if not links.isEmpty():
+        roots = settled(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
     named = texts.select("key", "first").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("first").alias("class_id"))
     named = named.join(least, "root").select("key", "class_id")
