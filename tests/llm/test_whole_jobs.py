@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from leafline.llm import near_dedup
+from leafline.llm import near_dedup, toxicity
+from leafline.llm.common import U64, mix, word_spans
 
 
 def template_family(couples, seed=11):
@@ -42,3 +43,20 @@ def test_near_duplicates_in_a_template_family(spark):
     got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert sum(got[b] != a for a, b in want) == 0
     assert all(got[a] == a for a, _ in want)
+
+
+def test_toxicity_keeps_words_that_shared_a_place(spark):
+    """Evidence does not depend on how words are spelt: no word takes another's place."""
+    names = [f"w{i}x" for i in range(5000)]
+    slot = mix(word_spans(names)[0] >> U64(32)) >> U64(64 - 20)
+    first = {}
+    rare, common = next((n, names[first[s]]) for i, (n, s) in enumerate(zip(names, slot.tolist(), strict=True)) if first.setdefault(s, i) != i)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["a", "b", "c", "d", common], k=20) + [rare] * (i % 10 == 0)) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(200)], "doc_id long, toxic int")
+    found = []
+    for other in (common, "elsewhere"):
+        renamed = [t.replace(common, other) for t in texts]
+        models, _ = toxicity.fit(spark.createDataFrame(list(enumerate(renamed)), "doc_id long, text string"), labels)
+        found.append(models.value.evidence(renamed))
+    assert np.allclose(*found)
