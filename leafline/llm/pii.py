@@ -5,13 +5,13 @@ Base spans (e-mail, IP, card and phone numbers) come from patterns: each match i
 marked in a copy of the text, the copy is split at the marks, and the lengths of
 the pieces give code-point offsets.
 
-Terms near a base span (words of four letters or more within sixty characters of
-it, in its line) may reveal the protected value although no pattern knows them.
+Terms near a base span (runs of letters or digits, whole within sixty characters
+of it, in any line) may reveal the protected value although no pattern knows them.
 The corpus tells how strongly: with n(e), n(t) and n(e,t) the numbers of texts
 that hold value e, term t, and t near e, of N texts, the term discloses the share
 PMI / IC = log(N n(e,t) / (n(e) n(t))) / log(N / n(e)) of the information in e.
-From ``DISCLOSES`` on, given at least two different contexts (copies of one text
-are one context), the term's occurrences in texts with that value are spans too:
+From ``DISCLOSES`` on, given at least two different texts (copies of one text
+count once), the term's occurrences in texts with that value are spans too:
 generalised, or removed from ``REMOVES`` on.
 
 Defined cases: null counts as empty; spans are start (inclusive) and end
@@ -85,20 +85,21 @@ def _value(span: str) -> str:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 4)
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
 
 
 def near_spans() -> Column:
-    """entity and near for each span: its value and the text around it, in its line."""
-    left = f"substring_index(right(substring(text, 1, s.start), {NEAR}), '\\n', -1)"
-    right = f"substring_index(substring(text, s.end + 1, {NEAR}), '\\n', 1)"
+    """entity and near for each span: its value and the text around it,
+    without words that go beyond."""
+    left = f"regexp_replace(right(concat(' ', substring(text, 1, s.start)), {NEAR + 1}), '^[\\\\p{{L}}\\\\p{{N}}]+', '')"
+    right = f"regexp_replace(substring(concat(substring(text, s.end + 1, {NEAR + 1}), ' '), 1, {NEAR + 1}), '[\\\\p{{L}}\\\\p{{N}}]++$', '')"
     return F.expr(f"transform(spans, s -> named_struct('entity', {_value('s')}, 'near', concat({left}, ' ', {right})))")
 
 
 def contexts(every: DataFrame) -> DataFrame:
-    """entity, context and terms: those near each span."""
-    near = every.select(F.explode("near").alias("x")).select("x.entity", "x.near")
-    return near.select("entity", F.xxhash64("near").alias("context"), F.array_distinct(words(F.col("near"))).alias("terms"))
+    """entity, context (the key of the text), id and terms: those near each span."""
+    near = every.select("id", "key", F.explode("near").alias("x")).select("id", "key", "x.entity", "x.near")
+    return near.select("id", "entity", F.col("key").alias("context"), F.array_distinct(words(F.col("near"))).alias("terms"))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,7 +111,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     every = settled(found.select("id", "key", "spans", near_spans().alias("near")))
     held = every.where(F.size("spans") > 0).select("id", "key", "spans")
     whole = every.select("id", "key", "spans")
-    pairs = contexts(every).select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+    pairs = contexts(every).select("id", "entity", "context", F.explode("terms").alias("term")).distinct().groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     pairs = settled(pairs.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_et")).where(F.col("contexts") >= CONTEXTS))
     if pairs.isEmpty():
         return whole
@@ -132,7 +133,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     risky = risky.groupBy("id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("risk"))
     texts = found.select("id", "key", "text").alias("a").join((F.broadcast(risky) if risky.count() <= BROADCAST_ROWS // 20 else risky).alias("b"), same).select("a.id", "a.key", "text", "risk").dropDuplicates(["id", "key"])
     rank = len(KINDS)
-    marked = texts.select("id", "key", "risk", _marked("text", r"(?<!\p{L})\p{L}{4,}+").alias("p_term"))
+    marked = texts.select("id", "key", "risk", _marked("text", r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++").alias("p_term"))
     term_spans = marked.select("id", "key", "risk", F.expr(_spans(rank, "term", "map_contains_key(risk, lower(substring_index(p, '\x02', 1)))", "p_term")).alias("more"))
     term_spans = term_spans.select("id", "key", F.expr(f"transform(more, s -> named_struct('start', s.start, 'rank', s.rank, 'kind', s.kind, 'end', s.end, 'value', if(risk[lower(s.value)] >= {REMOVES}, '', s.value)))").alias("more"))
     both = whole.alias("a").join(term_spans.alias("b"), same, "left")
