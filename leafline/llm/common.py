@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_CHARS = 1 << 19
-#: Rows of an Arrow batch; texts of 100 kB then take 50 MB at most.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch; one longer text makes a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
 U64 = np.uint64
 
 
@@ -45,8 +45,10 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that the kernels get."""
+    """Bounds the Arrow batches that the kernels get, in rows and bytes. The
+    session keeps the setting, as plans read it when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -9,25 +9,25 @@ each coordinate keeps its earliest dart. Two texts agree in a coordinate with
 the probability of their weighted Jaccard similarity. Texts that agree in a whole band meet in a
 bucket.
 
-In a bucket, members are first compared with its most central members (those whose
-bands meet most texts), one from each hashed part of the bucket. A first round
-takes two parts and links each text with the member that shares
-most buckets with it; a second one takes sixteen parts of the buckets that still hold several classes,
-and pairs across classes only. A last round takes the buckets that still hold
-several classes and have members that led no part: all their pairs across classes
-are compared, each in the first bucket that both texts share, in blocks of
-bounded size. So every two texts that share a bucket are compared or are in one
-class already. Pairs whose signatures agree enough are verified
-on the exact weighted shingle sets. Linked texts form a class.
-
-Figures: a pair of similarity 0.8 shares no band with probability 7e-5. The last
-round grows with the square of the texts that share a bucket and stay in different
-classes; those of one class are not compared with each other.
+Each text first picks the largest of its buckets and is compared with one member
+that picked the same: that whose own buckets hold most texts. What is linked so
+far forms classes. Then, in every bucket that holds several classes, all pairs
+across classes are compared, each pair in the first bucket that both texts share,
+in blocks of bounded size; a pair that the block has linked already by way of
+others is skipped, as it could add no link between classes. So every two texts
+that share a bucket are compared or are in one class anyway, whatever the size of
+the bucket. Pairs whose signatures agree enough are verified on the exact
+weighted shingle sets. Linked texts form a class.
+
+Figures: a pair of similarity 0.8 shares no band with probability 7e-5. Before any
+join on bands there is one row a text; the second step grows with the square of
+the texts that share a bucket and stay in different classes, those of one class
+are not compared with each other.
 
 Defined cases: texts with the same words are copies; texts under five words are
 one shingle; null counts as empty; texts without words are copies if equal;
-repeated rows are copies; an empty table gives no rows; other columns are
-ignored (kept by ``deduplicated``).
+repeated rows are copies; an empty table gives no rows; other columns, whatever
+their names, are ignored (kept by ``deduplicated``).
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, mix, settled, small_batches, span_hashes, code_points, word_spans
-from .graph import components
+from .common import U64, chunks, code_points, mix, settled, small_batches, span_hashes, word_spans
+from .graph import components, dealt_anew
 
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
@@ -48,8 +48,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Pairs whose signatures agree less are not verified: 3.8 deviations below 0.8.
 AGREEMENT = 0.66
-PARTS = 16
-#: Texts and units (16 MB) of a block of the last round; two blocks meet in a task's memory.
+#: Texts and units (16 MB) of a block; two blocks meet in a task's memory.
 BLOCK_TEXTS, BLOCK_UNITS = 1024, 1 << 22
 #: A broadcast list of ids has at most so many (16 MB); beyond it is a shuffled join.
 BROADCAST_IDS = 2_000_000
@@ -132,14 +131,15 @@ def _texts(column) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (equal for copies), bands (hashes) and signature (a byte for each coordinate)."""
+def signed(docs: DataFrame) -> DataFrame:
+    """docs(id, text) -> id, key (equal for copies), size (units), bands (hashes)
+    and signature (a byte for each coordinate)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             texts = _texts(batch.column(1))
-            keys, bands, bytes_ = [], [], []
+            keys, sizes, bands, bytes_ = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [], []
             for a, b in chunks(texts):
                 units, of, whole = weighted_shingles(texts[a:b])
                 sig = signatures(units, of, b - a)
@@ -148,188 +148,215 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     for i in range(ROWS):
                         band = mix(band * _STEP + sig[:, i::ROWS])
                     band = band * U64(32) + np.arange(BANDS, dtype=U64)
-                keys.append(whole.view(np.int64))
+                keys.append(whole)
+                sizes.append(np.bincount(of, minlength=b - a))
                 bands += list(band.view(np.int64))
                 bytes_ += [row.tobytes() for row in (sig & U64(255)).astype(np.uint8)]
-                for i in np.flatnonzero(np.bincount(of, minlength=b - a) == 0):
+                for i in np.flatnonzero(sizes[-1] == 0):
                     bands[a + i] = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(keys)), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())], [id_col, "key", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())], ["id", "key", "size", "bands", "signature"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, key long, bands array<long>, signature binary")
+    return docs.select("id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, key long, size long, bands array<long>, signature binary")
 
 
-def shingle_sets(docs: DataFrame, text_col: str) -> DataFrame:
-    """key and its units, cut to 32 bits and sorted."""
+def unit_sets(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """needed(key, first), docs(id, text) -> key and its units, cut to 32 bits and
+    sorted: texts are read again where an id names them."""
+    if needed.count() <= BROADCAST_IDS:
+        needed = F.broadcast(needed)
+    chosen = docs.join(needed, docs["id"] == needed["first"]).select("key", "text")
 
     def run(batches):
         for batch in batches:
             texts = _texts(batch.column(1))
-            out = []
+            out, whole = [], [np.zeros(0, U64)]
             for a, b in chunks(texts):
-                units, of, _ = weighted_shingles(texts[a:b])
+                units, of, keys = weighted_shingles(texts[a:b])
                 cut = np.searchsorted(of, np.arange(b - a + 1))
                 low = (units >> U64(32)).astype(np.uint32).view(np.int32)
                 out += [np.sort(low[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["key", "units"])
-
-    return docs.select("key", text_col).mapInArrow(run, "key long, units array<int>")
+                whole.append(keys)
+            # rows of one id may hold other texts as well
+            own = np.concatenate(whole).view(np.int64) == batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["key", "units"]).filter(pa.array(own))
 
-
-def _compare(batches):
-    """Keeps the pairs whose signatures agree in enough coordinates."""
-    for batch in batches:
-        n = batch.num_rows
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, K) for c in ("sa", "sb"))
-        share = (a == b).mean(axis=1) if n else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(share >= AGREEMENT))
+    return chosen.mapInArrow(run, "key long, units array<int>").dropDuplicates(["key"])
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     """Of sorted units; equal 32-bit units count as often as both sides have them."""
+    if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+        return 0.0  # cannot reach the threshold
     both = np.concatenate([x, y])
     both.sort(kind="stable")
     common = int((both[1:] == both[:-1]).sum())
     return common / max(1, len(both) - common)
 
 
+def _bytes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), K)
+
+
+def _lists(column) -> list[np.ndarray]:
+    values, cut = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(cut, cut[1:], strict=False)]
+
+
 def _verify(batches):
+    """The links among rows (a, sa, ua, b, sb, ub): signatures first, then the sets."""
     for batch in batches:
-        xs, ys = batch.column("ua"), batch.column("ub")
-        keep = [jaccard(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) >= SIMILARITY for x, y in zip(xs, ys, strict=True)]
+        if batch.num_rows:
+            near = (_bytes(batch.column("sa")) == _bytes(batch.column("sb"))).mean(axis=1) >= AGREEMENT
+            batch = batch.filter(pa.array(near))
+        keep = [jaccard(x, y) >= SIMILARITY for x, y in zip(_lists(batch.column("ua")), _lists(batch.column("ub")), strict=True)] if batch.num_rows else []
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """(band, key, meets): the buckets with several texts; meets says how many
-    texts all the buckets of a text hold."""
-    rows = texts.select("key", F.explode("bands").alias("band"))
+    """(band, key, size, n): the members of the buckets with n > 1 texts."""
+    rows = texts.select("key", "size", F.explode("bands").alias("band"))
     full = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    rows = settled(rows.join(full, "band"))
-    return settled(rows.join(rows.groupBy("key").agg(F.sum("n").alias("meets")), "key").select("band", "key", "meets"))
-
-
-def candidates(rows: DataFrame, texts: DataFrame, parts: int, closest: bool = False) -> DataFrame:
-    """(a, b): the texts of rows(band, key, meets, root) with the most central
-    member of each of their buckets' parts, unless both have one root; if
-    ``closest``, each text only with the one that shares most buckets with it.
-    Pairs whose signatures disagree are left out."""
-    part = F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part")
-    leaders = rows.groupBy("band", part).agg(F.max(F.struct("meets", F.col("key").alias("leader"), F.col("root").alias("leader_root"))).alias("x")).select("band", "x.leader", "x.leader_root")
-    met = rows.alias("m").join(leaders.alias("l"), (F.col("m.band") == F.col("l.band")) & (F.col("root") != F.col("leader_root")))
-    if closest:
-        shared = met.groupBy("key", "leader").agg(F.count("*").alias("n"))
-        met = shared.groupBy("key").agg(F.max(F.struct("n", "leader")).alias("x")).select("key", "x.leader")
-    pairs = met.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
-    sig = texts.select("key", "signature")
-    pairs = pairs.join(sig.select(F.col("key").alias("a"), F.col("signature").alias("sa")), "a").join(sig.select(F.col("key").alias("b"), F.col("signature").alias("sb")), "b")
-    return settled(pairs.mapInArrow(_compare, "a long, b long"))
-
-
-def _across(root: np.ndarray, left: np.ndarray, right: np.ndarray):
-    """(index, indexes) that cover once all pairs of left and right, or of left
-    alone if that is right, with different roots; never those in the most frequent root."""
-    both = left if left is right else np.concatenate([left, right])
-    names, counts = np.unique(root[both], return_counts=True)
-    largest = names[counts.argmax()]
-    rest = left[root[left] != largest]
-    if left is right:
-        others = np.concatenate([rest, left[root[left] == largest]])
-        for at, i in enumerate(rest):
-            yield i, others[at + 1 :][root[others[at + 1 :]] != root[i]]
-        return
-    for i in rest:
-        yield i, right[root[right] != root[i]]
-    held = left[root[left] == largest]
-    for j in right[root[right] != largest] if len(held) else ():
-        yield j, held
-
-
-def _linked(group: pa.Table) -> pa.Table:
-    """(a, b) of one meeting of blocks i <= j of a band's bucket: pairs of different
-    roots that are similar and share no earlier bucket."""
-    n = group.num_rows
-    key, root, block = (group.column(c).to_numpy() for c in ("key", "root", "block"))
-    signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(n, K)
-    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(n, BANDS)
-    units = [x.values.to_numpy(zero_copy_only=False) for x in group.column("units")]
-    first = int(np.flatnonzero(bands[0] == group.column("band")[0].as_py())[0])
-    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    left = np.flatnonzero(block == i)
-    right = left if i == j else np.flatnonzero(block == j)
-    out = []
-    for x, ys in _across(root, left, right):
-        ys = ys[(signature[ys] == signature[x]).mean(axis=1) >= AGREEMENT]
-        ys = ys[~(bands[ys, :first] == bands[x, :first]).any(axis=1)]
-        out += [(key[x], key[y]) for y in ys if jaccard(units[x], units[y]) >= SIMILARITY]
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return pa.table({"a": pairs.min(axis=1) if out else pairs[:, 0], "b": pairs.max(axis=1) if out else pairs[:, 1]})
-
-
-def remaining(rows: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): the similar pairs across classes in those buckets of
-    rows(band, key, root) where a member led none of the second round's parts."""
-    part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
-    left = rows.groupBy("band").agg(F.count("*").alias("n"), F.countDistinct(part).alias("parts"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high and n > parts").select("band")
-    left = settled(rows.join(left, "band").select("band", "key", "root"))
-    sets = settled(unit_sets(left.select("key").distinct(), texts, docs, id_col, text_col))
-    sized = left.join(sets.select("key", F.size("units").alias("units")), "key")
-    cut = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("units") / BLOCK_UNITS)).cast("int")
-    blocks = sized.groupBy("band").agg(cut.alias("blocks"))
-    met = left.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
+    return rows.join(full, "band").select("band", "key", "size", "n")
+
+
+def central_links(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b): each text with the most central of those that picked the same
+    bucket, if they are similar. One row a text meets one leader."""
+    picks = settled(rows.groupBy("key").agg(F.sum("n").alias("meets"), F.max(F.struct("n", "band")).alias("x")).select("key", "meets", "x.band"))
+    leaders = picks.groupBy("band").agg(F.max(F.struct("meets", "key")).alias("x")).select("band", F.col("x.key").alias("b"))
+    leaders = leaders.join(held.select(F.col("key").alias("b"), F.col("signature").alias("sb"), F.col("units").alias("ub")), "b")
+    own = picks.select("band", "key").join(held.select("key", F.col("signature").alias("sa"), F.col("units").alias("ua")), "key")
+    met = own.join(leaders, "band").where("key != b")
+    return settled(met.select(F.col("key").alias("a"), "sa", "ua", "b", "sb", "ub").mapInArrow(_verify, "a long, b long"))
+
+
+class _Group:
+    """The rows of one meeting of blocks i <= j of a bucket, or of several."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        self.key, self.root, self.block, self.band, self.i, self.j = (rows.column(c).to_numpy() for c in ("key", "root", "block", "band", "i", "j"))
+        self.signature = _bytes(rows.column("signature"))
+        self.bands = rows.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        self.units = _lists(rows.column("units"))
+        self.first = (self.bands == self.band[:, None]).argmax(axis=1)
+        self.parent: dict[int, int] = {}
+
+    def found(self, root: int) -> int:
+        while (up := self.parent.get(root, root)) != root:
+            self.parent[root] = root = self.parent.get(up, up)
+        return root
+
+    def link(self, xs: np.ndarray, ys: np.ndarray, out: list) -> None:
+        """Adds the similar pairs among (xs, ys) that nothing has linked yet."""
+        near = self.root[xs] != self.root[ys]
+        xs, ys = xs[near], ys[near]
+        near = (self.signature[xs] == self.signature[ys]).mean(axis=1) >= AGREEMENT
+        xs, ys = xs[near], ys[near]
+        # a pair belongs to the first bucket that it shares
+        near = (self.bands[xs] == self.bands[ys]).argmax(axis=1) == self.first[xs]
+        for x, y in zip(xs[near].tolist(), ys[near].tolist(), strict=True):
+            a, b = self.found(int(self.root[x])), self.found(int(self.root[y]))
+            if a != b and jaccard(self.units[x], self.units[y]) >= SIMILARITY:
+                self.parent[max(a, b)] = min(a, b)
+                out.append((self.key[x], self.key[y]))
+
+    def across(self, left: np.ndarray, right: np.ndarray):
+        """(one, others): all pairs of left and right, or of left alone if that is
+        right, of different roots, each once; the most frequent root is never the one."""
+        both = left if left is right else np.concatenate([left, right])
+        names, counts = np.unique(self.root[both], return_counts=True)
+        largest = names[counts.argmax()]
+        rest, most = left[self.root[left] != largest], left[self.root[left] == largest]
+        if left is right:
+            others = np.concatenate([rest, most])
+            for at, x in enumerate(rest):
+                yield x, others[at + 1 :]
+            return
+        for x in rest:
+            yield x, right
+        for y in right[self.root[right] != largest] if len(most) else ():
+            yield y, most
+
+    def links(self) -> list:
+        cut = np.flatnonzero((np.diff(self.band) != 0) | (np.diff(self.i) != 0) | (np.diff(self.j) != 0)) + 1
+        begins, sizes, out = np.concatenate([[0], cut]), np.diff(np.concatenate([[0], cut, [len(self.key)]])), []
+        for size in np.unique(sizes[sizes > 1]).tolist():
+            if size <= 48:  # all meetings of one size at once; their blocks are whole buckets, mostly
+                left, right = np.triu_indices(size, 1)
+                own = begins[sizes == size]
+                for some in np.array_split(own, 1 + len(own) * len(left) // 200_000):
+                    xs, ys = (some[:, None] + left).ravel(), (some[:, None] + right).ravel()
+                    meet = (self.i[xs] == self.j[xs]) | (self.block[xs] != self.block[ys])
+                    self.link(xs[meet], ys[meet], out)
+                continue
+            for begin in begins[sizes == size].tolist():
+                rows = np.arange(begin, begin + size)
+                left = rows[self.block[rows] == self.i[begin]]
+                right = left if self.i[begin] == self.j[begin] else rows[self.block[rows] == self.j[begin]]
+                for x, ys in self.across(left, right) if len(left) and len(right) else ():
+                    self.link(np.full(len(ys), x), ys, out)
+        return out
+
+
+def _linked(batches):
+    """(a, b) of rows sorted by band, i and j; a meeting may go over several batches."""
+
+    def pairs(rows):
+        out = np.array(_Group(rows).links(), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(out.min(axis=1) if len(out) else out[:, 0]), pa.array(out.max(axis=1) if len(out) else out[:, 1])], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.column_stack([batch.column(c).to_numpy() for c in ("band", "i", "j")])
+        begin = int(np.flatnonzero((at != at[-1]).any(axis=1))[-1]) + 1 if (at != at[-1]).any() else 0
+        if begin or (last is not None and (at[0] != last).any()):
+            yield pairs(pa.concat_batches([*held, batch.slice(0, begin)]))
+            held = []
+        held.append(batch.slice(begin))
+        last = at[-1]
+    if held:
+        yield pairs(pa.concat_batches(held))
+
+
+def crossing_links(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b): links across classes in those buckets of rows(band, key, size, root)
+    that hold several; where texts are linked by way of others, only some of their links."""
+    mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_UNITS)).cast("int").alias("blocks")).where("low != high")
+    met = rows.join(mixed.select("band", "blocks"), "band").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root")
-    held = sets.join(texts.select("key", "bands", "signature"), "key")
-    return settled(met.join(held, "key").groupBy("band", "i", "j").applyInArrow(_linked, "a long, b long"))
-
-
-def unit_sets(needed: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, units) of the keys needed, each once; texts are read again."""
-    needed = texts.join(needed, "key").select("key", F.col("first").alias(id_col))
-    if needed.count() <= BROADCAST_IDS:
-        needed = F.broadcast(needed)
-    chosen = docs.select(id_col, text_col).join(needed, id_col).select("key", text_col)
-    return shingle_sets(chosen, text_col).dropDuplicates(["key"])
-
-
-def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose exact similarity is high enough; texts are read again for
-    the documents that pairs name."""
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = settled(unit_sets(needed, texts, docs, id_col, text_col))
-    both = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("units").alias("ua")), "a").join(sets.select(F.col("key").alias("b"), F.col("units").alias("ub")), "b")
-    return settled(both.select("a", "b", "ua", "ub").mapInArrow(_verify, "a long, b long"))
+    met = met.join(held, "key").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return settled(met.select("band", "i", "j", "block", "key", "root", "bands", "signature", "units").mapInArrow(_linked, "a long, b long"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id) for each row; class_id is the least id of the class."""
-    every = settled(signed(docs, id_col, text_col))
-    texts = settled(every.groupBy("key").agg(F.min(id_col).alias("first"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
-    rows = buckets(texts)
-    # first each text with that of its buckets' two most central members which shares most buckets with it
-    links = verified(candidates(rows.withColumn("root", F.col("key")), texts, 2, closest=True), texts, docs, id_col, text_col)
-    roots = settled(components(links))
-    # then, in buckets that still hold several classes, with more central members of other classes
-    rows = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("band")
-    pairs = candidates(settled(rows.join(mixed, "band")), texts, PARTS)
-    links = verified(pairs, texts, docs, id_col, text_col).unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    every = settled(signed(docs))
+    texts = settled(every.groupBy("key").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
+    rows = settled(buckets(texts))
+    shared = texts.join(rows.select("key").distinct(), "key")
+    held = settled(unit_sets(shared.select("key", "first"), docs).join(texts.select("key", "bands", "signature"), "key"))
+    links = central_links(rows, held)
     roots = settled(components(links))
-    # last, in buckets that still do and had members without a part of their own, all pairs across classes
-    rows = rows.drop("root").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    links = remaining(rows, texts, docs, id_col, text_col)
-    if not links.isEmpty():
-        roots = settled(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
+    rooted = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "size", F.coalesce("root", "key").alias("root"))
+    more = crossing_links(rooted, held)
+    if not more.isEmpty():
+        roots = settled(components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
     named = texts.select("key", "first").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = named.join(least, "root").select("key", "class_id")
-    return every.select(id_col, "key").join(named, "key").select(id_col, "class_id")
+    named = named.join(dealt_anew(least, "root"), "root").select("key", "class_id")
+    return every.select("id", "key").join(named, "key").select(F.col("id").alias(id_col), "class_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class: that with the least id. Rows without an
     id stay."""
-    kept = settled(classes(docs, id_col, text_col))
-    twice = kept.groupBy(id_col).count().where("count > 1")
-    drop = kept.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    out = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, id_col, "left_anti")
+    kept = settled(classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text"))
+    twice = kept.groupBy("id").count().where("count > 1")
+    drop = kept.where("id != class_id").select(F.col("id").alias(id_col)).distinct()
+    out = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, id_col, "left_anti").select(docs.columns)
     return out if twice.isEmpty() else out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
