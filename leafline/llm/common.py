@@ -26,14 +26,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the
-    warehouse where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local
+    mode, where every folder is shared, the warehouse serves if that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return folder
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends
     there, so a lost executor never repeats what came before. The tables stay

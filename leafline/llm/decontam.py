@@ -11,23 +11,28 @@ The seeds of the test items are broadcast while there are at most
 ``BROADCAST_SEEDS`` (else both sides are shuffled by seed); texts are read again
 only for the rows that were hit.
 
-Defined cases: words are runs of letters and digits in lower case; items of fewer
-than eight words are too short to prove anything and match nothing; null texts
-and items have no words; an overlap needs ``LEAST`` equal words, or four fifths
+Defined cases: words are runs of letters and digits in lower case; items of six
+or seven words match where they stand whole, shorter ones only a text that has
+no other words; null texts and items have no words and match
+nothing; an overlap needs ``LEAST`` equal words, or four fifths
 of a shorter item; rows without an id are never reported; equal ids are reported
 once for each item; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
 
 #: Positions that count, of eight. Fixed values.
-MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 4, 5, 7), (0, 2, 3, 5, 6, 7))
+MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 4, 5, 7), (0, 2, 3, 5, 6, 7), (1, 2, 3, 4, 5, 6), (0, 1, 2, 5, 6, 7))
 SPAN = 8
+#: Words of an item that may stand among others; shorter ones must be the whole text.
+WITHIN = 6
 LEAST = 13
 SHARE = 0.8
 BROADCAST_SEEDS = 2_000_000
@@ -49,6 +54,17 @@ def seeds(rows: DataFrame, keys: list[str], hashes: str) -> DataFrame:
     return at.select(*keys, "pos", F.explode(F.array(*masked)).alias("seed"))
 
 
+def whole_seeds(rows: DataFrame, keys: list[str], hashes: str, lengths: list[int]) -> DataFrame:
+    """keys, pos and seed of short items: a row for each run of so many words."""
+
+    def runs(n: int) -> DataFrame:
+        own = rows.where(F.size(hashes) >= n if n >= WITHIN else F.size(hashes) == n)
+        found = F.transform(F.sequence(F.lit(1), F.size(hashes) - n + 1), lambda i: F.xxhash64(F.lit(100 + n), F.slice(hashes, i, n)))
+        return own.select(*keys, F.posexplode(found).alias("pos", "seed"))
+
+    return reduce(DataFrame.unionByName, map(runs, lengths))
+
+
 def _best(equal: str) -> str:
     """SQL: matched, begin and end of the best stretch of an array of booleans."""
     zero = "named_struct('i', 0, 'run', 0, 'same', 0, 'from', 0, 'best', 0, 'matched', 0, 'begin', 0, 'end', 0)"
@@ -67,18 +83,27 @@ def _best(equal: str) -> str:
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item id, matched, words_from, words_until) for each pair of a text and
     an item that it holds: equal words, and where in the text they lie."""
-    items = settled(benchmark.select(F.col(item_col).alias("item"), word_hashes(item_text_col).alias("ih")).where(F.size("ih") >= SPAN))
-    test = seeds(items, ["item"], "ih").select("item", F.col("pos").alias("ipos"), "seed").distinct()
-    if items.agg(F.coalesce(F.sum(F.size("ih")), F.lit(0))).first()[0] * len(MASKS) <= BROADCAST_SEEDS:
+    items = settled(benchmark.select(F.col(item_col).alias("item"), word_hashes(item_text_col).alias("ih")).where(F.size("ih") > 0))
+    size = F.size("ih")
+    words, lengths = items.agg(F.coalesce(F.sum(size), F.lit(0)), F.sort_array(F.collect_set(F.when(size < SPAN, size)))).first()
+    small = words * len(MASKS) <= BROADCAST_SEEDS
+    test = seeds(items, ["item"], "ih")
+    for n in lengths:
+        test = test.unionByName(whole_seeds(items.where(F.size("ih") == n), ["item"], "ih", [n]))
+    test = test.select("item", F.col("pos").alias("ipos"), "seed").distinct()
+    if small:
         test = F.broadcast(test)
     known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    train = seeds(known.select("id", word_hashes("text").alias("h")), ["id"], "h")
+    hashed = known.select("id", word_hashes("text").alias("h"))
+    train = seeds(hashed, ["id"], "h")
+    if lengths:
+        train = train.unionByName(whole_seeds(hashed, ["id"], "h", lengths))
     hits = settled(train.join(test, "seed").select("id", "item", (F.col("pos") - F.col("ipos")).alias("diagonal")).distinct())
     ids = hits.select("id").distinct()
     if hits.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     again = known.join(ids, "id").select("id", word_hashes("text").alias("h")).distinct()
-    laid = hits.join(again, "id").join(F.broadcast(items) if items.count() <= BROADCAST_SEEDS // 100 else items, "item")
+    laid = hits.join(again, "id").join(F.broadcast(items) if small else items, "item")
     equal = "transform(ih, (x, i) -> coalesce(try_element_at(h, nullif(greatest(diagonal + i + 1, 0), 0)) = x, false))"
     found = laid.select("id", "item", "diagonal", F.size("ih").alias("n"), F.expr(_best(equal)).alias("m"))
     found = found.where(F.col("m.matched") >= F.least(F.lit(LEAST), F.ceil(F.col("n") * SHARE)))

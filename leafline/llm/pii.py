@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, unused
 
 #: Kinds in the order of ties, and their patterns. Loops are possessive where
 #: nothing after them could make them give back, and a number or local part is
@@ -131,7 +131,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.key") == F.col("b.key"))
     risky = values.join(told, "entity").groupBy("id", "key", "term").agg(F.max("share").alias("share"))
     risky = risky.groupBy("id", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("risk"))
-    texts = found.select("id", "key", "text").alias("a").join((F.broadcast(risky) if risky.count() <= BROADCAST_ROWS // 20 else risky).alias("b"), same).select("a.id", "a.key", "text", "risk").dropDuplicates(["id", "key"])
+    risky = settled(risky)
+    ids = risky.select("id", "key")
+    # only ids are broadcast; the maps, of any length, meet the few texts by a shuffle
+    chosen = found.select("id", "key", "text").alias("a").join((F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids).alias("b"), same, "left_semi").dropDuplicates(["id", "key"])
+    texts = chosen.alias("a").join(risky.alias("b"), same).select("a.id", "a.key", "text", "risk")
     rank = len(KINDS)
     marked = texts.select("id", "key", "risk", _marked("text", r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++").alias("p_term"))
     term_spans = marked.select("id", "key", "risk", F.expr(_spans(rank, "term", "map_contains_key(risk, lower(substring_index(p, '\x02', 1)))", "p_term")).alias("more"))
@@ -156,16 +160,17 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     """docs with spans replaced by their kind in angle brackets, or cut out where
     a term is to be removed; of overlapping spans the first counts. chars_col, if
     there is one, follows the text."""
+    at, held, spot, found = (unused(docs, f"pii_{c}") for c in ("key", "id", "at", "spans"))
     key = F.xxhash64(F.translate(F.coalesce(F.col(text_col), F.lit("")), OPEN + CLOSE, OTHER + OTHER))
-    with_spans = settled(spans(docs, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["id", "key"])).select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    if with_spans.count() <= BROADCAST_ROWS // 20:
-        with_spans = F.broadcast(with_spans)
-    rows = docs.withColumn("_at", key).join(with_spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_key")), "left")
-    pieces = f"""aggregate(_spans, named_struct('at', 0, 'out', cast(array() as array<string>)), (s, x) -> if(x.start < s.at, s,
+    with_spans = settled(spans(docs, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["id", "key"]))
+    whole = with_spans.select(F.col("id").alias(held), F.col("key").alias(spot), F.col("spans").alias(found))
+    if with_spans.agg(F.count("*") + 4 * F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
+        whole = F.broadcast(whole)
+    rows = docs.withColumn(at, key).join(whole, F.col(id_col).eqNullSafe(F.col(held)) & (F.col(at) == F.col(spot)), "left")
+    pieces = f"""aggregate({found}, named_struct('at', 0, 'out', cast(array() as array<string>)), (s, x) -> if(x.start < s.at, s,
         named_struct('at', x.end, 'out', array_append(s.out, concat(substring(`{text_col}`, s.at + 1, x.start - s.at), if(x.kind = 'term' and x.value = '', '', concat('<', upper(x.kind), '>')))))),
         s -> concat(array_join(s.out, ''), substring(`{text_col}`, s.at + 1)))"""
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.expr(pieces))
-    out = rows.withColumn(text_col, text)
+    out = rows.withColumn(text_col, F.when(F.col(found).isNull(), F.col(text_col)).otherwise(F.expr(pieces)))
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("_spans").isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(dict(docs.dtypes)[chars_col])))
+        out = out.withColumn(chars_col, F.when(F.col(found).isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(dict(docs.dtypes)[chars_col])))
     return out.select(docs.columns)

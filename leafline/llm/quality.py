@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ RIDGE = 1e-2
 BINS = 2000
 THRESHOLD = 0.3
 SEED = 20_240_229
+#: Partitions whose sums meet in one group; a second step adds at most as many groups of up to a million partitions.
+FAN_IN = 1000
 
 _KINDS = {"upper": str.isupper, "alpha": str.isalpha, "digit": str.isdigit, "space": str.isspace}
 
@@ -93,6 +96,7 @@ def statistics(texts: list[str]) -> np.ndarray:
 
 
 def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, stats) of each row."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -101,9 +105,9 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows: list[np.ndarray] = []
             for a, b in chunks(texts):
                 rows += list(statistics(texts[a:b]).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float32()))], [id_col, "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float32()))], ["id", "stats"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, stats array<float>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, stats array<float>")
 
 
 def _matrix(column) -> np.ndarray:
@@ -134,19 +138,23 @@ def _summed(batches, make):
         if part is not None:
             total = part if total is None else total + part
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
+        at = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([at] * len(total), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "part", "row"])
 
 
 def _add(table: pa.Table) -> pa.Table:
     rows = _matrix(table.column("row").combine_chunks())
-    return pa.table({"i": pa.array([table.column("i")[0].as_py()], pa.int32()), "row": pa.array([rows.sum(axis=0)], pa.list_(pa.float64()))})
+    return pa.table({"i": pa.array([table.column("i")[0].as_py()], pa.int32()), "part": pa.array([table.column("part")[0].as_py()], pa.int32()), "row": pa.array([rows.sum(axis=0)], pa.list_(pa.float64()))})
 
 
 def _total(df: DataFrame, make) -> np.ndarray:
-    """The sum over all partitions; the driver gets the one matrix."""
-    schema = "i int, row array<double>"
-    rows = df.mapInArrow(lambda batches: _summed(batches, make), schema).groupBy("i").applyInArrow(_add, schema).collect()
-    return np.array([r.row for r in sorted(rows, key=lambda r: r.i)])
+    """The sum over all partitions, added up ``FAN_IN`` partitions at a time, then
+    those; the driver gets the one matrix."""
+    schema = "i int, part int, row array<double>"
+    rows = df.mapInArrow(lambda batches: _summed(batches, make), schema)
+    for step in (FAN_IN, FAN_IN**3):
+        rows = rows.withColumn("part", (F.col("part") / step).cast("int")).groupBy("i", "part").applyInArrow(_add, schema)
+    return np.array([r.row for r in sorted(rows.collect(), key=lambda r: r.i)])
 
 
 class Model:
@@ -164,7 +172,7 @@ class Model:
 
 def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id") -> Model:
     """rows(id, stats)."""
-    known = settled(with_labels(rows, labels, label, id_col).select("stats", "label", "fold"))
+    known = settled(with_labels(rows, labels.select(F.col(id_col).alias("id"), F.col(label).alias("label")), "label", "id").select("stats", "label", "fold"))
     n, good = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     fitted, calibrating = known.where(F.col("fold") != CALIBRATION_FOLD), known.where(F.col("fold") == CALIBRATION_FOLD)
 
@@ -214,10 +222,10 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: s
     def run(batches):
         for batch in batches:
             score = model.score(_matrix(batch.column("stats"))) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [id_col, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 
-    out = rows.mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double, predicted int")
-    return out.select(id_col, F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), "score", "predicted")
+    out = rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, score double, predicted int")
+    return out.select(F.col("id").alias(id_col), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

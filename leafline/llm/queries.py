@@ -76,11 +76,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .shards import assign, first_map, grown, sized
+    from .shards import placed
 
-    now = first_map(8)
-    rows = assign(sized(read_table(spark, sf_dir, "documents")), now, grown(now))
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot")
+    rows = placed(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "virtual_slot", "balanced_shard")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

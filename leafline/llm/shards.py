@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import fresh_path, settled
+
 SLOTS = 4096
 
 
@@ -37,6 +39,22 @@ class SlotMap:
         return spark.createDataFrame([(i, s, self.version) for i, s in enumerate(self.shard_of)], "virtual_slot int, shard int, version int")
 
 
+def store(spark: SparkSession, versions: list[SlotMap], path: str | None = None) -> str:
+    """Writes versions of the map, (version, virtual_slot, shard), and returns where."""
+    path = path or fresh_path(spark, "slot-map")
+    for m in versions:
+        m.table(spark).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
+    """One version of a stored map; the latest if none is named."""
+    table = spark.read.parquet(path)
+    version = table.agg(F.max("version")).first()[0] if version is None else version
+    rows = table.where(F.col("version") == version).orderBy("virtual_slot").collect()  # as many as slots
+    return SlotMap(version, tuple(r.shard for r in rows))
+
+
 def first_map(shards: int, slots: int = SLOTS) -> SlotMap:
     return SlotMap(1, tuple(i % shards for i in range(slots)))
 
@@ -102,3 +120,19 @@ def assign(rows: DataFrame, versions: SlotMap, later: SlotMap | None = None, id_
     inner = Window.partitionBy("virtual_slot").orderBy(id_col, "text_crc32", "size")
     placed = rows.withColumn("place", F.row_number().over(inner) - 1)
     return placed.join(F.broadcast(table), "virtual_slot").withColumn("slot", (F.col("before") + F.col("place")).cast("long")).drop("before", "place")
+
+
+def placed(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """id, size, text_crc32, virtual_slot, shard, slot, grown_shard (with one more
+    shard) and balanced_shard (after evening out the bytes of slots). Three
+    versions of the map are stored, and read back to place the records: the first,
+    the grown one, and the first edited by the bytes of each slot."""
+    spark = docs.sparkSession
+    rows = settled(sized(docs, id_col, text_col))
+    first = first_map(shards)
+    bytes_of = {r.virtual_slot: r.bytes for r in slot_bytes(rows).collect()}  # one row a slot, of a fixed number
+    even = rebalanced(first, bytes_of)
+    path = store(spark, [first, grown(first), SlotMap(3, even.shard_of)], path)
+    out = assign(rows, load(spark, path, 1), load(spark, path, 2), id_col)
+    balanced = load(spark, path, 3).table(spark).select("virtual_slot", F.col("shard").alias("balanced_shard"))
+    return out.join(F.broadcast(balanced), "virtual_slot")

@@ -13,7 +13,9 @@ packed into blocks too and copied to each group of candidate blocks.
 Defined cases: null vectors, and vectors with null or non-finite components, take
 no part, neither do empty ones; vectors are compared only with those of equal
 length; a query meets no row of its own id; equal query rows count once; fewer
-than k candidates: all are returned; scores are exact below 2**53.
+than k candidates: all are returned. Scores are exact: as doubles where no score of
+two blocks can pass 2**53, else in whole numbers of any size (slow, for vectors with
+components in the thousands and more); scores beyond 2**58 either way count as 2**58.
 """
 
 from __future__ import annotations
@@ -28,7 +30,10 @@ from .common import settled
 SCALE = 256
 BINS = 4096
 QUERY_ROWS, CANDIDATE_ROWS = 512, 4096
-GROUPS = 64
+#: Scores are cut to so much either way.
+LIMIT = 1 << 58
+#: Groups of candidate blocks: one for so many blocks, between these bounds.
+BLOCKS, LEAST_GROUPS, MOST_GROUPS = 16, 16, 8192
 
 
 def quantised(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -72,13 +77,17 @@ def _packed(rows: DataFrame, most: int, extra: list[str]) -> DataFrame:
 
 
 def _scores(row: dict, extra: list[str]):
-    """ids and extras of the queries, ids of the candidates and the scores, own rows at -inf."""
+    """ids and extras of the queries, ids of the candidates, scores as whole
+    numbers, and where a candidate is the query's own row."""
     dim = row["dim"]
     own, ids = np.frombuffer(row["qid"], np.int64), np.frombuffer(row["cid"], np.int64)
     queries, candidates = (np.frombuffer(row[c], np.float64).reshape(-1, dim) for c in ("qv", "cv"))
-    score = queries @ candidates.T
-    score[own[:, None] == ids[None, :]] = -np.inf
-    return own, [np.frombuffer(row[f"q{c}"], np.int64) for c in extra], ids, score
+    if dim * float(np.abs(queries).max()) * float(np.abs(candidates).max()) < 2.0**53:
+        score = (queries @ candidates.T).astype(np.int64)
+    else:
+        whole = [np.array([[int(x) for x in v] for v in m], dtype=object) for m in (queries, candidates)]
+        score = np.clip(whole[0] @ whole[1].T, -LIMIT, LIMIT).astype(np.int64)
+    return own, [np.frombuffer(row[f"q{c}"], np.int64) for c in extra], ids, score, own[:, None] == ids[None, :]
 
 
 def _rows(batches):
@@ -90,13 +99,13 @@ def _rows(batches):
 def _histogram(k: int):
     def run(batches):
         for row in _rows(batches):
-            own, (low, width), ids, score = _scores(row, ["low", "width"])
+            own, (low, width), ids, score, same = _scores(row, ["low", "width"])
             offset = score - low[:, None]
-            offset[(offset < 0) | (offset >= (width * BINS)[:, None])] = -np.inf
+            offset[same | (offset < 0) | (offset >= (width * BINS)[:, None])] = -1
             if offset.shape[1] > k:
                 offset = np.partition(offset, offset.shape[1] - k, axis=1)[:, -k:]
             q, _ = at = np.nonzero(offset >= 0)
-            bins = (offset[at] // width[q]).astype(np.int64)
+            bins = offset[at] // width[q]
             found, count = np.unique(q * BINS + bins, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(own[found // BINS]), pa.array(np.full(len(found), row["dim"]), pa.int32()), pa.array((found % BINS).astype(np.int32)), pa.array(count, pa.int64())], ["id", "dim", "bin", "n"])
 
@@ -106,15 +115,15 @@ def _histogram(k: int):
 def _keep(k: int):
     def run(batches):
         for row in _rows(batches):
-            own, (low,), ids, score = _scores(row, ["low"])
-            q, c = np.nonzero((score >= low[:, None]) & np.isfinite(score))
+            own, (low,), ids, score, same = _scores(row, ["low"])
+            q, c = np.nonzero((score >= low[:, None]) & ~same)
             s = score[q, c]
             order = np.lexsort((c, -s, q))  # candidates of a block are sorted by id
             q, c, s = q[order], c[order], s[order]
             first = np.searchsorted(q, np.arange(len(own)))
             best = np.arange(len(q)) - first[q] < k
             q, c, s = q[best], c[best], s[best]
-            yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(np.full(len(q), row["dim"]), pa.int32()), pa.array(ids[c]), pa.array(s.astype(np.int64))], ["id", "dim", "cid", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(np.full(len(q), row["dim"]), pa.int32()), pa.array(ids[c]), pa.array(s)], ["id", "dim", "cid", "score"])
 
     return run
 
@@ -123,10 +132,11 @@ def top_k(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     """(query_id, rank, vec_id, score): for each row of queries its k best rows of table."""
     rows = settled(quantised(table, id_col, vector_col))
     asked = settled(quantised(queries, id_col, vector_col).distinct())
+    top = rows.agg(F.max(F.array_max(F.transform("v", F.abs)) * F.lit(1.0)), F.max("dim"), F.count("*")).first()
+    groups = min(MOST_GROUPS, max(LEAST_GROUPS, top[2] // (BLOCKS * CANDIDATE_ROWS)))
     blocks = _packed(rows, CANDIDATE_ROWS, [])
-    blocks = settled(blocks.select(F.pmod(F.xxhash64("id"), F.lit(GROUPS)).cast("long").alias("g"), "dim", *(F.col(c).alias(f"c{c}") for c in ("id", "v"))))
-    top = rows.agg(F.max(F.array_max(F.transform("v", F.abs)) * F.lit(1.0)), F.max("dim")).first()
-    reach = int((top[0] or 0) ** 2 * (top[1] or 0)) + 1
+    blocks = settled(blocks.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("long").alias("g"), "dim", *(F.col(c).alias(f"c{c}") for c in ("id", "v"))))
+    reach = min(LIMIT, int(top[0] or 0) ** 2 * (top[1] or 0) + 1)
     width = 1  # a power of BINS, so that the bins of a pass fill one bin of the pass before
     while width * BINS < 2 * reach + 1:
         width *= BINS
@@ -134,7 +144,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
 
     def against(state: DataFrame, extra: list[str], run, schema: str) -> DataFrame:
         packed = _packed(state, QUERY_ROWS, extra)
-        packed = packed.select("dim", *(F.col(c).alias(f"q{c}") for c in ("id", "v", *extra)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long"))).alias("g"))
+        packed = packed.select("dim", *(F.col(c).alias(f"q{c}") for c in ("id", "v", *extra)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
         both = blocks.join(packed, ["g", "dim"])
         return both.select("dim", "cid", "cv", *(f"q{c}" for c in ("id", "v", *extra))).mapInArrow(run, schema)
 

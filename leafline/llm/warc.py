@@ -10,12 +10,13 @@ Tasks write bundles under fresh names straight to the shared folder and return
 index rows; the index table is committed by Spark, so bundles of lost or repeated
 attempts are never referred to. Payload digests meet without payloads: equal
 payloads are settled on (digest, id) pairs, which AQE can split, and only the ids
-of revisits are joined to the pages.
+and digests of revisits are joined to the pages.
 
 Defined cases: null html is an empty payload; all payloads of at least
 ``least_bytes`` bytes count for revisits; rows that repeat a page_id are each a
-record (of equal payloads and ids one is the response); a null url is written
-as an empty target; an empty table writes no bundle; other columns are ignored.
+record, named by id and payload, so rows that repeat both are alike: all
+responses or all revisits; rows without a page_id are responses; a null url is
+written as an empty target; an empty table writes no bundle; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import uuid
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, settled, small_batches
@@ -80,11 +81,19 @@ def read_seek_table(file) -> list[tuple[int, int, int]]:
     return out
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder's address with its scheme: where none is given, Hadoop's default
+    file system has it, as for Spark's own readers and writers."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def open_folder(uri: str):
-    """pyarrow file system and path of a folder's address."""
+    """pyarrow file system and path of a folder's full address."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri)
 
 
 class Bundle:
@@ -119,8 +128,8 @@ class Bundle:
         self.file.close()
 
 
-def record_id(page_id: int) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}"
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}"
 
 
 def payload(html):
@@ -128,18 +137,19 @@ def payload(html):
 
 
 def revisits(pages: DataFrame, id_col: str, html_col: str, least_bytes: int) -> DataFrame:
-    """(id, refers_to) of the records that revisit another."""
+    """(id, digest, refers_to) of the records that revisit another."""
     body = payload(html_col)
-    rows = settled(pages.select(F.col(id_col), F.sha1(body).alias("digest")).where(F.octet_length(body) >= least_bytes))
-    first = rows.groupBy("digest").agg(F.max(id_col).alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(first, "digest").where(F.col(id_col) != F.col("refers_to")).select(id_col, "refers_to").distinct()
+    rows = settled(pages.select(F.col(id_col).alias("page_id"), F.sha1(body).alias("digest")).where(F.octet_length(body) >= least_bytes))
+    first = rows.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(first, "digest").where("page_id != refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes bundles below ``folder`` and returns the index, committed as a table."""
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload(html_col).alias("body"))
-    rows = rows.join(revisits(pages, id_col, html_col, least_bytes).withColumnRenamed(id_col, "page_id"), "page_id", "left")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload(html_col).alias("body")).withColumn("digest", F.sha1("body"))
+    rows = rows.join(revisits(pages, id_col, html_col, least_bytes), ["page_id", "digest"], "left").drop("digest")
+    folder = qualified(pages.sparkSession, folder)
     open_folder(folder)[0].create_dir(open_folder(folder)[1], recursive=True)
 
     def run(batches):
@@ -153,9 +163,10 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                     bundle = Bundle(file_system, f"{root}/{name}")
                 digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
                 kind = "response" if refers_to is None else "revisit"
-                raw = record(kind, record_id(page_id), url, date, body, digest, None if refers_to is None else record_id(refers_to))
+                own = record_id(page_id, digest)
+                raw = record(kind, own, url, date, body, digest, None if refers_to is None else record_id(refers_to, digest))
                 frame, place = bundle.add(raw)
-                out.append((page_id, record_id(page_id), len(body), digest, name, frame, place, len(raw)))
+                out.append((page_id, own, len(body), digest, name, frame, place, len(raw)))
                 if bundle.written > BUNDLE_BYTES:
                     bundle.close()
                     bundle = None
@@ -176,6 +187,7 @@ def read(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame
     A frame is unpacked once for all its records, a bundle opened once a task."""
     frames = index.groupBy("bundle", "frame").agg(F.array_sort(F.collect_list(F.struct("place", "size", "page_id"))).alias("records"))
     frames = frames.repartition("bundle", (F.col("frame") / 16).cast("int"))
+    folder = qualified(index.sparkSession, folder)
 
     def run(batches):
         file_system, root = open_folder(folder)
