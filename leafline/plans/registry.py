@@ -16,4 +16,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import documents, tables, windows  # noqa: E402, F401
+from . import detection, documents, fields, forms, rules, streams, tables, windows  # noqa: E402, F401
