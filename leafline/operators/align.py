@@ -1,13 +1,13 @@
 """Alignment and difference of pairs of documents. A pair is one group whose size
-is that of its two texts; the pairs are spread by Spark."""
+is that of its two texts; the pairs are spread by Spark. Equal items at both ends
+are paired first, the tables between them are filled row by row with numpy."""
 
 from __future__ import annotations
 
-import difflib
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 GAP = -0.35
 ALIGNED = "pair_id long, a_index int, b_index int, score double"
@@ -52,28 +52,105 @@ def similarities(a: str, others: list[str]) -> list[float]:
     return out
 
 
-def aligned(a: list[str], b: list[str]) -> list[tuple[int | None, int | None, float]]:
-    """The best monotone alignment: similarity of paired blocks, GAP for the others."""
-    score = np.array([similarities(x, b) for x in a]).reshape(len(a), len(b))
-    total = np.zeros((len(a) + 1, len(b) + 1))
-    total[:, 0], total[0] = GAP * np.arange(len(a) + 1), GAP * np.arange(len(b) + 1)
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            total[i, j] = max(total[i - 1, j - 1] + score[i - 1, j - 1], total[i - 1, j] + GAP, total[i, j - 1] + GAP)
-    out, i, j = [], len(a), len(b)
+def similarity(a: Column, b: Column) -> Column:
+    """The same measure as a column."""
+    longest = F.greatest(F.length(a), F.length(b))
+    near = 0.7 * (1 - F.levenshtein(a, b) / longest) + 0.3 * (1 - F.abs(F.length(a) - F.length(b)) / longest)
+    return F.when(longest == 0, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(near)
+
+
+def path(score: np.ndarray, gap: float) -> list[tuple[int | None, int | None]]:
+    """The best monotone path through a table of scores; of equal ones a pair goes
+    first, then an item of the first side alone. A row follows from the one above:
+    what comes from the left is a running maximum of values without their gaps."""
+    n, m = score.shape
+    total = np.empty((n + 1, m + 1))
+    steps = gap * np.arange(m + 1)
+    total[0] = steps
+    for i in range(1, n + 1):
+        best = total[i - 1] + gap
+        np.maximum(best[1:], total[i - 1, :-1] + score[i - 1], out=best[1:])
+        total[i] = np.maximum.accumulate(best - steps) + steps
+    out, i, j = [], n, m
     while i or j:
         if i and j and np.isclose(total[i, j], total[i - 1, j - 1] + score[i - 1, j - 1]):
             i, j = i - 1, j - 1
-            out.append((i, j, float(score[i, j])))
-        elif i and np.isclose(total[i, j], total[i - 1, j] + GAP):
+            out.append((i, j))
+        elif i and np.isclose(total[i, j], total[i - 1, j] + gap):
             i -= 1
-            out.append((i, None, 0.0))
+            out.append((i, None))
         else:
             j -= 1
-            out.append((None, j, 0.0))
+            out.append((None, j))
     return out[::-1]
 
 
+def aligned(a: list[str], b: list[str]) -> list[tuple[int | None, int | None, float]]:
+    """The best monotone alignment: similarity of paired blocks, GAP for the others.
+    Equal blocks are compared once."""
+    texts, which = np.unique(np.array(b, dtype=object).astype(str), return_inverse=True) if len(b) else (np.array([], str), np.array([], int))
+    known: dict[str, np.ndarray] = {}
+    for x in a:
+        if x not in known:
+            known[x] = np.array(similarities(x, texts.tolist()))[which] if len(b) else np.zeros(0)
+    score = np.array([known[x] for x in a]).reshape(len(a), len(b))
+    return [(i, j, float(score[i, j]) if i is not None and j is not None else 0.0) for i, j in path(score, GAP)]
+
+
+def common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence of numbered tokens. What both have at
+    their ends is paired first; a table of bits, one row a token of a, does the rest."""
+    n = min(len(a), len(b))
+    head = int(np.argmin(a[:n] == b[:n])) if n and not (a[:n] == b[:n]).all() else n
+    left = n - head
+    tails = a[len(a) - left :][::-1] == b[len(b) - left :][::-1] if left else np.zeros(0, bool)
+    tail = int(np.argmin(tails)) if left and not tails.all() else left
+    x, y = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
+    places: dict[int, int] = {}
+    for j, t in enumerate(y):
+        places[t] = places.get(t, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row, rows = full, []
+    for t in x:  # a zero bit j of a row: the row's length grows at token j
+        hit = row & places.get(t, 0)
+        row = ((row + hit) | (row - hit)) & full
+        rows.append(row)
+    out, i, j = [], len(x) - 1, len(y) - 1
+    grows = lambda r, k: r >= 0 and not rows[r] >> k & 1
+    while i >= 0 and j >= 0:
+        if not grows(i, j):
+            j -= 1
+        elif grows(i - 1, j):
+            i -= 1
+        else:
+            out.append((head + i, head + j))
+            i, j = i - 1, j - 1
+    return [(k, k) for k in range(head)] + out[::-1] + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+
+
+def numbered(a, b) -> tuple[np.ndarray, np.ndarray]:
+    names: dict[str, int] = {}
+    return tuple(np.array([names.setdefault(t, len(names)) for t in side], dtype=np.int64) for side in (a, b))
+
+
+def runs(a, b) -> list[tuple[str, int, int, int, int]]:
+    """EQ, DEL and INS runs: kind, and where it begins and ends on both sides."""
+    out, i, j = [], 0, 0
+    pairs = common(*numbered(a, b)) + [(len(a), len(b))]
+    for x, y in pairs:
+        if x > i:
+            out.append(("DEL", i, x, j, j))
+        if y > j:
+            out.append(("INS", x, x, j, y))
+        if x < len(a) and y < len(b):
+            if out and out[-1][0] == "EQ" and out[-1][2] == x and out[-1][4] == y:
+                out[-1] = ("EQ", out[-1][1], x + 1, out[-1][3], y + 1)
+            else:
+                out.append(("EQ", x, x + 1, y, y + 1))
+        i, j = x + 1, y + 1
+    return out
+
+
 def block_alignment(pairs: DataFrame) -> DataFrame:
     """pairs(pair_id, a array<string>, b array<string>) -> one row for each step."""
 
@@ -93,13 +170,44 @@ def token_diff(pairs: DataFrame) -> DataFrame:
         for frame in batches:
             rows = []
             for p, a, b in zip(frame.pair_id, frame.a, frame.b, strict=True):
-                n = 0
-                for tag, i, j, k, m in difflib.SequenceMatcher(None, list(a), list(b), autojunk=False).get_opcodes():
-                    parts = [("EQ", a[i:j])] if tag == "equal" else [("DEL", a[i:j]), ("INS", b[k:m])]
-                    for kind, tokens in parts:
-                        if len(tokens):
-                            rows.append((p, n, kind, len(tokens), " ".join(tokens)))
-                            n += 1
+                for n, (kind, i, j, k, m) in enumerate(runs(a, b)):
+                    tokens = b[k:m] if kind == "INS" else a[i:j]
+                    rows.append((p, n, kind, len(tokens), " ".join(tokens)))
             yield pd.DataFrame(rows, columns=["pair_id", "ord", "kind", "tokens", "text"])
 
     return pairs.select("pair_id", "a", "b").mapInPandas(run, "pair_id long, ord int, kind string, tokens int, text string")
+
+
+def char_diff(pairs: DataFrame) -> DataFrame:
+    """pairs(pair_id, a string, b string) -> EQ, DEL and INS segments of characters
+    with their offsets in both texts."""
+
+    def run(batches):
+        for frame in batches:
+            rows = [(p, n, kind, i, k, b[k:m] if kind == "INS" else a[i:j]) for p, a, b in zip(frame.pair_id, frame.a, frame.b, strict=True) for n, (kind, i, j, k, m) in enumerate(runs(a, b))]
+            yield pd.DataFrame(rows, columns=["pair_id", "ord", "kind", "a_at", "b_at", "text"])
+
+    return pairs.select("pair_id", "a", "b").mapInPandas(run, "pair_id long, ord int, kind string, a_at int, b_at int, text string")
+
+
+def base_slots(members: DataFrame) -> DataFrame:
+    """members(group_id, base array, other array): which tokens and gaps of the base
+    vary against each other member. slot 2i is the gap before token i, 2i + 1 the
+    token; a slot is listed where a token is missing or something stands in the gap."""
+
+    def run(batches):
+        for frame in batches:
+            rows = []
+            for g, base, other in zip(frame.group_id, frame.base, frame.other, strict=True):
+                for kind, i, j, _, _ in runs(base, other):
+                    rows += [(g, 2 * k + 1) for k in range(i, j)] if kind == "DEL" else [(g, 2 * i)] if kind == "INS" else []
+            yield pd.DataFrame(rows, columns=["group_id", "slot"])
+
+    return members.select("group_id", "base", "other").mapInPandas(run, "group_id long, slot long").distinct()
+
+
+def slot_blocks(slots: DataFrame) -> DataFrame:
+    """Maximal runs of the listed slots of each group, and which tokens of the base they hold."""
+    w = Window.partitionBy("group_id").orderBy("slot")
+    rows = slots.withColumn("_run", F.col("slot") - F.row_number().over(w)).groupBy("group_id", "_run").agg(F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+    return rows.select("group_id", "first_slot", "last_slot", F.ceil((F.col("first_slot") - 1) / 2).cast("int").alias("first_token"), F.floor((F.col("last_slot") - 1) / 2).cast("int").alias("last_token"))

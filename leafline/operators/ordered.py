@@ -50,3 +50,26 @@ def anchors(rows: DataFrame, keys: list[str], order: list[str], fixed: Column, t
 def best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order: the one "first or best wins"."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
+
+
+def nearest(rows: DataFrame, values: DataFrame, key: str, wanted: str, value: str, width: float) -> DataFrame:
+    """rows with the value of their key that is nearest to ``wanted``, the lesser of
+    two as near; rows of keys without values are left out. Both sides are sorted in
+    ranges of ``width``, and what lies beyond a range's borders comes from a small
+    table of ranges, so neither a key is one task's nor do rows meet all values."""
+    at = lambda c: F.floor(F.col(c) / width)
+    listed = values.select(key, F.col(value).alias("_x")).where("_x is not null").distinct().withColumn("_at", at("_x"))
+    asked = rows.where(F.col(wanted).isNotNull()).withColumn("_at", at(wanted))
+    held = listed.groupBy(key, "_at").agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    ranges_ = held.unionByName(asked.select(key, "_at").distinct(), allowMissingColumns=True).groupBy(key, "_at").agg(F.max("_low").alias("_low"), F.max("_high").alias("_high"))
+    w = Window.partitionBy(key).orderBy("_at")
+    below = F.last("_high", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    above = F.first("_low", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    borders = ranges_.select(key, "_at", below.alias("_below"), above.alias("_above"))
+    both = asked.withColumn("_x", F.col(wanted)).withColumn("_asks", F.lit(1)).unionByName(listed.withColumn("_asks", F.lit(0)), allowMissingColumns=True)
+    place = Window.partitionBy(key, "_at").orderBy("_x", "_asks")
+    price = F.when(F.col("_asks") == 0, F.col("_x"))
+    both = both.withColumn("_p", F.last(price, ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(price, ignorenulls=True).over(place.rowsBetween(1, Window.unboundedFollowing)))
+    found = both.where("_asks = 1").join(borders, [key, "_at"]).withColumn("_p", F.coalesce("_p", "_below")).withColumn("_n", F.coalesce("_n", "_above"))
+    lower = F.col("_n").isNull() | (F.abs(F.col("_p") - F.col(wanted)) <= F.abs(F.col("_n") - F.col(wanted)))
+    return found.withColumn(value, F.when(F.col("_p").isNotNull() & lower, F.col("_p")).otherwise(F.col("_n"))).where(F.col(value).isNotNull()).select(*rows.columns, value)

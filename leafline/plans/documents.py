@@ -13,6 +13,9 @@ from .registry import query
 
 LINES = "L AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT AS op_index, unnest(string_split(text, chr(10))) AS text FROM documents)"
 ENTITIES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "number": r"[0-9]{4,}"}
+HINTS = {"email": "@", "ip": ".", "number": ""}
+SEARCHED = {k: (r"(?:(?<![A-Za-z0-9._%+-])|\G)" if k == "email" else r"(?:(?<![0-9])|\G)") + p for k, p in ENTITIES.items()}
+ANY = r"[0-9]{4}|[A-Za-z0-9._%+-]@[A-Za-z0-9-]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"
 PLAIN_SQL = f"translate(lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))), '{T.ACCENTED}', '{T.PLAIN}')"
 ALL = " UNION ALL ".join(f"SELECT doc_id, op_index, '{k}' AS field, unnest(regexp_extract_all(text, '{p}')) AS value, {i} AS ord FROM L" for i, (k, p) in enumerate(ENTITIES.items()))
 
@@ -22,9 +25,12 @@ def _documents(spark, sf_dir):
 
 
 def _entities(spark, sf_dir):
-    lines = line_ops(_documents(spark, sf_dir))
-    found = F.array(*(F.struct(F.lit(k).alias("field"), F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("values"), F.lit(i).alias("ord")) for i, (k, p) in enumerate(ENTITIES.items())))
-    rows = lines.select("doc_id", "op_index", F.explode(found).alias("e"))
+    # no match goes over a line's end, so texts without any need not be cut into lines
+    lines = line_ops(_documents(spark, sf_dir).where(F.col("text").rlike(ANY)))
+    # a pattern is tried only where its mark occurs; numbers and mail addresses are
+    # not begun again from their middle (the same matches in linear time)
+    found = F.array(*(F.struct(F.lit(k).alias("field"), F.regexp_extract_all("text", F.lit(SEARCHED[k]), F.lit(0)).alias("values"), F.lit(i).alias("ord"), F.col("text").contains(HINTS[k]).alias("tried")) for i, k in enumerate(ENTITIES)))
+    rows = lines.where(F.col("text").rlike("[0-9@]")).select("doc_id", "op_index", F.explode(F.filter(found, lambda e: e["tried"])).alias("e"))
     return rows.select("doc_id", "op_index", "e.field", F.explode("e.values").alias("value"), "e.ord")
 
 
@@ -56,10 +62,10 @@ def similarity_key(spark, sf_dir):
     return rows.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).where("n > 1")
 
 
-@query(f"WITH {LINES} SELECT pattern, count(*) AS n FROM (SELECT list_aggregate(list_transform(list_filter(string_split(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')), ' '), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN 'N' WHEN length(t) = 1 THEN '1' ELSE 'W' END), 'string_agg', '') AS pattern FROM L) WHERE length(pattern) <= 12 GROUP BY pattern")
+@query(f"WITH {LINES} SELECT pattern, count(*) AS n FROM (SELECT list_aggregate(list_transform(list_filter(string_split(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')), ' '), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN 'N' WHEN length(t) = 1 THEN '1' ELSE 'W' END), 'string_agg', '') AS pattern FROM L) WHERE pattern <> '' GROUP BY pattern")
 def pattern_frequency(spark, sf_dir):
     rows = line_ops(_documents(spark, sf_dir)).select(T.token_pattern(F.col("text")).alias("pattern"))
-    return rows.where(F.length("pattern").between(1, 12)).groupBy("pattern").agg(F.count("*").alias("n"))
+    return rows.where("pattern != ''").groupBy("pattern").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {LINES} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '^[A-Z0-9 ]+:') OR length(text) < 20 THEN 'fixed' WHEN regexp_matches(text, '[0-9]{{4,}}|@') THEN 'variable' WHEN length(text) > 200 THEN 'body' ELSE 'other' END AS kind FROM L) GROUP BY kind")
@@ -80,7 +86,7 @@ def positional_diff(spark, sf_dir):
 
 def _pairs(spark, sf_dir, split):
     docs = _documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 2).alias("pair_id"), (F.col("doc_id") % 2).alias("side"), split.alias("ops"))
-    return docs.groupBy("pair_id").agg(F.max(F.when(F.col("side") == 0, F.col("ops"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("ops"))).alias("b")).where("a is not null and b is not null").repartition(spark.sparkContext.defaultParallelism, "pair_id")
+    return docs.groupBy("pair_id").agg(F.max(F.when(F.col("side") == 0, F.col("ops"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("ops"))).alias("b")).where("a is not null and b is not null")
 
 
 @query()
@@ -128,7 +134,8 @@ def field_best(spark, sf_dir):
 def coverage_report(spark, sf_dir):
     """Which fields occur, in how many documents and in what share of them."""
     total = _documents(spark, sf_dir).agg(F.count("*").alias("total"))
-    rows = _entities(spark, sf_dir).groupBy("field").agg(F.count("*").alias("n_values"), F.countDistinct("doc_id").alias("docs"))
+    each = _entities(spark, sf_dir).groupBy("doc_id", "field").agg(F.count("*").alias("n"))
+    rows = each.groupBy("field").agg(F.sum("n").alias("n_values"), F.count("*").alias("docs"))
     return rows.join(F.broadcast(total)).select("field", "n_values", "docs", F.round(F.col("docs") / F.col("total"), 6).alias("coverage"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.ordered import best, blocks, carried_forward, prev, ranges, spans
+from ..operators.ordered import best, blocks, carried_forward, nearest, prev, ranges, spans
 from ..sources.content import table
 from .registry import query
 
@@ -74,11 +74,11 @@ def inventory_rollup(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@query("SELECT o.o_orderkey, coalesce(c.c_name, n.c_name) AS name, CASE WHEN c.c_name IS NOT NULL THEN 'id' WHEN n.c_name IS NOT NULL THEN 'name' ELSE 'none' END AS method FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON o.o_custkey = c.c_custkey LEFT JOIN (SELECT lower(c_name) AS key, min(c_name) AS c_name FROM customer GROUP BY 1) n ON n.key = 'customer#' || lpad(o.o_custkey::VARCHAR, 9, '0')")
+@query("SELECT o.o_orderkey, coalesce(c.c_name, n.c_name) AS name, CASE WHEN c.c_name IS NOT NULL THEN 'id' WHEN n.c_name IS NOT NULL THEN 'name' ELSE 'none' END AS method FROM orders o LEFT JOIN (SELECT * FROM customer) c ON o.o_custkey = c.c_custkey LEFT JOIN (SELECT lower(c_name) AS key, min(c_name) AS c_name FROM customer GROUP BY 1) n ON n.key = 'customer#' || lpad(o.o_custkey::VARCHAR, 9, '0')")
 def catalog_lookup(spark, sf_dir):
-    """By id first, then by name; the catalog has ids for half its entries."""
+    """By id first, then by name."""
     customer = table(spark, sf_dir, "customer")
-    by_id = customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("by_id"))
+    by_id = customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("by_id"))
     by_name = customer.groupBy(F.lower("c_name").alias("key")).agg(F.min("c_name").alias("by_name"))
     orders = table(spark, sf_dir, "orders").withColumn("key", F.concat(F.lit("customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")))
     rows = orders.join(by_id, "o_custkey", "left").join(by_name, "key", "left")
@@ -99,9 +99,11 @@ def alias_lookup(spark, sf_dir):
 def nearest_value(spark, sf_dir):
     """The brand's list price nearest to a part's price raised by 2 %, within 15 %."""
     part = table(spark, sf_dir, "part")
-    prices = part.select("p_brand", F.col("p_retailprice").alias("nearest")).distinct()
-    rows = part.select("p_partkey", "p_brand", (F.col("p_retailprice") * 1.02).alias("wanted")).join(prices, "p_brand").withColumn("diff", F.abs(F.col("nearest") - F.col("wanted")))
-    return best(rows.where("diff <= wanted * 0.15"), ["p_partkey"], [F.col("diff"), F.col("nearest")]).select("p_partkey", "nearest")
+    prices = part.select("p_brand", F.col("p_retailprice").alias("price"))
+    wanted = part.select("p_partkey", "p_brand", (F.col("p_retailprice") * 1.02).alias("wanted"))
+    rows = nearest(wanted, prices, "p_brand", "wanted", "price", width=10.0)
+    diff = F.abs(F.col("price") - F.col("wanted"))
+    return rows.where(diff <= F.col("wanted") * 0.15).select("p_partkey", F.col("price").alias("nearest"))
 
 
 @query("SELECT l.l_orderkey, count(*) AS inside FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey AND l.l_shipdate >= o.o_orderdate AND l.l_shipdate < o.o_orderdate + INTERVAL 60 DAY GROUP BY 1")
