@@ -1,0 +1,3 @@
+"""The registered queries; importing the package fills the registry."""
+
+from . import detection, documents, fields, forms, pairs, rules, streams, tables, windows  # noqa: F401

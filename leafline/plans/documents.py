@@ -113,9 +113,8 @@ def content_ops(spark, sf_dir):
     """Documents written as content streams and read back by the tokenizer."""
     literal = F.regexp_replace("text", r"([\\()])", r"\\$1")
     streams = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("BT /F1 12 Tf % note\n("), F.regexp_replace(literal, "\n", ") Tj T* ("), F.lit(") Tj ET")).cast("binary").alias("bytes"))
-    spark.udtf.register("content_ops", ContentOps)
-    streams.createOrReplaceTempView("_content_streams")
-    return spark.sql("SELECT doc_id, o.op_index, o.op, length(o.text) AS n_chars FROM _content_streams, LATERAL content_ops(bytes) o")
+    rows = streams.lateralJoin(ContentOps(F.col("bytes").outer()))
+    return rows.select("doc_id", "op_index", "op", F.length("text").alias("n_chars"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, op_index, field, value FROM ({ALL})")

@@ -15,5 +15,3 @@ def query(sql: str | None = None):
 
     return register
 
-
-from . import detection, documents, fields, forms, pairs, rules, streams, tables, windows  # noqa: E402, F401

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -65,21 +68,22 @@ def lexemes(stream: bytes):
 
 
 def shown_text(token: str) -> str:
-    """The text of a literal, hexadecimal or array operand."""
+    """The text of a literal, hexadecimal or array operand. Escapes of literals are
+    undone, octal ones too; a hexadecimal byte that is none counts as a blank."""
     if token.startswith("["):
         return "".join(shown_text(t) for t in lexemes(token[1:-1].encode("latin-1")) if t[0] in "(<")
     if token.startswith("<"):
         digits = "".join(token.strip("<>").split())
-        return bytes.fromhex(digits + "0" * (len(digits) % 2)).decode("latin-1")
-    out, i, body = [], 0, token[1:-1]
-    while i < len(body):
-        if body[i] == "\\" and i + 1 < len(body):
-            i += 1
-            out.append({"n": "\n", "r": "\r", "t": "\t"}.get(body[i], body[i]))
-        else:
-            out.append(body[i])
-        i += 1
-    return "".join(out)
+        pairs = [digits[i : i + 2].ljust(2, "0") for i in range(0, len(digits), 2)]
+        return "".join(chr(int(p, 16)) if all(c in string.hexdigits for c in p) else " " for p in pairs)
+    return re.sub(r"\\(?:([0-7]{1,3})|(.))", _escaped, token[1:-1], flags=re.DOTALL)
+
+
+def _escaped(found: re.Match) -> str:
+    octal, other = found.groups()
+    if octal:
+        return chr(int(octal, 8) % 256)
+    return {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "\n": ""}.get(other, other)
 
 
 @udtf(returnType="op_index int, op string, text string, raw_token string")
