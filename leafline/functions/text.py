@@ -39,11 +39,13 @@ def join_spaced_letters(text: Column) -> Column:
 
 def token_pattern(text: Column) -> Column:
     """One sign for each token: N with a digit, 1 of one character, W otherwise.
-    Whole-line replacements, as a function of each token costs several times more."""
-    rest = F.translate(collapse_blanks(text), "\x01\x02\x03", "...")
-    for pattern, sign in (("[^ 0-9]*+[0-9][^ ]*+", "\x01"), ("(?<![^ ])[^ \x01](?![^ ])", "\x02"), ("[^ \x01\x02]++", "\x03")):
+    Replacements over the whole line, each in one pass: runs without digits, digits,
+    tokens that hold one, and what is left alone. A function of each token costs more."""
+    rest = F.translate(text, "\x01\x02\x04", "...")
+    blank = r" \t\r\n"
+    for pattern, sign in ((f"[^{blank}0-9]{{2,}}+", "\x02"), ("[0-9]++", "\x01"), (f"[^{blank}\x01]*+\x01[^{blank}]*+", "\x04"), (f"[^{blank}\x02\x04]", "1")):
         rest = F.regexp_replace(rest, pattern, sign)
-    return F.translate(rest, "\x01\x02\x03 ", "N1W")
+    return F.translate(rest, "\x02\x04 \t\r\n", "WN")
 
 
 def longest_token(text: Column) -> Column:
