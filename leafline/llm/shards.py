@@ -14,6 +14,7 @@ null ids hash like any other value.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,8 +43,7 @@ class SlotMap:
 def store(spark: SparkSession, versions: list[SlotMap], path: str | None = None) -> str:
     """Writes versions of the map, (version, virtual_slot, shard), and returns where."""
     path = path or fresh_path(spark, "slot-map")
-    for m in versions:
-        m.table(spark).coalesce(1).write.mode("append").parquet(path)
+    reduce(DataFrame.unionByName, (m.table(spark) for m in versions)).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -106,13 +106,13 @@ def slot_bytes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("virtual_slot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
 
 
-def assign(rows: DataFrame, versions: SlotMap, later: SlotMap | None = None, id_col: str = "doc_id") -> DataFrame:
+def assign(rows: DataFrame, versions: SlotMap | DataFrame, later: SlotMap | DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """rows of sized() with shard, slot (place in the shard, from 0 and without
-    gaps) and, by a later map, grown_shard."""
-    spark = rows.sparkSession
-    table = versions.table(spark).select("virtual_slot", "shard")
-    if later:
-        table = table.join(later.table(spark).select("virtual_slot", F.col("shard").alias("grown_shard")), "virtual_slot")
+    gaps) and, by a later map, grown_shard. A map may be given by its stored rows."""
+    versions, later = (m.table(rows.sparkSession) if isinstance(m, SlotMap) else m for m in (versions, later))
+    table = versions.select("virtual_slot", "shard")
+    if later is not None:
+        table = table.join(later.select("virtual_slot", F.col("shard").alias("grown_shard")), "virtual_slot")
     else:
         table = table.withColumn("grown_shard", F.lit(None).cast("int"))
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,6 +133,8 @@ def placed(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: s
     bytes_of = {r.virtual_slot: r.bytes for r in slot_bytes(rows).collect()}  # one row a slot, of a fixed number
     even = rebalanced(first, bytes_of)
     path = store(spark, [first, grown(first), SlotMap(3, even.shard_of)], path)
-    out = assign(rows, load(spark, path, 1), load(spark, path, 2), id_col)
-    balanced = load(spark, path, 3).table(spark).select("virtual_slot", F.col("shard").alias("balanced_shard"))
+    stored = spark.read.parquet(path)
+    version = lambda n: stored.where(F.col("version") == n)
+    out = assign(rows, version(1), version(2), id_col)
+    balanced = version(3).select("virtual_slot", F.col("shard").alias("balanced_shard"))
     return out.join(F.broadcast(balanced), "virtual_slot")
