@@ -99,7 +99,7 @@ def test_toxicity_counts_equal_brute_force(spark):
         return max(seen - 0.75, 0) / total + 0.75 * kinds(c, 0, before) / total * lower(c, w)
 
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    models, _ = toxicity.fit(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
+    models, _, _ = toxicity.fit(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int"))
     got = models.value.evidence(texts[:6])[:, 0]
     for text, found in zip(texts[:6], got, strict=True):
         words = text.split()

@@ -57,7 +57,7 @@ def test_toxicity_keeps_words_that_shared_a_place(spark):
     found = []
     for other in (common, "elsewhere"):
         renamed = [t.replace(common, other) for t in texts]
-        models, _ = toxicity.fit(spark.createDataFrame(list(enumerate(renamed)), "doc_id long, text string"), labels)
+        models, _, _ = toxicity.fit(spark.createDataFrame(list(enumerate(renamed)), "doc_id long, text string"), labels)
         found.append(models.value.evidence(renamed))
     assert np.allclose(*found)
 
