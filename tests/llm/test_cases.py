@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafline.llm import decontam, graph, near_dedup, pii, quality, shards, topk, toxicity, warc
+from leafline.llm import common, decontam, graph, near_dedup, pii, quality, shards, topk, toxicity, warc
 from leafline.llm.common import fresh_path, read_table
 
 
@@ -68,6 +68,7 @@ def test_components_of_chains_and_stars(spark):
 
 def test_toxicity_by_joined_tables_equals_broadcast_ones(spark, sf, monkeypatch):
     monkeypatch.setattr(toxicity, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(common, "BATCH_ROWS", 7)
     docs, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
     one, other = ({r.doc_id: r.score for r in toxicity.scored(docs, labels, most=n).collect()} for n in (10**9, 0))
     assert one.keys() == other.keys() and all(abs(one[i] - other[i]) < 1e-9 for i in one)
