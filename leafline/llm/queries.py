@@ -94,5 +94,44 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op3_exact_topk, op4_bpe_codec, op5_toxicity, op6_warc, op7_pii, op8_virtual_slots, op9_quality, op10_decontamination)}
-ORACLES: dict[str, str] = {"op3_exact_topk": OP3_SQL, "op6_warc": OP6_SQL}
+def op11_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .annulus import clustered
+
+    return clustered(read_table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """Every round as plain SQL over all pairs of a vector and a centroid."""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), q) - 1 AS k, q FROM v QUALIFY k < {k})",
+    ]
+    for r in range(rounds + 1):
+        pairs = f"SELECT row, vec_id, v.q, k, list_sum(list_transform(range(1, {dim + 1}), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))::BIGINT AS d FROM v, c{r} AS c"
+        parts.append(f"a{r} AS MATERIALIZED (SELECT row, any_value(vec_id) AS vec_id, any_value(q) AS q, min(k) AS cluster, min(d) AS distance FROM (SELECT *, min(d) OVER (PARTITION BY row) AS least FROM ({pairs})) WHERE d = least GROUP BY row)")
+        if r < rounds:
+            sums = f"SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(q) AS x, unnest(range(1, {dim + 1})) AS i FROM a{r}) GROUP BY cluster, i"
+            moved = f"SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q FROM ({sums}) GROUP BY cluster"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m.q, c.q) AS q FROM c{r} AS c LEFT JOIN ({moved}) AS m ON m.cluster = c.k)")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} AS c ON c.k = cluster"""
+
+
+def op12_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .permutation_index import nearest
+
+    table = read_table(spark, sf_dir, "embeddings")
+    return nearest(table, table.where("vec_id % 100 = 0"), 10)
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_token_counts, op3_exact_topk, op4_bpe_codec, op5_toxicity, op6_warc, op7_pii, op8_virtual_slots, op9_quality, op10_decontamination, op11_annulus_clusters, op12_lanczos_whitening, op13_permutation_index)}
+ORACLES: dict[str, str] = {"op3_exact_topk": OP3_SQL, "op6_warc": OP6_SQL, "op11_annulus_clusters": _op11_sql()}
