@@ -1,6 +1,6 @@
 """Alignment and difference of pairs of documents. A pair is one group whose size
-is that of its two texts; the pairs are spread by Spark. Equal items at both ends
-are paired first, the tables between them are filled row by row with numpy."""
+is that of its two texts; the pairs are spread by Spark. Memory grows with the texts
+of a pair, or a root of their product more, never with the product."""
 
 from __future__ import annotations
 
@@ -39,17 +39,99 @@ def distances(a: str, others: list[str]) -> list[int]:
     return out
 
 
-def similarities(a: str, others: list[str]) -> list[float]:
+class Lines:
+    """Texts in one array of code points, the longest first, for distances to many at
+    once: at each place only the texts that reach it take part, so one long text
+    widens nothing."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.order = np.argsort(-sizes, kind="stable")
+        self.sizes = sizes[self.order]
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])[:-1].astype(np.int64)
+        points = np.frombuffer("".join(texts[i] for i in self.order).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.alphabet, codes = np.unique(points, return_inverse=True)
+        self.codes = codes.astype(np.int64)
+        # how many texts are longer than a place
+        self.reach = len(texts) - np.searchsorted(self.sizes[::-1], np.arange(self.sizes[0] if len(texts) else 0), side="right")
+
+    def _columns(self, a: str, along: int):
+        """For each place the changes of the last row of all tables that reach it, with
+        the texts' number: columns side by side, 64 rows of each in two words (where it
+        rises and where it falls). ``along`` is 1 where the first row grows with the
+        text, 0 where a piece may begin anywhere."""
+        own = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+        words = (len(own) + 63) // 64
+        hits = np.zeros((words, len(self.alphabet)), np.uint64)
+        for w in range(words):
+            part = own[64 * w : 64 * w + 64]
+            at = np.searchsorted(self.alphabet, part)
+            known = (at < len(self.alphabet)) & (self.alphabet[np.minimum(at, len(self.alphabet) - 1)] == part) if len(self.alphabet) else np.zeros(len(part), bool)
+            np.bitwise_or.at(hits[w], at[known], np.uint64(1) << np.flatnonzero(known).astype(np.uint64))
+        last = np.uint64((len(own) - 1) % 64)
+        up, down = np.full((words, len(self.texts)), ~np.uint64(0)), np.zeros((words, len(self.texts)), np.uint64)
+        one, top = np.uint64(1), np.uint64(63)
+        for place, n in enumerate(self.reach):
+            at = self.codes[self.begins[:n] + place]
+            rises, falls = np.full(n, along, np.uint64), np.zeros(n, np.uint64)
+            for w in range(words):
+                here, p, m = hits[w][at], up[w, :n], down[w, :n]
+                vertical = here | m
+                here = here | falls
+                same = (((here & p) + p) ^ p) | here
+                rise, fall = m | ~(same | p), p & same
+                end = last if w == words - 1 else top
+                next_rises, next_falls = (rise >> end) & one, (fall >> end) & one
+                rise, fall = (rise << one) | rises, (fall << one) | falls
+                up[w, :n], down[w, :n] = fall | ~(vertical | rise), rise & vertical
+                rises, falls = next_rises, next_falls
+            yield place, n, rises.astype(np.int64) - falls.astype(np.int64)
+
+    def side_by_side(self, a: str) -> bool:
+        """Whether columns of all texts at once take less time than one text after
+        the other, whose columns are one large integer each."""
+        words = (len(a) + 63) // 64
+        return bool(a) and STEP * words * len(self.reach) < len(self.codes) * (1 + words / 16)
+
+    def distances(self, a: str) -> np.ndarray:
+        """Edit distance of a to every text."""
+        if not self.side_by_side(a):
+            return np.array(distances(a, self.texts), dtype=np.int64)
+        out = np.full(len(self.texts), len(a), np.int64)
+        for _, n, change in self._columns(a, 1):
+            out[:n] += change
+        found = np.empty_like(out)
+        found[self.order] = out
+        return found
+
+    def piece_distances(self, a: str) -> list[np.ndarray]:
+        """For every text, at each place (the number of characters before it) the least
+        edit distance of a to a piece that ends there."""
+        now, flat = np.full(len(self.texts), len(a), np.int64), np.zeros(len(self.codes), np.int64)
+        for place, n, change in self._columns(a, 0):
+            now[:n] += change
+            flat[self.begins[:n] + place] = now[:n]
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(self.texts)
+        for k, i in enumerate(self.order):
+            out[i] = np.concatenate([[len(a)], flat[self.begins[k] : self.begins[k] + self.sizes[k]]])
+        return out
+
+
+#: A step of arrays takes so many times as long as one of an integer.
+STEP = 25
+
+
+def similarities(a: str, others: list[str] | Lines):
     """Seven parts edit distance, three parts difference of lengths, both as
     shares of the longer text; two empty texts are alike, one empty text is not."""
-    out = []
-    for b, d in zip(others, distances(a, others), strict=True):
-        longest = max(len(a), len(b))
-        if not a or not b:
-            out.append(0.0 if longest else 1.0)
-        else:
-            out.append(0.7 * (1 - d / longest) + 0.3 * (1 - abs(len(a) - len(b)) / longest))
-    return out
+    lines = others if isinstance(others, Lines) else Lines(list(others))
+    sizes = np.zeros(len(lines.texts))
+    sizes[lines.order] = lines.sizes
+    longest = np.maximum(np.maximum(sizes, len(a)), 1)
+    near = 0.7 * (1 - lines.distances(a) / longest) + 0.3 * (1 - np.abs(sizes - len(a)) / longest)
+    out = np.where((sizes == 0) | (len(a) == 0), (sizes == len(a)).astype(float), near)
+    return out if isinstance(others, Lines) else out.tolist()
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -59,60 +141,120 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(near)
 
 
-def path(score: np.ndarray, gap: float) -> list[tuple[int | None, int | None]]:
-    """The best monotone path through a table of scores; of equal ones a pair goes
-    first, then an item of the first side alone. A row follows from the one above:
-    what comes from the left is a running maximum of values without their gaps."""
-    n, m = score.shape
-    total = np.empty((n + 1, m + 1))
-    steps = gap * np.arange(m + 1)
-    total[0] = steps
-    for i in range(1, n + 1):
-        best = total[i - 1] + gap
-        np.maximum(best[1:], total[i - 1, :-1] + score[i - 1], out=best[1:])
-        total[i] = np.maximum.accumulate(best - steps) + steps
+#: Scores are whole numbers of this share of one, so sums of them are exact and equal
+#: totals are equal, whatever the way to them.
+UNIT = 1 << 40
+
+
+def path(row, n: int, m: int, gap: float) -> list[tuple[int | None, int | None]]:
+    """The best monotone path through a table of n x m scores, of which ``row(i)`` gives
+    one row; of equal ones a pair goes first, then an item of the first side alone.
+
+    Totals of every k-th row are kept, k about the square root of n. The way back fills
+    the rows between two of them once more, with a byte a cell for the step taken there,
+    so memory grows with m times that root, and rows are asked for twice."""
+    steps = round(gap * UNIT) * np.arange(m + 1, dtype=np.int64)
+    every = max(1, int(np.sqrt(n)))
+
+    def following(total: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+        pair = np.full(m + 1, np.iinfo(np.int64).min // 2)
+        pair[1:] = total[:-1] + np.rint(np.asarray(row(i)) * UNIT).astype(np.int64)
+        alone = total + steps[1] if m else total + round(gap * UNIT)
+        best = np.maximum(pair, alone)
+        # what comes from the left is a running maximum of values without their gaps
+        out = np.maximum.accumulate(best - steps) + steps
+        return out, np.where(out == pair, 0, np.where(out == alone, 1, 2)).astype(np.int8)
+
+    total, kept = steps.copy(), {0: steps.copy()}
+    for i in range(n):
+        total, _ = following(total, i)
+        if (i + 1) % every == 0:
+            kept[i + 1] = total
     out, i, j = [], n, m
-    while i or j:
-        if i and j and np.isclose(total[i, j], total[i - 1, j - 1] + score[i - 1, j - 1]):
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif i and np.isclose(total[i, j], total[i - 1, j] + gap):
-            i -= 1
-            out.append((i, None))
-        else:
-            j -= 1
-            out.append((None, j))
-    return out[::-1]
+    while i:
+        low = (i - 1) // every * every
+        total, taken = kept[low], []
+        for k in range(low, i):
+            total, step = following(total, k)
+            taken.append(step)
+        while i > low:
+            step = taken[i - low - 1][j]
+            i, j = i - (step < 2), j - (step != 1)
+            out.append((i if step < 2 else None, j if step != 1 else None))
+    return (out + [(None, k) for k in range(j - 1, -1, -1)])[::-1]
 
 
 def aligned(a: list[str], b: list[str]) -> list[tuple[int | None, int | None, float]]:
     """The best monotone alignment: similarity of paired blocks, GAP for the others.
-    Equal blocks are compared once."""
-    texts, which = np.unique(np.array(b, dtype=object).astype(str), return_inverse=True) if len(b) else (np.array([], str), np.array([], int))
-    known: dict[str, np.ndarray] = {}
-    for x in a:
-        if x not in known:
-            known[x] = np.array(similarities(x, texts.tolist()))[which] if len(b) else np.zeros(0)
-    score = np.array([known[x] for x in a]).reshape(len(a), len(b))
-    return [(i, j, float(score[i, j]) if i is not None and j is not None else 0.0) for i, j in path(score, GAP)]
-
-
-def common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a longest common subsequence of numbered tokens. What both have at
-    their ends is paired first; a table of bits, one row a token of a, does the rest."""
-    n = min(len(a), len(b))
-    head = int(np.argmin(a[:n] == b[:n])) if n and not (a[:n] == b[:n]).all() else n
-    left = n - head
-    tails = a[len(a) - left :][::-1] == b[len(b) - left :][::-1] if left else np.zeros(0, bool)
-    tail = int(np.argmin(tails)) if left and not tails.all() else left
-    x, y = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
-    places: dict[int, int] = {}
-    for j, t in enumerate(y):
-        places[t] = places.get(t, 0) | 1 << j
-    full = (1 << len(y)) - 1
+    Equal ends are paired at once (nothing can be better, and the way back takes pairs
+    first); equal blocks are compared once a row."""
+    tail = 0
+    while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[: len(a) - tail], b[: len(b) - tail]
+    number: dict[str, int] = {}
+    which = np.array([number.setdefault(t, len(number)) for t in y], dtype=np.int64)
+    lines, held = Lines(list(number)), {}
+
+    def row(i: int) -> np.ndarray:
+        if x[i] not in held:
+            if len(held) * len(number) > HELD:
+                held.clear()
+            held[x[i]] = similarities(x[i], lines)
+        return held[x[i]][which]
+
+    steps = path(row, len(x), len(y), GAP)
+    out = [(i, j, float(row(i)[j]) if i is not None and j is not None else 0.0) for i, j in steps]
+    return out + [(len(x) + k, len(y) + k, 1.0) for k in range(tail)]
+
+
+#: So many similarities of rows are kept (32 MB).
+HELD = 1 << 22
+
+
+class _Places:
+    """For each number the bits of the places where it stands in ``y``."""
+
+    def __init__(self, y: np.ndarray):
+        order = np.argsort(y, kind="stable")
+        names, begins = np.unique(y[order], return_index=True)
+        ends = np.append(begins[1:], len(y))
+        self.at = {int(t): order[i:j] for t, i, j in zip(names, begins, ends, strict=True)}
+        self.size, self.known = len(y), {}
+
+    def get(self, t: int) -> int:
+        if t not in self.at:
+            return 0
+        if t in self.known:
+            return self.known[t]
+        places = self.at[t]
+        if len(places) < 32:  # rare: not worth keeping m bits
+            return sum(1 << int(p) for p in places)
+        bits = np.zeros(self.size, np.uint8)
+        bits[places] = 1
+        self.known[t] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        return self.known[t]
+
+
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each prefix of y (from the empty one) the length of its longest common
+    subsequence with x: one integer of len(y) bits is a row of the table, where a
+    zero bit means that the length grows there."""
+    places, row = _Places(y), (1 << len(y)) - 1
+    full = row
+    for t in x.tolist():
+        hit = row & places.get(t)
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((len(y) + 7) // 8, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _table(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """A longest common subsequence with a row of bits held for each token of x."""
+    places, full = _Places(y), (1 << len(y)) - 1
     row, rows = full, []
-    for t in x:  # a zero bit j of a row: the row's length grows at token j
-        hit = row & places.get(t, 0)
+    for t in x.tolist():
+        hit = row & places.get(t)
         row = ((row + hit) | (row - hit)) & full
         rows.append(row)
     out, i, j = [], len(x) - 1, len(y) - 1
@@ -123,9 +265,44 @@ def common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         elif grows(i - 1, j):
             i -= 1
         else:
-            out.append((head + i, head + j))
+            out.append((i, j))
             i, j = i - 1, j - 1
-    return [(k, k) for k in range(head)] + out[::-1] + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+    return out[::-1]
+
+
+#: Up to so many bits (4 MB) a table is held whole.
+TABLE_BITS = 1 << 25
+
+
+def common(a: np.ndarray, b: np.ndarray, most_bits: int = TABLE_BITS) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence of numbered tokens. What both have at their
+    ends is paired first. The rest is divided: the first half of a meets some prefix of
+    b and the second half the rest of it, where the lengths of both add up to most; so
+    memory grows with the texts, not with their product."""
+    out: list[tuple[int, int]] = []
+    work = [(0, len(a), 0, len(b))]
+    while work:
+        a0, a1, b0, b1 = work.pop()
+        n = min(a1 - a0, b1 - b0)
+        same = a[a0 : a0 + n] == b[b0 : b0 + n]
+        head = int(np.argmin(same)) if n and not same.all() else n
+        out += [(a0 + k, b0 + k) for k in range(head)]
+        a0, b0, n = a0 + head, b0 + head, n - head
+        tails = a[a1 - n : a1][::-1] == b[b1 - n : b1][::-1]
+        tail = int(np.argmin(tails)) if n and not tails.all() else n
+        a1, b1 = a1 - tail, b1 - tail
+        out += [(a1 + k, b1 + k) for k in range(tail)]
+        if a0 == a1 or b0 == b1:
+            continue
+        x, y = a[a0:a1], b[b0:b1]
+        if len(x) * len(y) <= most_bits or len(x) == 1:
+            out += [(a0 + i, b0 + j) for i, j in _table(x, y)]
+            continue
+        middle = len(x) // 2
+        total = _lengths(x[:middle], y) + _lengths(x[middle:][::-1], y[::-1])[::-1]
+        cut = int(total.argmax())
+        work += [(a0, a0 + middle, b0, b0 + cut), (a0 + middle, a1, b0 + cut, b1)]
+    return sorted(out)
 
 
 def numbered(a, b) -> tuple[np.ndarray, np.ndarray]:
@@ -152,15 +329,39 @@ def runs(a, b) -> list[tuple[str, int, int, int, int]]:
 
 
 def block_alignment(pairs: DataFrame) -> DataFrame:
-    """pairs(pair_id, a array<string>, b array<string>) -> one row for each step."""
+    """pairs(pair_id, a array<string>, b array<string>) -> one row for each step. Where
+    pairs has a_norm and b_norm (other forms of the same blocks), ``same`` says whether
+    the forms of a paired step are equal."""
+    forms = [c for c in ("a_norm", "b_norm") if c in pairs.columns]
 
     def run(batches):
         for frame in batches:
-            rows = [(p, i, j, s) for p, a, b in zip(frame.pair_id, frame.a, frame.b, strict=True) for i, j, s in aligned(list(a), list(b))]
-            out = pd.DataFrame(rows, columns=["pair_id", "a_index", "b_index", "score"])
-            yield out.astype({"a_index": "Int32", "b_index": "Int32"})
-
-    return pairs.select("pair_id", "a", "b").mapInPandas(run, ALIGNED)
+            rows = []
+            for k in range(len(frame)):
+                other = [list(frame[c].iat[k]) for c in forms]
+                for i, j, s in aligned(list(frame.a.iat[k]), list(frame.b.iat[k])):
+                    rows.append((frame.pair_id.iat[k], i, j, s, *([i is not None and j is not None and other[0][i] == other[1][j]] if forms else [])))
+            out = pd.DataFrame(rows, columns=["pair_id", "a_index", "b_index", "score", *(["same"] if forms else [])])
+            yield out.astype({"a_index": "Int32", "b_index": "Int32"} | ({"same": bool} if forms else {}))
+
+    return pairs.select("pair_id", "a", "b", *forms).mapInPandas(run, ALIGNED + (", same boolean" if forms else ""))
+
+
+def variable_ranges(pairs: DataFrame, backoff: int = 2) -> DataFrame:
+    """pairs(pair_id, a, b, a_norm, b_norm) -> for each side the operators (from 1) from
+    the first to the last that vary, ``backoff`` further back, or all of them, and
+    their text: pair_id, side, start_op, end_op, value_full. A side without operators
+    has no range and an empty text."""
+    steps = block_alignment(pairs)
+    found = steps.groupBy("pair_id").agg(*(f(F.when(~F.col("same"), F.col(f"{x}_index") + 1)).alias(f"{x}_{n}") for x in "ab" for n, f in (("first", F.min), ("last", F.max))))
+    rows = pairs.select("pair_id", "a", "b").join(found, "pair_id", "left")
+    sides = F.array(*(F.struct(F.lit(x).alias("side"), F.col(x).alias("ops"), F.col(f"{x}_first").alias("first"), F.col(f"{x}_last").alias("last")) for x in "ab"))
+    rows = rows.select("pair_id", F.explode(sides).alias("s")).select("pair_id", "s.*")
+    start = F.greatest(F.lit(1), F.coalesce(F.col("first") - backoff, F.lit(1)))
+    end = F.coalesce("last", F.size("ops"))
+    held = F.size("ops") > 0
+    text = F.array_join(F.slice("ops", start, F.greatest(F.lit(0), end - start + 1)), "\n")
+    return rows.select("pair_id", "side", F.when(held, start).cast("int").alias("start_op"), F.when(held, end).cast("int").alias("end_op"), F.when(held, text).otherwise("").alias("value_full"))
 
 
 def token_diff(pairs: DataFrame) -> DataFrame:
@@ -178,18 +379,6 @@ def token_diff(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", "a", "b").mapInPandas(run, "pair_id long, ord int, kind string, tokens int, text string")
 
 
-def char_diff(pairs: DataFrame) -> DataFrame:
-    """pairs(pair_id, a string, b string) -> EQ, DEL and INS segments of characters
-    with their offsets in both texts."""
-
-    def run(batches):
-        for frame in batches:
-            rows = [(p, n, kind, i, k, b[k:m] if kind == "INS" else a[i:j]) for p, a, b in zip(frame.pair_id, frame.a, frame.b, strict=True) for n, (kind, i, j, k, m) in enumerate(runs(a, b))]
-            yield pd.DataFrame(rows, columns=["pair_id", "ord", "kind", "a_at", "b_at", "text"])
-
-    return pairs.select("pair_id", "a", "b").mapInPandas(run, "pair_id long, ord int, kind string, a_at int, b_at int, text string")
-
-
 def base_slots(members: DataFrame) -> DataFrame:
     """members(group_id, base array, other array): which tokens and gaps of the base
     vary against each other member. slot 2i is the gap before token i, 2i + 1 the

@@ -1,3 +1,3 @@
 """The registered queries; importing the package fills the registry."""
 
-from . import cascades, detection, documents, fields, forms, pairs, rules, streams, tables, windows  # noqa: F401
+from . import cascades, detection, documents, fields, forms, pairs, rules, streams, tables, templates, windows  # noqa: F401

@@ -5,39 +5,83 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import align
+from ..operators import align, difference
+from ..operators import blocks as B
 from ..sources.content import line_ops, table
-from .documents import _pairs, block_alignment
+from .documents import _pairs
 from .registry import query
+from .streams import FULL, placed
+
+
+def _normed(pairs):
+    """pairs(pair_id, a, b) with the forms that decide whether paired operators vary."""
+    return pairs.withColumns({f"{x}_norm": F.transform(x, T.digits_hidden) for x in "ab"})
 
 
 @query()
 def variable_ranges(spark, sf_dir):
-    """For each pair the operators from the first to the last that differ in their
-    normal form (two further back, at least 1), or all, and the text of that range."""
-    rows = block_alignment(spark, sf_dir)
-    lines = line_ops(table(spark, sf_dir, "documents")).withColumn("norm", T.digits_hidden(F.col("text")))
-    side = lambda k, name: lines.where(F.col("doc_id") % 2 == k).select(F.floor(F.col("doc_id") / 2).alias("pair_id"), (F.col("op_index") - 1).alias(f"{name}_index"), F.col("norm").alias(f"{name}_norm"))
-    rows = rows.join(side(0, "a"), ["pair_id", "a_index"], "left").join(side(1, "b"), ["pair_id", "b_index"], "left")
-    differs = ~F.coalesce(F.col("a_norm") == F.col("b_norm"), F.lit(False))
-    at = F.col("a_index") + 1
-    found = rows.groupBy("pair_id").agg(F.min(F.when(differs, at)).alias("first"), F.max(F.when(differs, at)).alias("last"), F.max(at).alias("all"))
-    found = found.select("pair_id", F.greatest(F.lit(1), F.coalesce(F.col("first") - 2, F.lit(1))).alias("start_op"), F.coalesce("last", "all").alias("end_op"))
-    inside = lines.where("doc_id % 2 = 0").withColumn("pair_id", F.floor(F.col("doc_id") / 2)).join(found, "pair_id").where("op_index between start_op and end_op")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("op_index", "text"))), lambda x: x["text"]), "\n")
-    return found.join(inside.groupBy("pair_id").agg(text.alias("value_full")), "pair_id", "left")
+    """For each pair the operators of the first from the first to the last that differ in
+    their normal form (two further back, at least 1), or all, and the text of that range."""
+    found = align.variable_ranges(_normed(_pairs(spark, sf_dir, F.split("text", "\n"))))
+    return found.where("side = 'a'").drop("side")
+
+
+@query()
+def page_align_ranges(spark, sf_dir):
+    """What varies on the page that each document of a pair resolves to (front_head) and
+    on the page after it (back_tail), on both sides. Where a page is missing on a side,
+    the band is empty."""
+    from .detection import page_resolver
+
+    lines = line_ops(table(spark, sf_dir, "documents")).withColumn("page", F.floor((F.col("op_index") - 1) / 6) + 1)
+    at = page_resolver(spark, sf_dir).select("doc_id", F.col("page").alias("found"))
+    lines = lines.join(at, "doc_id").where("page between found and found + 1")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("op_index", "text"))), lambda x: x["text"])
+    ops = lines.groupBy("doc_id", "page", (F.col("page") - F.col("found")).cast("int").alias("band")).agg(texts.alias("ops"))
+    every = at.select("doc_id", "found", F.explode(F.array(F.lit(0), F.lit(1))).alias("band")).join(ops, ["doc_id", "band"], "left")
+    side = lambda k: F.max(F.when(F.col("doc_id") % 2 == k, F.struct((F.col("found") + F.col("band")).alias("page"), "ops")))
+    both = every.groupBy((F.floor(F.col("doc_id") / 2) * 2 + F.col("band")).alias("pair_id")).agg(side(0).alias("x"), side(1).alias("y")).where("x is not null and y is not null")
+    none = F.array().cast("array<string>")
+    whole = F.col("x.ops").isNotNull() & F.col("y.ops").isNotNull()
+    pairs = both.select("pair_id", F.when(whole, F.col("x.ops")).otherwise(none).alias("a"), F.when(whole, F.col("y.ops")).otherwise(none).alias("b"))
+    found = align.variable_ranges(_normed(pairs)).join(both.select("pair_id", F.col("x.page").alias("a_page"), F.col("y.page").alias("b_page")), "pair_id")
+    return found.select(F.floor(F.col("pair_id") / 2).alias("pair_id"), F.when(F.col("pair_id") % 2 == 0, "front_head").otherwise("back_tail").alias("band"), "side", F.when(F.col("side") == "a", F.col("a_page")).otherwise(F.col("b_page")).alias("page"), "start_op", "end_op", "value_full")
+
+
+def _streams(spark, sf_dir):
+    """Pairs of whole texts of streams, with the operators that their pieces come from."""
+    pieces = B.full_text(placed(spark, sf_dir), ["doc_id"])
+    held = F.array_sort(F.collect_list(F.struct("op_index", "begins", "op", "piece")))
+    docs = pieces.groupBy("doc_id").agg(held.alias("p"))
+    docs = docs.select("doc_id", F.struct(F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"), F.transform("p", lambda x: F.struct(x["begins"].alias("begins"), x["op"].alias("op"))).alias("ops")).alias("d"))
+    side = lambda k: F.max(F.when(F.col("doc_id") % 2 == k, F.col("d")))
+    both = docs.groupBy(F.floor(F.col("doc_id") / 2).alias("pair_id")).agg(side(0).alias("x"), side(1).alias("y")).where("x is not null and y is not null")
+    return both.select("pair_id", F.col("x.text").alias("a"), F.col("x.ops").alias("a_ops"), F.col("y.text").alias("b"), F.col("y.ops").alias("b_ops"))
 
 
 @query()
 def char_diff(spark, sf_dir):
-    """Segments of the first lines of neighbouring documents that are equal, gone or new."""
-    return align.char_diff(_pairs(spark, sf_dir, F.split("text", "\n")[0]))
+    """Segments of the whole texts of neighbouring streams that are equal, gone or new,
+    after the semantic pass, with the operators that they come from."""
+    return difference.text_difference(_streams(spark, sf_dir))
+
+
+def _side_sql(kind: str) -> str:
+    return f"(SELECT md5(string_agg(piece, '' ORDER BY doc_id, op_index)) FROM X3 WHERE doc_id = 2 * P.pair_id + {kind})"
+
+
+@query(f"WITH {FULL}, P AS (SELECT doc_id // 2 AS pair_id FROM X3 GROUP BY 1 HAVING count(DISTINCT doc_id) = 2) SELECT pair_id, {_side_sql('0')} AS a, {_side_sql('1')} AS b FROM P")
+def diff_sides(spark, sf_dir):
+    """Both texts, rebuilt from the segments of their difference by lines, cleaned for efficiency."""
+    rows = difference.text_difference(_streams(spark, sf_dir), passes=("semantic", "lossless", "efficiency"), line_mode=True)
+    text = lambda other: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") != other, F.struct("ord", "text")))), lambda x: x["text"]), ""))
+    return rows.groupBy("pair_id").agg(text("INS").alias("a"), text("DEL").alias("b"))
 
 
 @query()
 def fixed_segments(spark, sf_dir):
     """Equal segments of two characters or more are fixed, all others vary."""
-    kind = F.when((F.col("kind") == "EQ") & (F.length(F.trim("text")) >= 2), "fixed").otherwise("variable")
+    kind = difference.fixed_or_variable(F.col("kind"), F.col("text"))
     return char_diff(spark, sf_dir).groupBy("pair_id", kind.alias("segment")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -51,14 +95,16 @@ def variable_tokens(spark, sf_dir):
     return align.slot_blocks(align.base_slots(members))
 
 
-@query("WITH P AS (SELECT doc_id // 2 AS pair_id, max(CASE WHEN doc_id % 2 = 0 THEN string_split(text, chr(10))[1] END) AS a, max(CASE WHEN doc_id % 2 = 1 THEN string_split(text, chr(10))[1] END) AS b FROM documents GROUP BY 1) SELECT pair_id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1 WHEN length(a) = 0 OR length(b) = 0 THEN 0 ELSE 0.7 * (1 - levenshtein(a, b) / greatest(length(a), length(b))) + 0.3 * (1 - abs(length(a) - length(b)) / greatest(length(a), length(b))) END::DOUBLE, 6) AS score FROM P WHERE a IS NOT NULL AND b IS NOT NULL AND octet_length(encode(a)) = length(a) AND octet_length(encode(b)) = length(b)")
+#: The other engine measures bytes, so the characters of a pair become as many bytes first.
+NARROWED = "P AS (SELECT *, list_distinct(string_split(coalesce(a, '') || coalesce(b, ''), '')) AS s FROM P0), Q AS (SELECT *, array_to_string(s, '') AS f, array_to_string(list_transform(range(1, len(s) + 1), lambda i: chr(i::INT)), '') AS t FROM P)"
+
+
+@query(f"WITH P0 AS (SELECT doc_id // 2 AS pair_id, max(CASE WHEN doc_id % 2 = 0 THEN string_split(text, chr(10))[1] END) AS a, max(CASE WHEN doc_id % 2 = 1 THEN string_split(text, chr(10))[1] END) AS b FROM documents GROUP BY 1), {NARROWED} SELECT pair_id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1 WHEN length(a) = 0 OR length(b) = 0 THEN 0 WHEN len(s) > 127 THEN NULL ELSE 0.7 * (1 - levenshtein(translate(a, f, t), translate(b, f, t)) / greatest(length(a), length(b))) + 0.3 * (1 - abs(length(a) - length(b)) / greatest(length(a), length(b))) END::DOUBLE, 6) AS score FROM Q WHERE a IS NOT NULL AND b IS NOT NULL")
 def line_similarity(spark, sf_dir):
-    """Similarity of the first lines of neighbouring documents (those in ASCII, as
-    the other engine measures bytes)."""
+    """Similarity of the first lines of neighbouring documents."""
     first = F.split("text", "\n")[0]
     rows = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 2).alias("pair_id")).agg(F.max(F.when(F.col("doc_id") % 2 == 0, first)).alias("a"), F.max(F.when(F.col("doc_id") % 2 == 1, first)).alias("b"))
-    plain = (F.octet_length("a") == F.length("a")) & (F.octet_length("b") == F.length("b"))
-    return rows.where(plain).select("pair_id", F.round(align.similarity(F.col("a"), F.col("b")), 6).alias("score"))
+    return rows.where("a is not null and b is not null").select("pair_id", F.round(align.similarity(F.col("a"), F.col("b")), 6).alias("score"))
 
 
 #: Templates: literals and fields in order.
