@@ -15,8 +15,9 @@ Defined cases: words are runs of letters and digits in lower case; items of six
 or seven words match where they stand whole, shorter ones only a text that has
 no other words; null texts and items have no words and match
 nothing; an overlap needs ``LEAST`` equal words, or four fifths
-of a shorter item; rows without an id are never reported; equal ids are reported
-once for each item; other columns are ignored.
+of a shorter item; rows without an id are never reported (and stay in ``clean``);
+repeated rows are reported once for each item, different texts of one id each;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, unused
 
 #: Positions that count, of eight. Fixed values.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 4, 5, 7), (0, 2, 3, 5, 6, 7), (1, 2, 3, 4, 5, 6), (0, 1, 2, 5, 6, 7))
@@ -80,9 +81,8 @@ def _best(equal: str) -> str:
     return f"aggregate({equal}, {zero}, (s, x) -> {step}, s -> named_struct('matched', s.matched, 'begin', s.begin, 'end', s.end))"
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, item id, matched, words_from, words_until) for each pair of a text and
-    an item that it holds: equal words, and where in the text they lie."""
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """(id, mark, item, matched, a, b); mark tells the texts of one id apart."""
     items = settled(benchmark.select(F.col(item_col).alias("item"), word_hashes(item_text_col).alias("ih")).where(F.size("ih") > 0))
     size = F.size("ih")
     words, lengths = items.agg(F.coalesce(F.sum(size), F.lit(0)), F.sort_array(F.collect_set(F.when(size < SPAN, size)))).first()
@@ -93,25 +93,36 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     test = test.select("item", F.col("pos").alias("ipos"), "seed").distinct()
     if small:
         test = F.broadcast(test)
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    hashed = known.select("id", word_hashes("text").alias("h"))
-    train = seeds(hashed, ["id"], "h")
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    hashed = known.select("id", "mark", word_hashes("text").alias("h"))
+    train = seeds(hashed, ["id", "mark"], "h")
     if lengths:
-        train = train.unionByName(whole_seeds(hashed, ["id"], "h", lengths))
-    hits = settled(train.join(test, "seed").select("id", "item", (F.col("pos") - F.col("ipos")).alias("diagonal")).distinct())
-    ids = hits.select("id").distinct()
+        train = train.unionByName(whole_seeds(hashed, ["id", "mark"], "h", lengths))
+    hits = settled(train.join(test, "seed").select("id", "mark", "item", (F.col("pos") - F.col("ipos")).alias("diagonal")).distinct())
+    ids = hits.select("id", "mark").distinct()
     if hits.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    again = known.join(ids, "id").select("id", word_hashes("text").alias("h")).distinct()
-    laid = hits.join(again, "id").join(F.broadcast(items) if small else items, "item")
+    # repeated rows lay the same items again; the sum over a pair takes the best of each
+    again = known.join(ids, ["id", "mark"]).select("id", "mark", word_hashes("text").alias("h"))
+    laid = hits.join(again, ["id", "mark"]).join(F.broadcast(items) if small else items, "item")
     equal = "transform(ih, (x, i) -> coalesce(try_element_at(h, nullif(greatest(diagonal + i + 1, 0), 0)) = x, false))"
-    found = laid.select("id", "item", "diagonal", F.size("ih").alias("n"), F.expr(_best(equal)).alias("m"))
+    found = laid.select("id", "mark", "item", "diagonal", F.size("ih").alias("n"), F.expr(_best(equal)).alias("m"))
     found = found.where(F.col("m.matched") >= F.least(F.lit(LEAST), F.ceil(F.col("n") * SHARE)))
-    best = found.groupBy("id", "item").agg(F.max(F.struct("m.matched", (F.col("diagonal") + F.col("m.begin")).alias("a"), (F.col("diagonal") + F.col("m.end")).alias("b"))).alias("x"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("x.matched").alias("matched"), F.col("x.a").alias("words_from"), F.col("x.b").alias("words_until"))
+    best = found.groupBy("id", "mark", "item").agg(F.max(F.struct("m.matched", (F.col("diagonal") + F.col("m.begin")).alias("a"), (F.col("diagonal") + F.col("m.end")).alias("b"))).alias("x"))
+    return best.select("id", "mark", "item", "x.matched", "x.a", "x.b")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(id, item id, matched, words_from, words_until) for each pair of a text and
+    an item that it holds: equal words, and where in the text they lie."""
+    best = _found(docs, benchmark, id_col, text_col, item_col, item_text_col)
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "matched", F.col("a").alias("words_from"), F.col("b").alias("words_until"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold test items."""
-    bad = settled(overlaps(docs, benchmark, id_col, text_col).select(id_col).distinct())
-    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, id_col, "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """docs without those that hold test items; other texts of their ids stay."""
+    id_, mark = unused(docs, "id_"), unused(docs, "mark_")
+    bad = settled(_found(docs, benchmark, id_col, text_col, item_col, item_text_col).select(F.col("id").alias(id_), F.col("mark").alias(mark)).distinct())
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
+    same = (F.col(id_col) == F.col(id_)) & (marked[mark] == bad[mark])
+    return marked.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, same, "left_anti").select(docs.columns)

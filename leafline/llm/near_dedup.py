@@ -26,8 +26,10 @@ are not compared with each other.
 
 Defined cases: texts with the same words are copies; texts under five words are
 one shingle; null counts as empty; texts without words are copies if equal;
-repeated rows are copies; an empty table gives no rows; other columns, whatever
-their names, are ignored (kept by ``deduplicated``).
+repeated rows are copies; rows of one id may hold different texts: each is of its
+text's class, ``classified`` names classes by a key then, as class_id alone (the least
+id of a class) can be that of two classes; an empty table gives no rows; other columns,
+whatever their names, are ignored (kept by ``deduplicated``).
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, code_points, mix, settled, small_batches, span_hashes, word_spans
+from .common import U64, chunks, code_points, mix, settled, small_batches, span_hashes, unused, word_spans
 from .graph import components, dealt_anew
 
 BANDS, ROWS = 24, 5
@@ -50,7 +52,7 @@ SIMILARITY = 0.8
 AGREEMENT = 0.66
 #: Texts and units (16 MB) of a block; two blocks meet in a task's memory.
 BLOCK_TEXTS, BLOCK_UNITS = 1024, 1 << 22
-#: A broadcast list of ids has at most so many (16 MB); beyond it is a shuffled join.
+#: A broadcast list of ids has at most so many (32 MB); beyond it is a shuffled join.
 BROADCAST_IDS = 2_000_000
 _STEP, _PLACE, _ID = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03), U64(0x8CB92BA72F3D8DD7)
 
@@ -132,8 +134,8 @@ def _texts(column) -> list[str]:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """docs(id, text) -> id, key (equal for copies), size (units), bands (hashes)
-    and signature (a byte for each coordinate)."""
+    """docs(id, text, mark) -> id, mark, key (equal for copies), size (units), bands
+    (hashes) and signature (a byte for each coordinate)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -154,13 +156,13 @@ def signed(docs: DataFrame) -> DataFrame:
                 bytes_ += [row.tobytes() for row in (sig & U64(255)).astype(np.uint8)]
                 for i in np.flatnonzero(sizes[-1] == 0):
                     bands[a + i] = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())], ["id", "key", "size", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes)), pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())], ["id", "mark", "key", "size", "bands", "signature"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, key long, size long, bands array<long>, signature binary")
+    return docs.select("id", "text", "mark").mapInArrow(run, f"id {dict(docs.dtypes)['id']}, mark long, key long, size long, bands array<long>, signature binary")
 
 
 def unit_sets(needed: DataFrame, docs: DataFrame) -> DataFrame:
-    """needed(key, first), docs(id, text) -> key and its units, cut to 32 bits and
+    """needed(key, first), docs(id, text, mark) -> key and its units, cut to 32 bits and
     sorted: texts are read again where an id names them."""
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
@@ -332,9 +334,15 @@ def crossing_links(rows: DataFrame, held: DataFrame) -> DataFrame:
     return settled(met.select("band", "i", "j", "block", "key", "root", "bands", "signature", "units").mapInArrow(_linked, "a long, b long"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id) for each row; class_id is the least id of the class."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def text_mark(text: str):
+    """Tells apart the texts of rows that share an id (64 bits for the texts of one id)."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, mark, class_key, class_id) for each row: mark tells the texts of one id
+    apart, class_key the classes, class_id is the least id of the class."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("mark", text_mark("text"))
     every = settled(signed(docs))
     texts = settled(every.groupBy("key").agg(F.min("id").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
     rows = settled(buckets(texts))
@@ -348,15 +356,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         roots = settled(components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
     named = texts.select("key", "first").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    named = named.join(dealt_anew(least, "root"), "root").select("key", "class_id")
-    return every.select("id", "key").join(named, "key").select(F.col("id").alias(id_col), "class_id")
+    named = named.join(dealt_anew(least, "root"), "root").select("key", "root", "class_id")
+    return every.select("id", "mark", "key").join(named, "key").select(F.col("id").alias(id_col), "mark", F.col("root").alias("class_key"), "class_id")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id) for each row; class_id is the least id of the class."""
+    return classified(docs, id_col, text_col).select(id_col, "class_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class: that with the least id. Rows without an
-    id stay."""
-    kept = settled(classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text"))
-    twice = kept.groupBy("id").count().where("count > 1")
-    drop = kept.where("id != class_id").select(F.col("id").alias(id_col)).distinct()
-    out = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, id_col, "left_anti").select(docs.columns)
-    return out if twice.isEmpty() else out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
+    """docs with one row of each class: that with the least id (of several texts of
+    that id, one; of repeated rows, one). Rows without an id stay."""
+    id_, mark = unused(docs, "id_"), unused(docs, "mark_")
+    kept = settled(classified(docs, id_col, text_col).select(F.col(id_col).alias(id_), F.col("mark").alias(mark), "class_key").where(F.col(id_).isNotNull()))
+    first = kept.groupBy("class_key").agg(F.min(F.struct(id_, mark)).alias("first"))
+    gone = kept.join(dealt_anew(first, "class_key"), "class_key").where(F.struct(id_, mark) != F.col("first"))
+    drop = settled(gone.select(id_, mark).distinct())
+    marked = docs.withColumn(mark, text_mark(text_col))
+    same = (F.col(id_col) == F.col(id_)) & (marked[mark] == drop[mark])
+    out = marked.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, same, "left_anti")
+    if not kept.groupBy(id_, mark).count().where("count > 1").isEmpty():
+        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, mark]).unionByName(out.where(F.col(id_col).isNull()))
+    return out.select(docs.columns)

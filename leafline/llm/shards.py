@@ -8,7 +8,7 @@ holds a shard.
 
 Defined cases: a null text has 0 bytes (size 1) and the checksum of no bytes;
 repeated rows each get a position of their own; an empty table gives no rows;
-null ids hash like any other value.
+rows without an id go to the slot of their text's checksum, so that they do not meet in one.
 """
 
 from __future__ import annotations
@@ -91,14 +91,16 @@ def rebalanced(old: SlotMap, slot_bytes: dict[int, int], tolerance: float = 0.02
     return SlotMap(old.version + 1, tuple(out))
 
 
-def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def virtual_slot(key: Column, slots: int = SLOTS, instead: Column | None = None) -> Column:
+    """The slot of a key; rows without one go by ``instead``, so that they don't meet in one slot."""
+    own = F.xxhash64(key) if instead is None else F.when(key.isNull(), F.xxhash64(instead)).otherwise(F.xxhash64(key))
+    return F.pmod(own, F.lit(slots)).cast("int")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """id, size (UTF-8 bytes and 1), text_crc32 and virtual_slot."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), virtual_slot(F.col(id_col), slots).alias("virtual_slot"))
+    return docs.select(F.col(id_col), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), virtual_slot(F.col(id_col), slots, F.crc32(text)).alias("virtual_slot"))
 
 
 def slot_bytes(rows: DataFrame) -> DataFrame:

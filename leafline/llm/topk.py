@@ -10,12 +10,13 @@ A block reports at most its own k best scores of the interval, since no others
 can decide; so a pass moves at most k rows per query and block. Queries are
 packed into blocks too and copied to each group of candidate blocks.
 
-Defined cases: null vectors, and vectors with null or non-finite components, take
-no part, neither do empty ones; vectors are compared only with those of equal
+Defined cases: null vectors, and vectors with null or non-finite components (or such
+of 1e300 and more), take no part, neither do empty ones; vectors are compared only with those of equal
 length; a query meets no row of its own id; equal query rows count once; fewer
-than k candidates: all are returned. Scores are exact: as doubles where no score of
-two blocks can pass 2**53, else in whole numbers of any size (slow, for vectors with
-components in the thousands and more); scores beyond 2**58 either way count as 2**58.
+than k candidates: all are returned. Scores are exact over the whole range of longs:
+as doubles where no score of two blocks can pass 2**53, else in whole numbers of any
+size (slow, for vectors with components in the thousands and more). A score beyond
+2**63 - 1 either way, which no long can hold, counts as that.
 """
 
 from __future__ import annotations
@@ -29,17 +30,21 @@ from .common import settled
 
 SCALE = 256
 BINS = 4096
+WIDE = "decimal(20,0)"
 QUERY_ROWS, CANDIDATE_ROWS = 512, 4096
-#: Scores are cut to so much either way.
-LIMIT = 1 << 58
+#: The largest long, either way.
+LIMIT = (1 << 63) - 1
+#: Below all scores: marks a pair that takes no part.
+NONE = np.iinfo(np.int64).min
 #: Groups of candidate blocks: one for so many blocks, between these bounds.
 BLOCKS, LEAST_GROUPS, MOST_GROUPS = 16, 16, 8192
 
 
 def quantised(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, v (whole numbers as doubles) and dim of the rows that take part."""
-    v = F.transform(vector_col, lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
-    sound = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    x = F.transform(vector_col, lambda x: x.cast("double") * SCALE)
+    v = F.transform(x, lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x))  # larger doubles are whole
+    sound = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < 1e300))
     rows = table.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where((F.size(vector_col) > 0) & sound)
     return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(vector_col).alias("dim"))
 
@@ -100,12 +105,14 @@ def _histogram(k: int):
     def run(batches):
         for row in _rows(batches):
             own, (low, width), ids, score, same = _scores(row, ["low", "width"])
-            offset = score - low[:, None]
-            offset[same | (offset < 0) | (offset >= (width * BINS)[:, None])] = -1
-            if offset.shape[1] > k:
-                offset = np.partition(offset, offset.shape[1] - k, axis=1)[:, -k:]
-            q, _ = at = np.nonzero(offset >= 0)
-            bins = offset[at] // width[q]
+            # differences of longs, in 64 bits without a sign
+            last = np.array([min(int(w) * BINS, 1 << 64) - 1 for w in width], np.uint64)
+            offset = score.view(np.uint64) - low.view(np.uint64)[:, None]
+            score[same | (score < low[:, None]) | (offset > last[:, None])] = NONE
+            if score.shape[1] > k:
+                score = np.partition(score, score.shape[1] - k, axis=1)[:, -k:]
+            q, _ = at = np.nonzero(score != NONE)
+            bins = ((score[at].view(np.uint64) - low[q].view(np.uint64)) // width[q].astype(np.uint64)).astype(np.int64)
             found, count = np.unique(q * BINS + bins, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(own[found // BINS]), pa.array(np.full(len(found), row["dim"]), pa.int32()), pa.array((found % BINS).astype(np.int32)), pa.array(count, pa.int64())], ["id", "dim", "bin", "n"])
 
@@ -155,7 +162,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
         reached = counts.join(state.select(*key, "above"), key).withColumn("until", F.sum("n").over(down) + F.col("above"))
         holds = reached.where(F.col("until") >= k).groupBy(*key).agg(F.max(F.struct("bin", (F.col("until") - F.col("n")).alias("over"))).alias("x"))
         # fewer than k scores: everything down to the interval's end belongs to the result
-        state = state.join(holds, key, "left").select("id", "dim", "v", F.when(F.col("x").isNull(), F.col("low")).otherwise(F.col("low") + F.col("x.bin") * F.col("width")).alias("low"), F.coalesce("x.over", "above").alias("above"))
+        state = state.join(holds, key, "left").select("id", "dim", "v", F.when(F.col("x").isNull(), F.col("low")).otherwise((F.col("low").cast(WIDE) + F.col("x.bin").cast(WIDE) * F.col("width").cast(WIDE)).cast("long")).alias("low"), F.coalesce("x.over", "above").alias("above"))
         state = settled(state.withColumn("width", F.lit(max(1, width // BINS)).cast("long")))
         if width == 1:
             break

@@ -89,11 +89,21 @@ def qualified(spark: SparkSession, folder: str) -> str:
     return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
+#: Hadoop's names of stores that the other library calls differently. Fixed values.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfs"}
+
+
+def store_address(uri: str) -> str:
+    """A folder's address as pyarrow's file systems call it."""
+    scheme, colon, rest = uri.partition("://")
+    return SCHEMES.get(scheme, scheme) + colon + rest
+
+
 def open_folder(uri: str):
     """pyarrow file system and path of a folder's full address."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(store_address(uri))
 
 
 class Bundle:

@@ -140,3 +140,51 @@ def test_sharding_odd_rows_and_stored_maps(spark):
     assert shards.load(spark, path, 1) == shards.first_map(3) and shards.load(spark, path, 2) == shards.grown(shards.first_map(3))
     even = shards.load(spark, path)
     assert even.version == 3 and all(r.balanced_shard == even.shard_of[r.virtual_slot] for r in rows)
+
+
+WORDS = "alpha bravo carbon delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango".split()
+
+
+def test_texts_that_share_an_id_are_kept_apart(spark):
+    a, b, c = " ".join(WORDS), " ".join(reversed(WORDS)), "quite another text than those two before it"
+    near = a.replace("tango", "tangle")
+    docs = spark.createDataFrame([(1, a, "x"), (5, a, "y"), (5, b, "z"), (5, b, "z"), (7, near, "n"), (7, c, "c"), (None, a, "null"), (8, None, "e"), (8, "", "f")], "doc_id long, text string, mark string")
+    kept = sorted((r.doc_id or 0, r.text or "", r.mark) for r in near_dedup.deduplicated(docs).collect())
+    assert [k[:2] for k in kept] == [(0, a), (1, a), (5, b), (7, c), (8, "")] and near_dedup.deduplicated(docs).columns == docs.columns
+    rows = near_dedup.classified(docs.where("doc_id is not null")).collect()
+    assert len({r.class_key for r in rows}) == 4 and len(rows) == 8
+    pairs = spark.createDataFrame([(1, a), (1, b), (2, b)], "doc_id long, text string")
+    assert len({r.class_key for r in near_dedup.classified(pairs).collect()}) == 2
+
+
+def test_clean_drops_texts_not_ids(spark):
+    a, b = " ".join(WORDS), " ".join(reversed(WORDS))
+    docs = spark.createDataFrame([(7, a, 1), (7, b, 2), (7, a, 3), (None, a, 4), (8, None, 5), (9, b, 6)], "doc_id long, text string, mark int")
+    items = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert sorted(r.mark for r in decontam.clean(docs, items).collect()) == [2, 4, 5, 6]
+    assert [(r.doc_id, r.item_id) for r in decontam.overlaps(docs, items).collect()] == [(7, 1)]
+
+
+def test_top_k_over_the_whole_range_of_longs(spark):
+    vectors = [[3e6, 0.0], [3e6, 1.0], [4e6, 0.0], [-4e6, 2.0], [1e7, 1e7], [-1e7, -1e7], [3e6, 0.0]]
+    table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(table, table, 4).collect()}
+    whole = [[int(256 * x) for x in v] for v in vectors]
+    for q in range(7):
+        scores = sorted(((max(-topk.LIMIT, min(topk.LIMIT, sum(x * y for x, y in zip(whole[q], whole[c], strict=True)))), c) for c in range(7) if c != q), key=lambda s: (-s[0], s[1]))
+        assert [got[q, k + 1] for k in range(4)] == [(c, s) for s, c in scores[:4]]
+    assert got[0, 1][1] > 1 << 58 and len({got[2, k][1] for k in range(1, 5)}) > 1
+
+
+def test_addresses_of_object_stores():
+    assert warc.store_address("s3a://bucket/a/b") == "s3://bucket/a/b" and warc.store_address("file:///tmp/x") == "file:///tmp/x"
+    assert warc.store_address("gs://b/x") == "gs://b/x"
+
+
+def test_rows_without_an_id_spread_over_slots(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", 0, 0, "v") for i in range(400)] + [(1, "a", 0, 0, "v"), (2, None, 0, 0, "v")], "doc_id long, text string, size int, virtual_slot int, shard string")
+    rows = shards.placed(docs).collect()
+    assert len({r.virtual_slot for r in rows}) > 300
+    for shard in {r.shard for r in rows}:
+        own = sorted(r.slot for r in rows if r.shard == shard)
+        assert own == list(range(len(own)))
