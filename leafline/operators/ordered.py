@@ -52,9 +52,9 @@ def best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
-def nearest(rows: DataFrame, values: DataFrame, key: str, wanted: str, value: str, width: float) -> DataFrame:
-    """rows with the value of their key that is nearest to ``wanted``, the lesser of
-    two as near; rows of keys without values are left out. Both sides are sorted in
+def neighbours(rows: DataFrame, values: DataFrame, key: str, wanted: str, value: str, width: float) -> DataFrame:
+    """rows with ``below``, the greatest value of their key up to ``wanted``, and
+    ``above``, the least beyond it (null where there is none). Both sides are sorted in
     ranges of ``width``, and what lies beyond a range's borders comes from a small
     table of ranges, so neither a key is one task's nor do rows meet all values."""
     at = lambda c: F.floor(F.col(c) / width)
@@ -70,6 +70,32 @@ def nearest(rows: DataFrame, values: DataFrame, key: str, wanted: str, value: st
     place = Window.partitionBy(key, "_at").orderBy("_x", "_asks")
     price = F.when(F.col("_asks") == 0, F.col("_x"))
     both = both.withColumn("_p", F.last(price, ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.first(price, ignorenulls=True).over(place.rowsBetween(1, Window.unboundedFollowing)))
-    found = both.where("_asks = 1").join(borders, [key, "_at"]).withColumn("_p", F.coalesce("_p", "_below")).withColumn("_n", F.coalesce("_n", "_above"))
-    lower = F.col("_n").isNull() | (F.abs(F.col("_p") - F.col(wanted)) <= F.abs(F.col("_n") - F.col(wanted)))
-    return found.withColumn(value, F.when(F.col("_p").isNotNull() & lower, F.col("_p")).otherwise(F.col("_n"))).where(F.col(value).isNotNull()).select(*rows.columns, value)
+    found = both.where("_asks = 1").join(borders, [key, "_at"])
+    return found.select(*rows.columns, F.coalesce("_p", "_below").alias("below"), F.coalesce("_n", "_above").alias("above"))
+
+
+def nearest(rows: DataFrame, values: DataFrame, key: str, wanted: str, value: str, width: float) -> DataFrame:
+    """rows with the value of their key that is nearest to ``wanted``, the lesser of
+    two as near; rows of keys without values are left out."""
+    found = neighbours(rows, values, key, wanted, value, width)
+    lower = F.col("above").isNull() | (F.abs(F.col("below") - F.col(wanted)) <= F.abs(F.col("above") - F.col(wanted)))
+    return found.withColumn(value, F.when(F.col("below").isNotNull() & lower, F.col("below")).otherwise(F.col("above"))).where(F.col(value).isNotNull()).select(*rows.columns, value)
+
+
+def following(steps: DataFrame, first: DataFrame, key: str, at: str, to: str, rounds) -> DataFrame:
+    """The places that are reached from ``first``(key, at) by steps(key, at, to): one
+    step a place, none where ``to`` is null. Steps are doubled in each round, so a way
+    of n steps takes log n rounds of two joins on (key, place), however long it is for
+    one key; ways that run in a circle end as well."""
+    reached, was = rounds.kept(first.select(key, at).distinct()), -1
+    steps = rounds.kept(steps.select(key, at, to).where(F.col(to).isNotNull()))
+    while True:
+        n = reached.count()
+        if n == was or steps.isEmpty():
+            return reached
+        onward = reached.join(steps, [key, at]).select(key, F.col(to).alias(at))
+        old = reached
+        reached, was = rounds.kept(reached.unionByName(onward).distinct()), n
+        twice = rounds.kept(steps.alias("s").join(steps.select(key, F.col(at).alias(to), F.col(to).alias("_far")), [key, to]).select(key, at, F.col("_far").alias(to)))
+        rounds.drop(old, steps)
+        steps = twice

@@ -125,6 +125,56 @@ def strategy_fields(spark, sf_dir):
     return best(rows, ["doc_id", "field"], [F.col("score").desc(), F.col("op_index")]).select("doc_id", "field", "label", "value", F.round("score", 6).alias("score"))
 
 
+# The words that stand before or after a signer, and how sure each way is.
+SIGNED = ("assinado eletronicamente por", "assinada eletronicamente por")
+NUMBERED = ("numero do documento", "número do documento")
+DIRECTORS = ("Diretor Especial", "Diretora Especial")
+SIGNER_CONFIDENCE = {"footer": 0.82, "footer:collapsed": 0.70, "pje": 0.78, "director_line": 0.80, "digital_signature": 0.90}
+REGISTRY = ("matricula", "cadastro", "numero do perito", "num. perito")
+REGISTRY_CONFIDENCE = 0.55
+
+
+def after(text, labels):
+    """What follows the first of the labels that the text holds (in any case), without
+    colons, dashes and blanks before it; null where it holds none."""
+    low = F.lower(text)
+    found = [F.when(low.contains(x.lower()), F.substring(text, F.instr(low, x.lower()) + len(x), F.length(text))) for x in labels]
+    return F.ltrim(F.regexp_replace(F.coalesce(*found), "^[\\s:–-]+", ""))
+
+
+def until(text, stops: str):
+    """What stands before the first of some characters."""
+    return F.trim(F.substring_index(F.translate(text, stops, stops[0] * len(stops)), stops[0], 1))
+
+
+def named(value):
+    """A value that can be a person: no digits, no institution's mark, two words or ten letters."""
+    return (F.length(value) >= 5) & ~value.rlike("[0-9]") & ~F.lower(value).contains("sei") & (value.contains(" ") | (F.length(value) >= 10))
+
+
+def signers(rows, text: str, digital: str):
+    """rows with value, confidence and method of a text's signer, by the first way that gives a name."""
+    tails = {
+        "_signed": after(F.col(text), SIGNED),
+        "_joined": after(F.regexp_replace(text, r"\s", ""), [x.replace(" ", "") for x in SIGNED]),
+        "_numbered": after(F.col(text), NUMBERED),
+        "_before": F.coalesce(*(F.when(F.col(text).contains(d), F.substring_index(text, d, 1)) for d in DIRECTORS)),
+    }
+    # a name has no stop in it, so what is cut off at one is what was there
+    ways = {
+        "footer": until(F.col("_signed"), ",;-–\n"),
+        "footer:collapsed": F.regexp_extract("_joined", r"^\p{L}+", 0),
+        "pje": until(F.col("_by"), "-–\n0123456789"),
+        "director_line": F.regexp_replace("_before", r"[\s,–-]+$", ""),
+        "digital_signature": F.col(digital),
+    }
+    found = rows.withColumns(tails).withColumn("_by", after(F.col("_numbered"), [" por:", " por "]))
+    found = found.withColumns({f"_{m}": v for m, v in ways.items()})
+    of = lambda v, c, m: F.struct(v.alias("value"), F.lit(c).alias("confidence"), F.lit(m).alias("method"))
+    steps = [(F.coalesce(named(F.col(f"`_{m}`")), F.lit(False)), of(F.col(f"`_{m}`"), SIGNER_CONFIDENCE[m], m)) for m in ways]
+    return found.withColumn("_x", first_of(steps, of(F.lit("-"), 0.0, "not_found"))).select(*rows.columns, "_x.*")
+
+
 SURNAME = "CASE o_orderstatus WHEN 'O' THEN 'Oliveira' WHEN 'F' THEN 'Ferreira' ELSE 'Pereira' END"
 
 
@@ -136,14 +186,9 @@ def signer_ladder(spark, sf_dir):
     kind, status = F.col("o_orderkey") % 5, F.col("o_orderstatus")
     surname = F.when(status == "O", "Oliveira").when(status == "F", "Ferreira").otherwise("Pereira")
     text = F.when(kind == 0, F.concat(F.lit("Documento assinado eletronicamente por: Maria "), surname, F.lit(", em 01/02/2020"))).when(kind == 1, F.concat(F.lit("documentoassinadoeletronicamentepor:Maria"), surname, F.lit("!"))).when(kind == 2, F.concat(F.lit("Numero do documento 77 por: Maria "), surname, F.lit(" - 01/02/2020"))).when(kind == 3, F.concat(F.lit("Maria "), surname, F.lit(", Diretora Especial"))).otherwise("assinado eletronicamente por: SEI 99")
-    digital = F.when((kind == 4) & (F.col("o_custkey") % 2 == 0), F.concat(F.lit("Rui "), surname)).otherwise("")
+    digital = F.when((kind == 4) & (F.col("o_custkey") % 2 == 0), F.concat(F.lit("Rui "), surname))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), digital.alias("digital"))
-    name = r"(\p{L}[\p{L}'.\-]*(?:\s+\p{L}[\p{L}'.\-]*){0,8}?)"
-    ladder = [("footer", 0.82, rf"(?i)assinad[oa]\s+eletronicamente\s+por\s*:?\s*{name}(?=\s*(?:[-,;]|$))"), ("footer:collapsed", 0.7, r"(?i)assinad[oa]eletronicamentepor:?(\p{L}{5,})"), ("pje", 0.78, rf"(?i)documento.*?\bpor\s*:?\s*{name}(?=\s*(?:-|[0-9]|$))"), ("director_line", 0.8, rf"(?i){name}\s*[-,]\s*Diretora?\s+Especial")]
-    found = [(m, c, F.regexp_extract("text", p, 1)) for m, c, p in ladder] + [("digital_signature", 0.9, F.col("digital"))]
-    sound = lambda v: (F.length(v) >= 5) & ~v.rlike("[0-9]") & ~F.lower(v).contains("sei") & (v.contains(" ") | (F.length(v) >= 10))
-    of = lambda v, c, m: F.struct(v.alias("value"), F.lit(c).alias("confidence"), F.lit(m).alias("method"))
-    return rows.select("o_orderkey", first_of([(sound(v), of(v, c, m)) for m, c, v in found], of(F.lit("-"), 0.0, "not_found")).alias("x")).select("o_orderkey", "x.*")
+    return signers(rows, "text", "digital").select("o_orderkey", "value", "confidence", "method")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 AND o_custkey >= 100 THEN o_custkey::VARCHAR ELSE '-' END AS value, CASE WHEN o_orderkey % 4 < 3 AND o_custkey >= 100 THEN 0.55 ELSE 0 END::DOUBLE AS confidence FROM orders")
@@ -151,8 +196,9 @@ def registry_numbers(spark, sf_dir):
     """An expert's number of three digits or more after one of its names."""
     key = F.col("o_orderkey") % 4
     text = F.concat(F.when(key == 0, "Matricula: ").when(key == 1, "cadastro - ").when(key == 2, "Numero do perito ").otherwise("registro "), F.col("o_custkey").cast("string"))
-    value = F.regexp_extract(text, r"(?i)(?:matricula|cadastro|numero do perito|num\.\s*perito)\s*[:\-]?\s*([0-9]{3,})", 1)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(value != "", value).otherwise("-").alias("value"), F.when(value != "", 0.55).otherwise(0.0).alias("confidence"))
+    value = F.regexp_extract(after(text, REGISTRY), "^[0-9]+", 0)
+    sound = F.coalesce(F.length(value) >= 3, F.lit(False))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(sound, value).otherwise("-").alias("value"), F.when(sound, REGISTRY_CONFIDENCE).otherwise(0.0).alias("confidence"))
 
 
 @query(f"""WITH {LINES}, M AS (SELECT doc_id, op_index, text, regexp_extract(text, '[0-9]{{3,}}') AS value, strpos(text, regexp_extract(text, '[0-9]{{3,}}')) - 1 AS a FROM L WHERE regexp_matches(text, '[0-9]{{3,}}')),

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.dependencies import Derived, listed, wide
 from ..operators.ordered import best
 from ..sources.content import table
 from .registry import query
@@ -222,3 +223,25 @@ def post_validation(spark, sf_dir):
     name = F.trim(F.when(key % 2 == 0, F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" "))).otherwise(" ab"))
     confidence = F.least(F.greatest(F.when(key % 3 == 0, 0.9).otherwise(0.5), F.lit(0.55)), F.lit(0.9))
     return table(spark, sf_dir, "orders").select("o_orderkey", confidence.alias("confidence"), F.when(number.rlike("^[0-9]{7}-[0-9]{2}$"), number).alias("number"), F.when(F.length(T.digits_only(digits)) == 11, digits).alias("id"), F.when(F.length(name) >= 4, name).alias("name"))
+
+
+#: What follows from the five fields that candidates give, however it is listed here.
+FOLLOWS = {
+    "STATUS": Derived(("LABEL", "NUMBER"), lambda label, number: F.concat_ws(" no. ", label, number), 0.6),
+    "LABEL": Derived(("KIND", "YEAR"), lambda kind, year: F.concat(kind, F.lit("/"), year)),
+    "YEAR": Derived(("DATE",), lambda date: F.regexp_extract(date, "([0-9]{4})$", 1), 0.8, "part"),
+    "KIND": Derived(("NAME", "SIGNER"), lambda name, signer: F.when(name.startswith("Court"), "court").when(signer.isNotNull(), "signed").when(name.isNotNull(), "plain")),
+    "ROUNDED": Derived(("AMOUNT", "KIND"), lambda amount, kind: F.when(kind != "court", F.regexp_extract(amount, "([0-9]+)", 1).try_cast("int") - F.regexp_extract(amount, "([0-9]+)", 1).try_cast("int") % 10)),
+}
+FOLLOWING = f"""{PREFERRED}, G AS (SELECT doc, max(value) FILTER (field = 'NUMBER') AS number, max(value) FILTER (field = 'AMOUNT') AS amount, max(value) FILTER (field = 'NAME') AS name, max(value) FILTER (field = 'DATE') AS date, max(value) FILTER (field = 'SIGNER') AS signer FROM B WHERE {FILLED} GROUP BY doc),
+Y AS (SELECT *, nullif(regexp_extract(date, '([0-9]{{4}})$', 1), '') AS year, CASE WHEN starts_with(name, 'Court') THEN 'court' WHEN signer IS NOT NULL THEN 'signed' WHEN name IS NOT NULL THEN 'plain' END AS kind FROM G),
+Z AS (SELECT *, kind || '/' || year AS label, CASE WHEN kind <> 'court' THEN (nullif(regexp_extract(amount, '([0-9]+)', 1), '')::INT - nullif(regexp_extract(amount, '([0-9]+)', 1), '')::INT % 10)::VARCHAR END AS rounded FROM Y),
+X AS (SELECT *, nullif(concat_ws(' no. ', label, number), '') AS status FROM Z)"""
+
+
+@query(f"WITH {FOLLOWING} " + " UNION ALL ".join(f"SELECT doc, '{f.upper()}' AS field, {f} AS value, CASE WHEN {f} IS NULL THEN 0.1 ELSE {c} END::DOUBLE AS confidence, CASE WHEN {f} IS NULL THEN 'not_found' ELSE '{m}' END AS method, CASE WHEN {f} IS NULL THEN 'NOT_FOUND' ELSE '{s}' END AS status FROM X" for f, c, m, s in [*((x, 1.0, "given", "OK") for x in ("number", "amount", "name", "date", "signer")), ("year", 0.8, "part", "OK_DERIVED"), ("kind", 0.7, "derived", "OK_DERIVED"), ("label", 0.7, "derived", "OK_DERIVED"), ("rounded", 0.7, "derived", "OK_DERIVED"), ("status", 0.6, "derived", "OK_DERIVED")]))
+def derived_fields(spark, sf_dir):
+    """Fields that follow from the preferred ones, in the order that they need each other."""
+    given = FIELDS[:5]
+    rows = wide(preferred(spark, sf_dir).where(_is_filled()), ["doc"], given)
+    return listed(rows, ["doc"], given, FOLLOWS)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import best
 from ..sources.content import line_ops, table
+from ..sources.rules import compiles, first_rule, packaged_rules
 from .documents import LINES
 from .registry import query
 
@@ -19,7 +19,8 @@ FIXED = [{"name": "label", "max_len": 30, "regex": "^[a-z ]+:?$"}]
 
 def rule(r: dict, text: Column) -> Column:
     """All conditions of a rule: min_len, max_len, starts_with, ends_with, contains
-    and regex, without regard to case. A regex that is none makes the rule false."""
+    and regex, without regard to case. A regex that is none in the engine's own
+    dialect makes the rule false."""
     low, found = F.lower(text), F.lit(True)
     if r.get("min_len") is not None:
         found = found & (F.length(text) >= r["min_len"])
@@ -29,9 +30,7 @@ def rule(r: dict, text: Column) -> Column:
         if (r.get(key) or "").strip():
             found = found & test(r[key].lower())
     if (r.get("regex") or "").strip():
-        try:
-            re.compile(r["regex"])
-        except re.error:
+        if not compiles(r["regex"]):
             return F.lit(False)
         found = found & text.rlike(f"(?iu){r['regex']}")
     return found
@@ -41,15 +40,24 @@ def any_rule(rules: list[dict], text: Column) -> Column:
     return reduce(lambda a, b: a | b, (rule(r, text) for r in rules), F.lit(False))
 
 
-SET = [{"starts_with": "the", "min_len": 40}, {"ends_with": ".", "max_len": 60}, {"contains": "LICENSE", "regex": "[0-9]"}, {"regex": "^\\S+$", "min_len": 3}]
-
-
 @query(f"WITH {LINES} SELECT doc_id, op_index, CASE WHEN starts_with(lower(text), 'the') AND length(text) >= 40 THEN 1 WHEN ends_with(text, '.') AND length(text) <= 60 THEN 2 WHEN contains(lower(text), 'license') AND regexp_matches(text, '[0-9]') THEN 3 WHEN regexp_matches(text, '^\\S+$') AND length(text) >= 3 THEN 4 ELSE 0 END AS rule FROM L")
 def rule_table(spark, sf_dir):
-    """The first rule of a table that a line fulfils, 0 if none."""
-    text = F.col("text")
-    first = reduce(lambda w, i: w.when(rule(SET[i], text), i + 1), range(1, len(SET)), F.when(rule(SET[0], text), 1)).otherwise(0)
-    return line_ops(table(spark, sf_dir, "documents")).select("doc_id", "op_index", first.alias("rule"))
+    """The first rule of a file (rules/lines.json) that a line fulfils, 0 if none."""
+    return first_rule(line_ops(table(spark, sf_dir, "documents")), "text", packaged_rules("lines")).select("doc_id", "op_index", "rule")
+
+
+#: So many words, each with a rule that a line holds it and is long enough for it.
+WORDS = 500
+MANY = f"""{LINES}, V AS (SELECT w, row_number() OVER (ORDER BY n DESC, w)::INT AS rule FROM (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM L) WHERE length(w) >= 4 GROUP BY w) QUALIFY row_number() OVER (ORDER BY n DESC, w) <= {WORDS})"""
+
+
+@query(f"WITH {MANY} SELECT doc_id, op_index, coalesce(min(rule), 0)::INT AS rule FROM L LEFT JOIN V ON contains(lower(text), w) AND length(text) >= 10 + rule % 30 GROUP BY doc_id, op_index")
+def many_rules(spark, sf_dir):
+    """Hundreds of rules, made of the most frequent words, in one pass over each line."""
+    lines = line_ops(table(spark, sf_dir, "documents"))
+    words = lines.select(F.explode(F.split(F.lower("text"), " ")).alias("w")).where(F.length("w") >= 4).groupBy("w").count().orderBy(F.desc("count"), "w").limit(WORDS)
+    rules = [{"name": r.w, "contains": r.w, "min_len": 10 + (n + 1) % 30} for n, r in enumerate(words.collect())]
+    return first_rule(lines, "text", rules).select("doc_id", "op_index", "rule")
 
 
 #: Candidates of a field: which operators, of which kind, and what must match.
