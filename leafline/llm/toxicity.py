@@ -9,16 +9,20 @@ difference of its log-likelihoods under both models, divided by its length, over
 the whole text and over the most telling windows of one, three and eight words. A logistic curve,
 fitted on a bounded sample of the calibration fold, makes it a probability.
 
-Bigrams and words met less than three times are rare: they are left to the shared
-counts. The others are all kept, in a table that grows with the corpus. While it
-has at most ``BROADCAST_KEYS`` bigrams and words (16 bytes a bigram, 36 a word: 16
-to 36 MB) it is collected and broadcast. Beyond that texts are packed, many to a row,
-as the numbers of their words, about a third of their bytes; rows are dealt into
-buckets of about ``BUCKET_BYTES``, the distinct bigrams and words of each bucket are
-joined to the table, and each bucket meets its part of it: the same counts, so the
-same scores. Only what a Bloom filter of the table's keys lets through goes to that
-join (``FILTER_BITS`` bits, 16 MB, at most): where the keys outgrow it more absent
-ones pass, and the join drops them.
+Bigrams and words met less than ``RARE`` times say nothing about a class: both classes
+leave them to the shared counts, which are made of every word and bigram, also those
+met once. Words are 64-bit hashes and bigrams 64-bit hashes of two words: among 10**9
+distinct bigrams some two share a number with a probability of 3 %, so at most a pair
+or so of strangers is added up. Tables go through shuffles as packed columns, sorted,
+with bytes of equal weight together, about 10 bytes a bigram.
+
+While there are at most ``BROADCAST_KEYS`` bigrams and words (16 bytes a bigram, 36 a
+word: 16 to 36 MB) they are collected and broadcast. Beyond that texts are packed, many
+to a row, as the numbers of their words, about a third of their bytes, and dealt into
+buckets; each bucket asks each part of the table for its distinct bigrams and words and
+is sent the counts that the part has: the same counts, so the same scores. Only what a
+Bloom filter of the table's keys lets through is asked for (``FILTER_BITS`` bits, 16 MB,
+at most): where the keys outgrow it more absent ones pass, and the part leaves them out.
 
 Defined cases: null counts as empty; an empty text has no evidence and gets the
 curve's constant; without labels of both classes every score is the share of
@@ -37,8 +41,9 @@ from pyspark.sql import functions as F
 from .common import U64, chunks, held_out, mix, settled, small_batches, word_spans
 from .labelled import CALIBRATION_FOLD, logistic, with_labels
 
-COMMON = 3
 DISCOUNT = 0.75
+#: What is met less often is left to the shared counts.
+RARE = 3
 #: Words in the windows whose best mean counts.
 WINDOWS = (1, 3, 8)
 #: The curve is fitted on so many labelled rows at most.
@@ -46,19 +51,20 @@ CALIBRATION_ROWS = 50_000
 #: Bigrams and words of a broadcast table.
 BROADCAST_KEYS = 1_000_000
 BUCKET_BYTES = 32 << 20
+#: A part of the table for so many bytes of labelled texts, and of all texts.
+PART_BYTES, ASKING_BYTES = 32 << 20, 128 << 20
 #: Most bits of the filter before the join, and how many each key is given until then.
 FILTER_BITS, BITS_A_KEY = 1 << 27, 16
 BLOCK = 1 << 15
 #: Keys that a task holds (16 MB) while it makes them distinct.
 HELD_KEYS = 1 << 21
-_FIRST = np.uint32(0x5851F42D)
-_COUNTS = [*"abcdefg"]
+_FIRST = U64(0x5851F42D4C957F2D)
+_PAIR = U64(0x9E3779B97F4A7C15)
 
 
 def bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the word before, of the word, index of text); before the first word stands a mark."""
     words, owner, _, _ = word_spans(texts)
-    words = word_number(words)
     return words_before(words, owner), words, owner
 
 
@@ -72,23 +78,127 @@ def words_before(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return before
 
 
-def word_number(words: np.ndarray) -> np.ndarray:
-    return (words >> U64(32)).astype(np.uint32)
+def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(before * _PAIR + word)
 
 
-def _counted(batches):
-    """Distinct bigrams of each piece of text with their counts by class."""
-    for batch in batches:
-        texts = ["" if t is None else t for t in batch.column(0).to_pylist()]
-        toxic = batch.column(1).to_numpy(zero_copy_only=False)
-        for a, b in chunks(texts, 1 << 22):
-            before, word, owner = bigrams(texts[a:b])
-            if not len(word):
-                continue
-            found, which = np.unique((before.astype(np.uint64) << U64(32)) | word, return_inverse=True)
-            bad = np.bincount(which, weights=toxic[a:b][owner], minlength=len(found)).astype(np.int32)
-            total = np.bincount(which, minlength=len(found)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array((found >> U64(32)).astype(np.uint32).view(np.int32)), pa.array(found.astype(np.uint32).view(np.int32)), pa.array(bad), pa.array(total - bad)], ["before", "word", "toxic", "plain"])
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """By bits that neither the filter nor the order of keys depend on."""
+    return (mix(key ^ _PAIR) % U64(parts)).astype(np.int64)
+
+
+def packed_columns(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, bytes of equal weight together."""
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.dtype.itemsize).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor().compress(b"".join(planes))
+
+
+def unpacked_columns(blob: bytes, *kinds) -> list[np.ndarray]:
+    whole = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n, at, out = len(whole) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for kind in kinds:
+        size = n * np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(whole[at : at + size].reshape(-1, n).T).view(kind).ravel())
+        at += size
+    return out
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of keys in order, with the sums of their counts."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    begins = np.flatnonzero(new)
+    return [k[begins] for k in keys], [np.add.reduceat(c[order], begins) if len(order) else c for c in counts]
+
+
+def _parted(keys: list[np.ndarray], counts: list[np.ndarray], by: np.ndarray, parts: int):
+    """(part, blob) for each part that has rows."""
+    of = part_of(by, parts)
+    for part in np.unique(of).tolist():
+        own = of == part
+        yield part, packed_columns(*(k[own] for k in keys), *(c[own] for c in counts))
+
+
+def _counted(parts: int):
+    """Bigrams with their counts by class, summed in the task while they are at most
+    ``HELD_KEYS``: (part, blob of before, word, toxic, plain)."""
+
+    def blobs(held):
+        keys, counts = _summed([np.concatenate(x) for x in held[:2]], [np.concatenate(x) for x in held[2:]])
+        return keys, counts
+
+    def leaving(keys, counts):
+        made = list(_parted(keys, counts, pair_key(*keys), parts))
+        return pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["part", "blob"])
+
+    def run(batches):
+        held, many = ([], [], [], []), 0
+        for batch in batches:
+            texts = _texts(batch.column(0))
+            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+            for a, b in chunks(texts, 1 << 22):
+                before, word, owner = bigrams(texts[a:b])
+                bad = toxic[a:b][owner].astype(np.int64)
+                keys, counts = _summed([before, word], [bad, 1 - bad])
+                for x, y in zip(held, [*keys, *counts], strict=True):
+                    x.append(y)
+                many += len(keys[0])
+                if many > HELD_KEYS:
+                    keys, counts = blobs(held)
+                    held, many = tuple([x] for x in (*keys, *counts)), len(keys[0])
+                    if many > HELD_KEYS // 2:
+                        yield leaving(keys, counts)
+                        held, many = ([], [], [], []), 0
+        if many:
+            yield leaving(*blobs(held))
+
+    return run
+
+
+_PAIR_KINDS = (np.uint64, np.uint64, np.int64, np.int64)
+#: word; toxic, plain, kinds that follow in toxic, in plain; kinds before it in toxic, in
+#: plain, in either; and, until rare words are told, how often it follows.
+_WORD_KINDS = (np.uint64, *[np.int64] * 7)
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """The blobs of a part as one: part, blob, and of what is not rare blob and number."""
+    columns = [unpacked_columns(b, *_PAIR_KINDS) for b in table.column("blob").to_pylist()]
+    keys, counts = _summed([np.concatenate([c[i] for c in columns]) for i in (0, 1)], [np.concatenate([c[i] for c in columns]) for i in (2, 3)])
+    often = counts[0] + counts[1] >= RARE
+    blobs = (packed_columns(*keys, *counts), packed_columns(*(c[often] for c in (*keys, *counts))))
+    return pa.table([table.column("part").slice(0, 1), *(pa.array([b], pa.binary()) for b in blobs), pa.array([int(often.sum())], pa.int64())], ["part", "blob", "common", "n"])
+
+
+def _word_counts(parts: int):
+    """What a part of the bigrams adds to its words: (part, blob of word and a to g)."""
+
+    def run(batches):
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                before, word, toxic, plain = unpacked_columns(blob, *_PAIR_KINDS)
+                zero, one = np.zeros(len(word), np.int64), np.ones(len(word), np.int64)
+                bad, good = (toxic > 0).astype(np.int64), (plain > 0).astype(np.int64)
+                pairs = zip((toxic, plain, bad, good, zero, zero, zero, zero), (zero, zero, zero, zero, bad, good, one, toxic + plain), strict=True)
+                keys, counts = _summed([np.concatenate([before, word])], [np.concatenate(c) for c in pairs])
+                made = list(_parted(keys, counts, keys[0], parts))
+                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["part", "blob"])
+
+    return run
+
+
+def _merged_words(table: pa.Table) -> pa.Table:
+    """The blobs of a part as one, and what the models' sums need of it."""
+    columns = [unpacked_columns(b, *_WORD_KINDS, np.int64) for b in table.column("blob").to_pylist()]
+    keys, counts = _summed([np.concatenate([c[0] for c in columns])], [np.concatenate([c[i] for c in columns]) for i in range(1, 9)])
+    e, f, g, follows = counts[4:]
+    rare = (follows < RARE) & (counts[0] + counts[1] < RARE)
+    counts = [np.where(rare, 0, c) for c in counts[:6]] + [g]
+    sums = [int(e.sum()), int(f.sum()), int(g.sum()), int((e > 0).sum()), int((f > 0).sum()), len(e)]
+    return pa.table([table.column("part").slice(0, 1), pa.array([packed_columns(*keys, *counts)], pa.binary()), pa.array([len(e)], pa.int64()), pa.array([sums], pa.list_(pa.int64()))], ["part", "blob", "n", "sums"])
 
 
 class Table:
@@ -99,17 +209,14 @@ class Table:
         self.keys = keys[order]
         self.counts = np.concatenate([counts[order], np.zeros((1, counts.shape[1]))]).astype(np.float32)
 
-    def find(self, key: np.ndarray) -> np.ndarray:
+    def places(self, key: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, key)
         if len(self.keys):
             at[self.keys[np.minimum(at, len(self.keys) - 1)] != key] = len(self.keys)
-        return self.counts[at]
+        return at
 
-
-def number(before: np.ndarray | None, word: np.ndarray) -> np.ndarray:
-    """The key of a word or bigram."""
-    x = word.astype(np.uint64)
-    return x if before is None else x | (before.astype(np.uint64) << U64(32))
+    def find(self, key: np.ndarray) -> np.ndarray:
+        return self.counts[self.places(key)]
 
 
 class Models:
@@ -131,8 +238,8 @@ class Models:
 
     def evidence_of(self, before: np.ndarray, word: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         size = np.bincount(owner, minlength=n)
-        seen = self.pairs.find(number(before, word))
-        context, follows = self.words.find(number(None, before)), self.words.find(number(None, word))[:, 4:]
+        seen = self.pairs.find(pair_key(before, word))
+        context, follows = self.words.find(before), self.words.find(word)[:, 4:]
         logs = []
         for k in range(2):
             total = context[:, k].astype(np.float64)
@@ -152,15 +259,29 @@ class Models:
         return np.column_stack([mean, best, np.log1p(size)])
 
 
+def _pair_table(blobs: list[bytes]) -> Table:
+    columns = [unpacked_columns(b, *_PAIR_KINDS) for b in blobs]
+    before, word, toxic, plain = (np.concatenate([c[i] for c in columns] or [np.zeros(0, k)]) for i, k in enumerate(_PAIR_KINDS))
+    return Table(pair_key(before, word), np.column_stack([toxic, plain]))
+
+
+def _word_table(blobs: list[bytes]) -> Table:
+    columns = [unpacked_columns(b, *_WORD_KINDS) for b in blobs]
+    word, *counts = (np.concatenate([c[i] for c in columns] or [np.zeros(0, k)]) for i, k in enumerate(_WORD_KINDS))
+    return Table(word, np.column_stack(counts))
+
+
 class Fitted:
-    """The counts of a corpus: pairs(k, a, b), words(k, a to g) and their sums.
-    Both tables stay in Spark unless they are small."""
+    """The counts of a corpus: pairs and words in parts of packed columns, and their
+    sums. Both tables stay in Spark unless they are small."""
 
-    def __init__(self, pairs: DataFrame, words: DataFrame, sums: np.ndarray, most: int):
-        self.pairs, self.words, self.sums = pairs, words, sums
-        self.keys = pairs.count() + words.count()
+    def __init__(self, pairs: DataFrame, words: DataFrame, sums: np.ndarray, most: int, parts: int):
+        self.pairs = pairs.select("part", F.col("common").alias("blob"), "n")
+        self.words, self.sums, self.parts = words, sums, parts
+        self.keys = sum(t.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for t in (pairs, words))
         small = self.keys <= most
-        self.shared = pairs.sparkSession.sparkContext.broadcast(Models(_table(pairs.toArrow(), 2), _table(words.toArrow(), 7), sums)) if small else None
+        blobs = lambda t: [r.blob for r in t.select("blob").collect()]
+        self.shared = pairs.sparkSession.sparkContext.broadcast(Models(_pair_table(blobs(self.pairs)), _word_table(blobs(words)), sums)) if small else None
 
     @property
     def value(self) -> Models:
@@ -180,22 +301,43 @@ class Fitted:
                     yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(np.concatenate(rows) if rows else [])], ["id", "x"])
 
             return docs.mapInArrow(found, schema)
-        zero = [F.lit(0).alias(c) for c in _COUNTS[2:]]
-        table = self.pairs.select(F.lit(True).alias("is_pair"), "k", "a", "b", *zero).unionByName(self.words.select(F.lit(False).alias("is_pair"), "k", *_COUNTS))
-        known = _key_filter(table.select("is_pair", "k"), self.keys)
+        table = self.pairs.select(F.lit(True).alias("is_pair"), "part", "blob").unionByName(self.words.select(F.lit(False).alias("is_pair"), "part", "blob"))
+        known = _key_filter(table, self.keys)
         absent = _absent(known.value)
         packed = settled(docs.select("id", "text").mapInArrow(lambda batches: _packed(batches, known.value, absent), f"ids array<{kind}>, sizes array<int>, words binary"))
         size = packed.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
-        # dealt once: both uses keep all columns, so Spark shares the shuffle; what a
-        # bucket needs is then nearly distinct before it goes on, by key
+        # dealt once: both uses keep all columns, so Spark shares the shuffle
         dealt = packed.withColumn("bucket", F.pmod(F.xxhash64("words", "ids"), F.lit(size // BUCKET_BYTES + 1))).repartition("bucket")
-        needed = dealt.mapInArrow(lambda batches: _needed(batches, known.value), "bucket long, is_pair boolean, k long")
-        own = needed.repartition("is_pair", "k").distinct().join(table, ["is_pair", "k"])
-        sums = self.sums
+        parts, sums = self.parts, self.sums
+        asked = dealt.mapInArrow(lambda batches: _asked(batches, known.value, parts), "bucket long, is_pair boolean, part long, keys binary")
+
+        def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+            pair = bool(asked.column("is_pair")[0].as_py())
+            counts = (_pair_table if pair else _word_table)(table.column("blob").to_pylist())
+            rows = []
+            for bucket, keys in zip(asked.column("bucket").to_pylist(), asked.column("keys").to_pylist(), strict=True):
+                (keys,) = unpacked_columns(keys, np.uint64)
+                at = counts.places(keys)
+                held = at < len(counts.keys)
+                found = counts.counts[at[held]].astype(np.uint32)
+                rows.append((bucket, packed_columns(keys[held], *found.T)))
+            return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([pair] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "is_pair", "blob"])
+
+        def nothing(asked: pa.Table, table: pa.Table) -> pa.Table:
+            if asked.num_rows and table.num_rows:
+                return answer(asked, table)
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.bool_()), pa.array([], pa.binary())], ["bucket", "is_pair", "blob"])
+
+        own = asked.groupBy("is_pair", "part").cogroup(table.groupBy("is_pair", "part")).applyInArrow(nothing, "bucket long, is_pair boolean, blob binary")
+
+        def counts_of(own: pa.Table, pair: bool) -> Table:
+            n = 2 if pair else 7
+            columns = [unpacked_columns(b, np.uint64, *[np.uint32] * n) for p, b in zip(own.column("is_pair").to_pylist(), own.column("blob").to_pylist(), strict=True) if p == pair]
+            keys, *counts = (np.concatenate([c[i] for c in columns] or [np.zeros(0, np.uint64 if not i else np.uint32)]) for i in range(n + 1))
+            return Table(keys, np.column_stack(counts))
 
         def meet(rows: pa.Table, own: pa.Table) -> pa.Table:
-            pair = own.column("is_pair").to_numpy()
-            models = Models(_table(own.filter(pa.array(pair)), 2), _table(own.filter(pa.array(~pair)), 7), sums)
+            models = Models(counts_of(own, True), counts_of(own, False), sums)
             ids = pa.concat_arrays([c.flatten() for c in rows.column("ids").chunks])
             x = [models.evidence_of(words_before(word, owner), word, owner, n) for word, owner, n in _unpacked(rows.column("sizes"), rows.column("words"))]
             return pa.Table.from_arrays([ids, _lists(np.concatenate(x) if x else [])], ["id", "x"])
@@ -214,10 +356,10 @@ def _lists(rows) -> pa.Array:
     return pa.array(list(rows), pa.list_(pa.float64()))
 
 
-def _absent(held: np.ndarray) -> np.uint32 | None:
+def _absent(held: np.ndarray) -> np.uint64 | None:
     """A number that no word of the table has; none where the filter is too full to tell."""
     free = np.flatnonzero(~_holds(held, np.arange(BLOCK, dtype=np.uint64), False))
-    return np.uint32(free[0]) if len(free) else None
+    return U64(free[0]) if len(free) else None
 
 
 def _packed(batches, held: np.ndarray, absent: np.uint32 | None):
@@ -233,7 +375,7 @@ def _packed(batches, held: np.ndarray, absent: np.uint32 | None):
             _, word, owner = bigrams(texts[a:b])
             kinds, place = np.unique(word, return_inverse=True)
             if absent is not None:
-                kinds, again = np.unique(np.where(_holds(held, kinds.astype(np.uint64), False), kinds, absent), return_inverse=True)
+                kinds, again = np.unique(np.where(_holds(held, kinds, False), kinds, absent), return_inverse=True)
                 place = again[place]
             # frequent words first, and bytes of equal weight together: they pack better
             order = np.argsort(-np.bincount(place, minlength=len(kinds)), kind="stable")
@@ -254,8 +396,8 @@ def _unpacked(sizes, words):
     for size, packed in zip(sizes.to_pylist(), words.to_pylist(), strict=True):
         whole = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
         kinds = int(whole[:4].view(np.uint32)[0])
-        place = np.ascontiguousarray(whole[4 + 4 * kinds :].reshape(4, -1).T).view(np.uint32).ravel()
-        yield whole[4 : 4 + 4 * kinds].view(np.uint32)[place], np.repeat(np.arange(len(size)), size), len(size)
+        place = np.ascontiguousarray(whole[4 + 8 * kinds :].reshape(4, -1).T).view(np.uint32).ravel()
+        yield whole[4 : 4 + 8 * kinds].copy().view(np.uint64)[place], np.repeat(np.arange(len(size)), size), len(size)
 
 
 def _places(keys: np.ndarray, is_pair: bool, bits: int) -> np.ndarray:
@@ -265,16 +407,18 @@ def _places(keys: np.ndarray, is_pair: bool, bits: int) -> np.ndarray:
 
 
 def _key_filter(keys: DataFrame, count: int):
-    """A broadcast Bloom filter of keys(is_pair, k); tasks set the bits, Spark joins their blocks."""
+    """A broadcast Bloom filter of a table's keys(is_pair, blob); tasks set the bits, Spark joins their blocks."""
     bits = BLOCK
     while bits < min(count * BITS_A_KEY, FILTER_BITS):
         bits *= 2
 
     def placed(batches):
         for batch in batches:
-            pair, k = batch.column("is_pair").to_numpy(zero_copy_only=False), batch.column("k").to_numpy()
-            at = np.unique(np.concatenate([_places(k[pair == kind], kind, bits).ravel() for kind in (False, True)])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at // BLOCK), pa.array(at % BLOCK)], ["block", "bit"])
+            for pair, blob in zip(batch.column("is_pair").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                columns = unpacked_columns(blob, *(_PAIR_KINDS if pair else _WORD_KINDS))
+                at = np.unique(_places(pair_key(*columns[:2]) if pair else columns[0], pair, bits)).astype(np.int64)
+                for low in range(0, len(at), 1 << 20):
+                    yield pa.RecordBatch.from_arrays([pa.array(at[low : low + (1 << 20)] // BLOCK), pa.array(at[low : low + (1 << 20)] % BLOCK)], ["block", "bit"])
 
     blocks = keys.mapInArrow(placed, "block long, bit long").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("held")).collect()
     held = np.zeros((bits // BLOCK, BLOCK // 8), np.uint8)
@@ -288,35 +432,32 @@ def _holds(held: np.ndarray, keys: np.ndarray, is_pair: bool) -> np.ndarray:
     return ((held[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1).all(axis=0)
 
 
-def _needed(batches, held: np.ndarray):
-    """(bucket, is_pair, k): the words and bigrams of packed rows that the filter holds,
-    distinct among up to ``HELD_KEYS`` of them that are put together before they leave."""
+def _asked(batches, held: np.ndarray, parts: int):
+    """(bucket, is_pair, part, keys): the words and bigrams of packed rows that the filter
+    holds, distinct among up to ``HELD_KEYS`` of them that are put together before they leave."""
     kept, many = {}, 0
     for batch in batches:
         for bucket, (word, owner, _) in zip(batch.column("bucket").to_pylist(), _unpacked(batch.column("sizes"), batch.column("words")), strict=True):
             before = words_before(word, owner)
-            for keys, is_pair in ((number(before, word), True), (np.concatenate([word, before]).astype(np.uint64), False)):
+            for keys, is_pair in ((pair_key(before, word), True), (np.concatenate([word, before]), False)):
                 found = np.unique(keys)
                 found = found[_holds(held, found, is_pair)]
                 kept.setdefault((bucket, is_pair), []).append(found)
                 many += len(found)
             if many > HELD_KEYS:
-                kept = {key: [np.unique(np.concatenate(parts))] for key, parts in kept.items()}
-                many = sum(len(parts[0]) for parts in kept.values())
+                kept = {key: [np.unique(np.concatenate(p))] for key, p in kept.items()}
+                many = sum(len(p[0]) for p in kept.values())
                 if many > HELD_KEYS // 2:
-                    yield from _leaving(kept)
+                    yield from _leaving(kept, parts)
                     kept, many = {}, 0
-    yield from _leaving(kept)
-
-
-def _leaving(kept: dict):
-    for (bucket, is_pair), parts in kept.items():
-        found = np.unique(np.concatenate(parts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), bucket)), pa.array(np.full(len(found), is_pair)), pa.array(found)], ["bucket", "is_pair", "k"])
+    yield from _leaving(kept, parts)
 
 
-def _table(rows: pa.Table, counts: int) -> Table:
-    return Table(rows.column("k").to_numpy().astype(np.int64).view(np.uint64), np.column_stack([rows.column(c).to_numpy() for c in _COUNTS[:counts]]))
+def _leaving(kept: dict, parts: int):
+    for (bucket, is_pair), pieces in kept.items():
+        found = np.unique(np.concatenate(pieces))
+        made = list(_parted([found], [], found, parts))
+        yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(made), pa.int64()), pa.array([is_pair] * len(made)), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["bucket", "is_pair", "part", "keys"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_KEYS):
@@ -329,19 +470,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     if share[0] < 2:
         return None, float(share[1] or 0), None
     known = with_labels(docs.select("id", "text"), labels, "label", "id")
-    counted = known.where(F.col("fold") != CALIBRATION_FOLD).select("text", "label").mapInArrow(_counted, "before int, word int, toxic int, plain int")
-    pairs = settled(counted.groupBy("before", "word").agg(F.sum("toxic").cast("int").alias("toxic"), F.sum("plain").cast("int").alias("plain")))
-    has = lambda c: F.count_if(F.col(c) > 0)
-    contexts = pairs.groupBy(F.col("before").alias("w")).agg(F.sum("toxic").alias("a"), F.sum("plain").alias("b"), has("toxic").alias("c"), has("plain").alias("d"))
-    followers = pairs.groupBy(F.col("word").alias("w")).agg(has("toxic").alias("e"), has("plain").alias("f"), F.count("*").alias("g"), F.sum(F.col("toxic") + F.col("plain")).alias("n"))
-    words = settled(contexts.join(followers, "w", "full").na.fill(0))
-    sums = words.agg(F.sum("e"), F.sum("f"), F.sum("g"), has("e"), has("f"), F.count("*")).first()
+    counting = known.where(F.col("fold") != CALIBRATION_FOLD).select("text", "label")
+    sizes = [t.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] for t in (counting, docs)]
+    parts = int(1 + max(sizes[0] // PART_BYTES, sizes[1] // ASKING_BYTES))
+    blobs = "part long, blob binary"
+    pairs = settled(counting.mapInArrow(_counted(parts), blobs).groupBy("part").applyInArrow(_merged, f"{blobs}, common binary, n long"))
+    words = settled(pairs.select("part", "blob").mapInArrow(_word_counts(parts), blobs).groupBy("part").applyInArrow(_merged_words, f"{blobs}, n long, sums array<long>"))
+    sums = words.agg(*(F.sum(F.col("sums")[i]) for i in range(6))).first()
     if not sums[5] or not all(sums):
         return None, float(share[1] or 0), None
-    low = lambda c: F.col(c).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    common = pairs.where(F.col("toxic") + F.col("plain") >= COMMON).select(F.shiftleft(low("before"), 32).bitwiseOR(low("word")).alias("k"), F.col("toxic").alias("a"), F.col("plain").alias("b"))
-    frequent = words.where((F.col("n") >= COMMON) | (F.col("a") + F.col("b") >= COMMON)).select(low("w").alias("k"), *(F.col(c).cast("int").alias(c) for c in _COUNTS))
-    fitted = Fitted(settled(common), settled(frequent), np.array(sums, float), most)
+    fitted = Fitted(pairs, words, np.array(sums, float), most, parts)
     x = settled(fitted.evidence(docs))
     # the curve's rows are chosen among ids
     chosen = with_labels(labels.select("id").distinct(), labels, "label", "id").where(F.col("fold") == CALIBRATION_FOLD).orderBy(F.xxhash64("id"), "id").limit(CALIBRATION_ROWS)
