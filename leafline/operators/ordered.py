@@ -4,6 +4,8 @@ are spread."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,70 @@ def best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
+class Cells:
+    """Windows over rows of a key that are cut into cells (ranges of their order), so that
+    a key with a third of all rows is spread over tasks. Each cell is a window of its
+    own; what goes from cell to cell (the last row, a sum, the last value) is kept in a
+    small table of cells and joined back. ``cell`` must rise with the order."""
+
+    def __init__(self, rows: DataFrame, keys: list[str], order: list[str], cell: Column):
+        self.rows, self.keys, self.order = rows.withColumn("_cell", cell), keys, order
+        self.by = [*keys, "_cell"]
+
+    def _joined(self, cells: DataFrame) -> DataFrame:
+        named = cells.withColumnsRenamed({k: f"_k_{k}" for k in self.by})  # keys may be null
+        return self.rows.join(named, [self.rows[k].eqNullSafe(named[f"_k_{k}"]) for k in self.by]).drop(*(f"_k_{k}" for k in self.by))
+
+    def previous(self, *columns: str) -> Cells:
+        """prev_<column>: its value in the row before, null in a key's first row."""
+        own = F.struct(*columns)
+        ends = self.rows.groupBy(*self.by).agg(F.max_by(own, F.struct(*self.order)).alias("_end"))
+        was = F.lag("_end").over(Window.partitionBy(*self.keys).orderBy("_cell"))
+        cells = ends.select(*self.by, was.alias("_was"))
+        inner = F.lag(own).over(Window.partitionBy(*self.by).orderBy(*self.order))
+        self.rows = self.rows.withColumn("_own", inner)
+        found = F.coalesce("_own", "_was")
+        self.rows = self._joined(cells).withColumn("_found", found).withColumns({f"prev_{c}": F.col(f"_found.{c}") for c in columns}).drop("_own", "_was", "_found")
+        return self
+
+    def running(self, name: str, amount: Column) -> Cells:
+        """name: the sum of amounts up to the row."""
+        self.rows = self.rows.withColumn("_amount", amount)
+        sums = self.rows.groupBy(*self.by).agg(F.sum("_amount").alias("_sum"))
+        before = F.sum("_sum").over(Window.partitionBy(*self.keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+        cells = sums.select(*self.by, F.coalesce(before, F.lit(0)).alias("_before"))
+        inner = F.sum("_amount").over(Window.partitionBy(*self.by).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0))
+        self.rows = self.rows.withColumn("_inner", inner)
+        self.rows = self._joined(cells).withColumn(name, F.col("_inner") + F.col("_before")).drop("_amount", "_inner", "_before")
+        return self
+
+    def carried(self, name: str, value: Column) -> Cells:
+        """name: the last value that is not null, up to the row."""
+        self.rows = self.rows.withColumn("_value", value)
+        known = F.when(F.col("_value").isNotNull(), F.struct(*self.order))  # rows of no place don't count
+        ends = self.rows.groupBy(*self.by).agg(F.max_by("_value", known).alias("_end"))
+        before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*self.keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+        inner = F.last("_value", ignorenulls=True).over(Window.partitionBy(*self.by).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0))
+        self.rows = self.rows.withColumn("_inner", inner)
+        self.rows = self._joined(ends.select(*self.by, before.alias("_before"))).withColumn(name, F.coalesce("_inner", "_before")).drop("_value", "_inner", "_before")
+        return self
+
+
+def at_rank(rows: DataFrame, keys: list[str], value: str, rank: Callable[[Column], Column]) -> DataFrame:
+    """keys and the value at place ``rank(n)`` (from 1) of the n values of each key, in
+    rising order, nulls left out. Values fall into cells that grow with them; counts tell
+    the cell that holds the place, and only that cell's values are sorted."""
+    held = rows.where(F.col(value).isNotNull()).select(*keys, value)
+    size = F.floor(F.log2(F.abs(value) + 1) * 16)
+    held = held.withColumn("_cell", F.when(F.col(value) < 0, -size - 1).otherwise(size))
+    every, rising = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = held.groupBy(*keys, "_cell").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(rising)).withColumn("_rank", rank(F.sum("_n").over(every)))
+    cells = cells.where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+    same = Window.partitionBy(*keys).orderBy(value)
+    found = held.join(cells, [*keys, "_cell"]).withColumn("_r", F.row_number().over(same) + F.col("_upto") - F.col("_n"))
+    return found.where(F.col("_r") == F.col("_rank")).select(*keys, value)
+
+
 def neighbours(rows: DataFrame, values: DataFrame, key: str, wanted: str, value: str, width: float) -> DataFrame:
     """rows with ``below``, the greatest value of their key up to ``wanted``, and
     ``above``, the least beyond it (null where there is none). Both sides are sorted in

@@ -67,3 +67,38 @@ def line_texts(words: DataFrame, key: str, tolerance: float = TOLERANCE) -> Data
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
     lines = rows.groupBy(key, "line_y").agg(texts.alias("text")).where(F.trim("text") != "")
     return lines.withColumn("line", F.row_number().over(Window.partitionBy(key).orderBy(F.col("line_y").desc()))).select(key, "line", "line_y", "text")
+
+
+SIDES = ("x0", "y0", "x1", "y1")
+
+
+def deduplicated(words: DataFrame, keys: list[str], digits: int = 3) -> DataFrame:
+    """One word of each text and four sides, rounded half to even: the first by ``place``."""
+    grid = {f"_{c}": F.bround(F.col(c), digits) for c in SIDES}
+    first = F.min_by(F.struct(*words.columns), "place")
+    return words.withColumns(grid).groupBy(*keys, "text", *grid).agg(first.alias("w")).select("w.*")
+
+
+def union_box() -> list[Column]:
+    """Aggregates for the box around boxes: from an empty one turned inside out, within 0 and 1."""
+    held = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    low = lambda c: held(F.least(F.lit(1.0), F.min(c))).alias(c)
+    high = lambda c: held(F.greatest(F.lit(0.0), F.max(c))).alias(c)
+    return [low("x0"), low("y0"), high("x1"), high("y1")]
+
+
+def evidence(words: DataFrame, key: str, pattern: str, before: int = 40, most: int = 160) -> DataFrame:
+    """key, value, n, the box around the words that the first match of a pattern in a
+    key's text (its words in order of ``place``, with blanks between) overlaps, and a
+    snippet of at most ``most`` characters that begins ``before`` characters earlier.
+    Only keys with a match are kept; the overlap is tested within a row, without a join."""
+    held = F.array_sort(F.collect_list(F.struct("place", "text", *SIDES)))
+    rows = words.groupBy(key).agg(held.alias("w")).withColumn("whole", F.array_join(F.transform("w", lambda w: w["text"]), " "))
+    rows = rows.where(F.col("whole").rlike(pattern)).withColumn("value", F.regexp_extract("whole", pattern, 0)).withColumn("a", F.regexp_instr("whole", F.lit(pattern)) - 1)
+    step = lambda s, w: F.struct((s["at"] + F.length(w["text"]) + 1).alias("at"), F.when((s["at"] < F.col("a") + F.length("value")) & (s["at"] + F.length(w["text"]) > F.col("a")), F.array_append(s["met"], F.struct(*(w[c].alias(c) for c in SIDES)))).otherwise(s["met"]).alias("met"))
+    none = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    rows = rows.withColumn("met", F.aggregate("w", F.struct(F.lit(0).alias("at"), none.alias("met")), step, lambda s: s["met"]))
+    side = lambda c, pick, edge, clamp: F.least(F.lit(1.0), F.greatest(F.lit(0.0), clamp(F.lit(edge), pick(F.transform("met", lambda m: m[c]))))).alias(c)
+    box = [side("x0", F.array_min, 1.0, F.least), side("y0", F.array_min, 1.0, F.least), side("x1", F.array_max, 0.0, F.greatest), side("y1", F.array_max, 0.0, F.greatest)]
+    snippet = F.substring(F.col("whole"), F.greatest(F.lit(0), F.col("a") - before) + 1, F.lit(most))
+    return rows.select(key, "value", F.size("met").cast("long").alias("n"), *box, snippet.alias("snippet"))

@@ -96,3 +96,48 @@ def outline_counts(spark, sf_dir):
     turned = F.when(back & F.col("parent").isNull() & (F.col("page_id") % 3 == 0), 1).when(back & (F.col("level") == 3) & (F.col("page_id") % 3 == 1), F.col("parent")).otherwise(F.col("next"))
     links = rows.withColumn("next", turned)
     return outlines.counted(links, "page_id", "ord", links.groupBy("page_id").agg(F.min("ord").alias("ord")))
+
+
+#: Words have a height of eight; coordinates as shares of the page.
+WIDTH, LINE_HEIGHT = 1000.0, 8.0
+BOXES = f"X AS (SELECT page_id, text, x0 / {WIDTH} AS x0, y / {HEIGHT} AS y0, x1 / {WIDTH} AS x1, (y + {LINE_HEIGHT}) / {HEIGHT} AS y1, row_number() OVER (PARTITION BY page_id ORDER BY y DESC, x0, text) AS place FROM W)"
+CORNERS = ("x0", "y0", "x1", "y1")
+
+
+def boxes(spark, sf_dir):
+    """page_id, text, place (in reading order) and the four sides of every word, as shares of the page."""
+    rows = P.reading_order(words(spark, sf_dir), ["page_id"])
+    return rows.select("page_id", "text", "place", (F.col("x0") / WIDTH).alias("x0"), (F.col("y") / HEIGHT).alias("y0"), (F.col("x1") / WIDTH).alias("x1"), ((F.col("y") + LINE_HEIGHT) / HEIGHT).alias("y1"))
+
+
+UNION = "least(1, greatest(0, least(1, min(x0)))) AS x0, least(1, greatest(0, least(1, min(y0)))) AS y0, least(1, greatest(0, greatest(0, max(x1)))) AS x1, least(1, greatest(0, greatest(0, max(y1)))) AS y1"
+
+
+@query(f"WITH {WORDS}, {BOXES} SELECT page_id, count(*) AS n, count(DISTINCT [text, round_even(x0 * 40, 0)::VARCHAR, round_even(y0 * 40, 0)::VARCHAR, round_even(x1 * 40, 0)::VARCHAR, round_even(y1 * 40, 0)::VARCHAR]) AS kept FROM X GROUP BY page_id")
+def deduplicated_words(spark, sf_dir):
+    """Words of one text whose four sides fall together on a coarse grid count once."""
+    rows = boxes(spark, sf_dir).withColumns({c: F.col(c) * 40 for c in CORNERS})
+    kept = P.deduplicated(rows, ["page_id"], digits=0).groupBy("page_id").agg(F.count("*").alias("kept"))
+    return rows.groupBy("page_id").agg(F.count("*").alias("n")).join(kept, "page_id")
+
+
+@query(f"WITH {WORDS}, {BOXES}, U AS (SELECT page_id, {UNION}, sum(greatest(0, (x1 - x0) * {WIDTH} * (y1 - y0) * {HEIGHT})) / greatest(1, {WIDTH} * {HEIGHT}) AS density FROM X GROUP BY page_id) SELECT page_id, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, round(density, 6) AS density FROM U")
+def page_boxes(spark, sf_dir):
+    """The box around each page's words, within the page, and how much of it they cover."""
+    rows = boxes(spark, sf_dir)
+    area = F.sum(F.greatest(F.lit(0.0), (F.col("x1") - F.col("x0")) * WIDTH * (F.col("y1") - F.col("y0")) * HEIGHT)) / max(1.0, WIDTH * HEIGHT)
+    found = rows.groupBy("page_id").agg(*P.union_box(), area.alias("density"))
+    return found.select("page_id", *(F.round(c, 6).alias(c) for c in (*CORNERS, "density")))
+
+
+NUMBER = "[0-9]{3,}[^ ]* [^ ]+"
+
+
+@query(f"""WITH {WORDS}, {BOXES}, S AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY page_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM X),
+T AS (SELECT page_id, string_agg(text, ' ' ORDER BY place) AS whole FROM X GROUP BY page_id), M AS (SELECT page_id, whole, regexp_extract(whole, '{NUMBER}') AS value, strpos(whole, regexp_extract(whole, '{NUMBER}')) - 1 AS a FROM T WHERE regexp_matches(whole, '{NUMBER}')),
+E AS (SELECT M.page_id, any_value(value) AS value, any_value(whole) AS whole, any_value(a) AS a, count(*) AS n, {UNION} FROM M JOIN S ON S.page_id = M.page_id AND begins < a + length(value) AND begins + length(text) > a GROUP BY M.page_id)
+SELECT page_id, value, n, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, substr(whole, (greatest(0, a - 40) + 1)::INT, 160) AS snippet FROM E""")
+def evidence_regions(spark, sf_dir):
+    """For the first long number of a page and the word after it: the box around the
+    words that the match overlaps, and the text around it."""
+    return P.evidence(boxes(spark, sf_dir), "page_id", NUMBER).select("page_id", "value", "n", *(F.round(c, 6).alias(c) for c in CORNERS), "snippet")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.ordered import best, blocks, carried_forward, nearest, prev, ranges, spans
+from ..operators.ordered import Cells, at_rank, best, nearest, ranges
 from ..sources.content import table
 from .registry import query
 
@@ -14,53 +13,72 @@ W = "(PARTITION BY user_id ORDER BY ts, event_id)"
 USER, TIME = ["user_id"], ["ts", "event_id"]
 
 
+#: Events of a user are cut at so many seconds.
+CELL = 5 * 86_400
+
+
 def _events(spark, sf_dir):
     return table(spark, sf_dir, "events")
 
 
+def _micros(c: str):
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def _cut(spark, sf_dir):
+    return Cells(_events(spark, sf_dir), USER, TIME, F.floor(_micros("ts") / (CELL * 1_000_000)))
+
+
+def _gaps(spark, sf_dir):
+    """gap: microseconds since the user's event before."""
+    cut = _cut(spark, sf_dir).previous("ts")
+    cut.rows = cut.rows.withColumn("gap", _micros("ts") - _micros("prev_ts"))
+    return cut
+
+
 @query(f"WITH J AS (SELECT *, CASE WHEN abs(value - lag(value) OVER {W}) > 20 THEN 1 ELSE 0 END AS j FROM events), B AS (SELECT *, 1 + sum(j) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS block FROM J) SELECT user_id, block::INT AS block, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM B GROUP BY user_id, block")
 def block_sessionize(spark, sf_dir):
     """A new block where the level jumps by more than 20."""
-    rows = _events(spark, sf_dir).withColumn("p", prev("value", USER, TIME))
-    jumps = F.coalesce(F.abs(F.col("value") - F.col("p")) > 20, F.lit(False))
-    return blocks(rows, USER, TIME, jumps).groupBy("user_id", "block").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    rows = _cut(spark, sf_dir).previous("value")
+    jumps = F.coalesce(F.abs(F.col("value") - F.col("prev_value")) > 20, F.lit(False))
+    rows = rows.running("block", F.when(jumps, 1).otherwise(0)).rows.withColumn("block", (F.col("block") + 1).cast("int"))
+    return rows.groupBy("user_id", "block").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
 @query(f"WITH G AS (SELECT user_id, event_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER {W}) AS gap FROM events), B AS (SELECT *, 1 + sum(CASE WHEN gap > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS block FROM G) SELECT user_id, block::INT AS block, count(*) AS n FROM B GROUP BY user_id, block")
 def line_merge(spark, sf_dir):
     """Rows closer than an hour belong to one line."""
-    rows = _events(spark, sf_dir).withColumn("gap", F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(prev("ts", USER, TIME).cast("timestamp")))
-    return blocks(rows, USER, TIME, F.coalesce(F.col("gap") > 3_600_000_000, F.lit(False))).groupBy("user_id", "block").agg(F.count("*").alias("n"))
+    rows = _gaps(spark, sf_dir).running("block", F.when(F.col("gap") > 3_600_000_000, 1).otherwise(0)).rows
+    return rows.withColumn("block", (F.col("block") + 1).cast("int")).groupBy("user_id", "block").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH G AS (SELECT user_id, event_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER {W}) AS gap FROM events), S AS (SELECT user_id, list_sort(list(gap)) AS gaps FROM G WHERE gap IS NOT NULL GROUP BY user_id), M AS (SELECT user_id, gaps[len(gaps) // 2 + 1] AS middle FROM S), B AS (SELECT G.user_id, 1 + sum(CASE WHEN gap > middle * 1.6 THEN 1 ELSE 0 END) OVER (PARTITION BY G.user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS p FROM G JOIN M USING (user_id)) SELECT user_id, max(p)::INT AS paragraphs, count(*) AS n FROM B GROUP BY user_id")
 def paragraph_threshold(spark, sf_dir):
     """A new paragraph where a gap exceeds 1.6 times the upper median gap."""
-    rows = _events(spark, sf_dir).withColumn("gap", F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(prev("ts", USER, TIME).cast("timestamp")))
-    gaps = rows.where("gap is not null").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("gap", "event_id"))).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
-    middle = gaps.where("r = floor(n / 2) + 1 or (n = 1 and r = 1)").select("user_id", F.col("gap").alias("middle"))
-    joined = rows.join(middle, "user_id")
-    return blocks(joined, USER, TIME, F.coalesce(F.col("gap") > F.col("middle") * 1.6, F.lit(False))).groupBy("user_id").agg(F.max("block").alias("paragraphs"), F.count("*").alias("n"))
+    rows = _gaps(spark, sf_dir).rows
+    middle = at_rank(rows, USER, "gap", lambda n: F.floor(n / 2) + 1).withColumnRenamed("gap", "middle")
+    wide = F.coalesce(F.col("gap") > F.col("middle") * 1.6, F.lit(False))
+    return rows.join(middle, "user_id").groupBy("user_id").agg((F.count_if(wide) + 1).cast("int").alias("paragraphs"), F.count("*").alias("n"))
 
 
 @query(f"WITH G AS (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER {W}) AS gap FROM events), S AS (SELECT user_id, list_sort(list(gap)) AS g FROM G WHERE gap IS NOT NULL GROUP BY user_id) SELECT user_id, g[floor(0.9 * (len(g) - 1))::INT + 1] AS p90 FROM S")
 def p90_gap(spark, sf_dir):
-    rows = _events(spark, sf_dir).select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(prev("ts", USER, TIME).cast("timestamp"))).alias("gap")).where("gap is not null")
-    w = Window.partitionBy("user_id")
-    ranked = rows.withColumn("r", F.row_number().over(w.orderBy("gap", "event_id"))).withColumn("n", F.count("*").over(w))
-    return ranked.where("r = floor(0.9 * (n - 1)) + 1").select("user_id", F.col("gap").alias("p90"))
+    rows = at_rank(_gaps(spark, sf_dir).rows, USER, "gap", lambda n: F.floor(0.9 * (n - 1)) + 1)
+    return rows.select("user_id", F.col("gap").alias("p90"))
 
 
 @query(f"SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), -1) AS carried FROM events")
 def carry_forward(spark, sf_dir):
-    rows = _events(spark, sf_dir).withColumn("mark", F.when(F.col("event_type") == "purchase", F.col("event_id")))
-    return carried_forward(rows, USER, TIME, "mark", "carried").select("event_id", F.coalesce("carried", F.lit(-1).cast("long")).alias("carried"))
+    rows = _cut(spark, sf_dir).carried("carried", F.when(F.col("event_type") == "purchase", F.col("event_id"))).rows
+    return rows.select("event_id", F.coalesce("carried", F.lit(-1).cast("long")).alias("carried"))
 
 
 @query(f"WITH N AS (SELECT *, row_number() OVER {W} AS place, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER {W} THEN 1 ELSE 0 END AS c FROM events), B AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM N) SELECT user_id, event_type, min(place)::INT AS start_at, max(place)::INT AS end_at, count(*) AS n FROM B GROUP BY user_id, b, event_type")
 def doc_spans(spark, sf_dir):
-    rows = _events(spark, sf_dir).withColumn("at", F.row_number().over(Window.partitionBy("user_id").orderBy(*TIME)))
-    return spans(rows, USER, TIME, "event_type", "at").select("user_id", "event_type", "start_at", "end_at", "n")
+    rows = _cut(spark, sf_dir).previous("event_type", "event_id")
+    changed = F.col("prev_event_id").isNull() | ~F.col("event_type").eqNullSafe(F.col("prev_event_type"))
+    rows = rows.running("run", F.when(changed, 1).otherwise(0)).running("at", F.lit(1)).rows
+    return rows.groupBy("user_id", "run", "event_type").agg(F.min("at").cast("int").alias("start_at"), F.max("at").cast("int").alias("end_at"), F.count("*").alias("n")).drop("run")
 
 
 @query("WITH R AS (SELECT o_custkey, o_orderkey, o_orderdate, dayofyear(o_orderdate)::INT AS page FROM orders), S AS (SELECT *, lead(page) OVER (PARTITION BY o_custkey ORDER BY page, o_orderkey) AS nxt FROM R) SELECT o_orderkey, page AS start_page, greatest(page, coalesce(nxt - 1, 366))::INT AS end_page FROM S")
