@@ -205,8 +205,9 @@ def loose_pattern(literal: str) -> str:
 
 
 def found_spans(text: Column, kind: str, pattern: str) -> Column:
-    """array<struct<start, stop, kind, value>> of all matches; places count from 0."""
-    pieces = F.split(F.regexp_replace(F.translate(text, "\x01\x02", ""), f"({pattern})", "\x01$1\x02"), "\x01")
+    """array<struct<start, stop, kind, value>> of all matches; places count from 0. The
+    characters U+0001 and U+0002 of a text are read as U+0003, so places stay."""
+    pieces = F.split(F.regexp_replace(F.translate(text, "\x01\x02", "\x03\x03"), f"({pattern})", "\x01$1\x02"), "\x01")
     none = F.array().cast("array<struct<start:int,stop:int,kind:string,value:string>>")
 
     def add(state, piece):
@@ -258,3 +259,8 @@ def id_form(text: Column) -> Column:
 def length_score(a: Column, b: Column) -> Column:
     """1 for equal lengths, 0 for nothing against something."""
     return F.when(F.greatest(a, b) <= 0, F.lit(1.0)).otherwise(1 - F.abs(a - b) / F.greatest(a, b))
+
+
+def relative_position(index: Column, total: Column) -> Column:
+    """From 0 to 1 for an index (from 0) among so many; 0.5 among one or none."""
+    return F.when(total <= 1, F.lit(0.5)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), index / (total - 1))))

@@ -400,3 +400,47 @@ def slot_blocks(slots: DataFrame) -> DataFrame:
     w = Window.partitionBy("group_id").orderBy("slot")
     rows = slots.withColumn("_run", F.col("slot") - F.row_number().over(w)).groupBy("group_id", "_run").agg(F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
     return rows.select("group_id", "first_slot", "last_slot", F.ceil((F.col("first_slot") - 1) / 2).cast("int").alias("first_token"), F.floor((F.col("last_slot") - 1) / 2).cast("int").alias("last_token"))
+
+
+def variation_blocks(groups: DataFrame, fixed: bool = False) -> DataFrame:
+    """groups(group_id, members array<array<string>>): the first member is the base. Slot
+    2i is the gap before its token i, slot 2i + 1 the token; a slot varies where another
+    member has something in the gap or lacks the token. group_id, block (from 1),
+    first_slot, last_slot, member and text: what each member has in each maximal run of
+    slots that vary. With ``fixed`` the runs between are listed as well (block 0)."""
+
+    def run(batches):
+        for frame in batches:
+            rows = []
+            for group, members in zip(frame.group_id, frame.members, strict=True):
+                members = [list(m) for m in members]
+                base = members[0]
+                varies = np.zeros(2 * len(base) + 1, bool)
+                gaps, kept = [], []
+                for other in members:
+                    inside: dict[int, list[str]] = {}
+                    same = np.zeros(len(base), bool)
+                    for kind, i, j, k, m in runs(base, other):
+                        if kind == "INS":
+                            inside[i] = other[k:m]
+                        elif kind == "EQ":
+                            same[i:j] = True
+                    varies[1::2] |= ~same
+                    varies[[2 * i for i in inside]] = True
+                    gaps.append(inside)
+                    kept.append(same)
+                edge = np.flatnonzero(np.diff(varies.astype(np.int8))) + 1
+                block = 0
+                for first, end in zip([0, *edge], [*edge, len(varies)], strict=True):
+                    block += bool(varies[first])
+                    if not varies[first] and not fixed:
+                        continue
+                    for n, (inside, same) in enumerate(zip(gaps, kept, strict=True)):
+                        tokens = []
+                        for slot in range(first, end):
+                            i = slot // 2
+                            tokens += inside.get(i, []) if slot % 2 == 0 else [base[i]] if same[i] else []
+                        rows.append((group, block if varies[first] else 0, first, end - 1, n, " ".join(tokens)))
+            yield pd.DataFrame(rows, columns=["group_id", "block", "first_slot", "last_slot", "member", "text"])
+
+    return groups.select("group_id", "members").mapInPandas(run, "group_id long, block int, first_slot int, last_slot int, member int, text string")

@@ -87,9 +87,9 @@ def _anchored(spark, sf_dir):
 @query(f"WITH {BLOCKS}, {ANCHORS} SELECT prev, next, count(*) AS n, array_to_string(list_transform((list_sort(list(doc_id * 1000000 + start_op)))[1:3], lambda x: x::VARCHAR), ',') AS examples FROM A WHERE kind = 'V' AND prev IS NOT NULL AND next IS NOT NULL GROUP BY prev, next")
 def anchor_groups(spark, sf_dir):
     """Pairs of fixed neighbours of variable blocks, how often, and the first three places."""
-    rows = _anchored(spark, sf_dir).where("prev is not null and next is not null").withColumn("at", F.col("doc_id") * 1000000 + F.col("start_op"))
+    rows = _anchored(spark, sf_dir).where("prev is not null and next is not null").withColumn("at", F.struct("doc_id", "start_op"))
     # the three least of each part first, so that no group is gathered whole
-    few = rows.withColumn("r", F.row_number().over(Window.partitionBy("prev", "next").orderBy("at"))).where("r <= 3").groupBy("prev", "next").agg(F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: x.cast("string")), ",").alias("examples"))
+    few = rows.withColumn("r", F.row_number().over(Window.partitionBy("prev", "next").orderBy("at"))).where("r <= 3").groupBy("prev", "next").agg(F.array_join(F.transform(F.array_sort(F.collect_list("at")), lambda x: (x["doc_id"] * 1000000 + x["start_op"]).cast("string")), ",").alias("examples"))
     return rows.groupBy("prev", "next").agg(F.count("*").alias("n")).join(few, ["prev", "next"])
 
 

@@ -28,3 +28,17 @@ def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def read_csv(spark, path: str, schema) -> DataFrame:
     """Files of ``write_csv`` or catalogs of that form (line ends inside quotes)."""
     return spark.read.schema(schema).option("header", "true").option("escape", '"').option("multiLine", "true").csv(path)
+
+
+#: Bands of a page from the top down. Fixed values.
+BANDS = ("header", "subheader", "title", "body", "footer")
+
+
+def write_bands(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """rows(file, page, band, text) as a folder of JSON lines a file: pages in order, and the
+    text of each page's bands from the top down; bands of other names come last, by name."""
+    rank = F.coalesce(*(F.when(F.col("band") == b, i) for i, b in enumerate(BANDS)), F.lit(len(BANDS)))
+    held = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "band", "text")))
+    pages = rows.groupBy("file", "page").agg(held.alias("b"))
+    pages = pages.select("file", "page", F.array_join(F.transform("b", lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("page_text"), F.transform("b", lambda x: F.struct(x["band"].alias("band"), x["text"].alias("text"))).alias("bands"))
+    pages.repartition("file").sortWithinPartitions("file", "page").write.mode(mode).partitionBy("file").option("ignoreNullFields", "false").json(path)
