@@ -168,7 +168,7 @@ class Codec:
         for a, b in chunks(texts):
             joined, points, starts = code_points(texts[a:b])
             cuts = boundaries(points, starts)
-            ends = np.append(cuts[1:], len(points))
+            ends = np.append(cuts[1:], len(points))[: len(cuts)]  # texts without characters have no pieces
             pieces = [joined[i:j] for i, j in zip(cuts.tolist(), ends.tolist(), strict=True)]
             if len(self.cache) > CACHE_ENTRIES:
                 self.forget()
