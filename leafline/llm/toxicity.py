@@ -50,14 +50,14 @@ WINDOWS = (1, 3, 8)
 CALIBRATION_ROWS = 50_000
 #: Bigrams and words of a broadcast table.
 BROADCAST_KEYS = 1_000_000
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: A part of the table for so many bytes of labelled texts, and of all texts.
-PART_BYTES, ASKING_BYTES = 32 << 20, 128 << 20
+PART_BYTES, ASKING_BYTES = 8 << 20, 128 << 20
 #: Most bits of the filter before the join, and how many each key is given until then.
 FILTER_BITS, BITS_A_KEY = 1 << 27, 16
 BLOCK = 1 << 15
-#: Keys that a task holds (16 MB) while it makes them distinct.
-HELD_KEYS = 1 << 21
+#: Keys that a task holds (8 MB; 32 MB with their counts) while it makes them distinct.
+HELD_KEYS = 1 << 20
 _FIRST = U64(0x5851F42D4C957F2D)
 _PAIR = U64(0x9E3779B97F4A7C15)
 
@@ -104,6 +104,28 @@ def unpacked_columns(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def packed_pairs(before: np.ndarray, word: np.ndarray, toxic: np.ndarray, plain: np.ndarray) -> bytes:
+    """Bigrams in order: their words once, and places among these."""
+    names, at = np.unique(np.concatenate([before, word]), return_inverse=True)
+    first, second = at[: len(before)].astype(np.uint32), at[len(before) :].astype(np.uint32)
+    steps = np.diff(first, prepend=np.uint32(0))  # small where bigrams are in order
+    head = np.array([len(names), len(before)], np.uint64)
+    return zstandard.ZstdCompressor().compress(head.tobytes() + b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.dtype.itemsize).T.tobytes() for c in (names, steps, second, toxic.astype(np.uint32), plain.astype(np.uint32))))
+
+
+def unpacked_pairs(blob: bytes) -> list[np.ndarray]:
+    whole = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    words, n = (int(x) for x in whole[:16].copy().view(np.uint64))
+    out, at = [], 16
+    for kind, size in ((np.uint64, words), *[(np.uint32, n)] * 4):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(whole[at : at + size * width].reshape(width, size).T).view(kind).ravel())
+        at += size * width
+    names, steps, second, toxic, plain = out
+    first = np.cumsum(steps, dtype=np.uint32)
+    return [names[first], names[second], toxic, plain]
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Distinct rows of keys in order, with the sums of their counts."""
     order = np.lexsort(keys[::-1])
@@ -114,12 +136,14 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.n
     return [k[begins] for k in keys], [np.add.reduceat(c[order], begins) if len(order) else c for c in counts]
 
 
-def _parted(keys: list[np.ndarray], counts: list[np.ndarray], by: np.ndarray, parts: int):
+def _parted(keys: list[np.ndarray], counts: list[np.ndarray], by: np.ndarray, parts: int, pack=packed_columns):
     """(part, blob) for each part that has rows."""
     of = part_of(by, parts)
-    for part in np.unique(of).tolist():
-        own = of == part
-        yield part, packed_columns(*(k[own] for k in keys), *(c[own] for c in counts))
+    order = np.argsort(of, kind="stable")
+    columns = [c[order] for c in (*keys, *counts)]
+    cuts = np.searchsorted(of[order], np.arange(parts + 1))
+    for part in np.flatnonzero(np.diff(cuts)).tolist():
+        yield part, pack(*(c[cuts[part] : cuts[part + 1]] for c in columns))
 
 
 def _counted(parts: int):
@@ -131,7 +155,7 @@ def _counted(parts: int):
         return keys, counts
 
     def leaving(keys, counts):
-        made = list(_parted(keys, counts, pair_key(*keys), parts))
+        made = list(_parted(keys, counts, pair_key(*keys), parts, packed_pairs))
         return pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["part", "blob"])
 
     def run(batches):
@@ -158,34 +182,29 @@ def _counted(parts: int):
     return run
 
 
-_PAIR_KINDS = (np.uint64, np.uint64, np.int64, np.int64)
 #: word; toxic, plain, kinds that follow in toxic, in plain; kinds before it in toxic, in
 #: plain, in either; and, until rare words are told, how often it follows.
 _WORD_KINDS = (np.uint64, *[np.int64] * 7)
 
 
-def _merged(table: pa.Table) -> pa.Table:
-    """The blobs of a part as one: part, blob, and of what is not rare blob and number."""
-    columns = [unpacked_columns(b, *_PAIR_KINDS) for b in table.column("blob").to_pylist()]
-    keys, counts = _summed([np.concatenate([c[i] for c in columns]) for i in (0, 1)], [np.concatenate([c[i] for c in columns]) for i in (2, 3)])
-    often = counts[0] + counts[1] >= RARE
-    blobs = (packed_columns(*keys, *counts), packed_columns(*(c[often] for c in (*keys, *counts))))
-    return pa.table([table.column("part").slice(0, 1), *(pa.array([b], pa.binary()) for b in blobs), pa.array([int(often.sum())], pa.int64())], ["part", "blob", "common", "n"])
-
-
-def _word_counts(parts: int):
-    """What a part of the bigrams adds to its words: (part, blob of word and a to g)."""
-
-    def run(batches):
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                before, word, toxic, plain = unpacked_columns(blob, *_PAIR_KINDS)
-                zero, one = np.zeros(len(word), np.int64), np.ones(len(word), np.int64)
-                bad, good = (toxic > 0).astype(np.int64), (plain > 0).astype(np.int64)
-                pairs = zip((toxic, plain, bad, good, zero, zero, zero, zero), (zero, zero, zero, zero, bad, good, one, toxic + plain), strict=True)
-                keys, counts = _summed([np.concatenate([before, word])], [np.concatenate(c) for c in pairs])
-                made = list(_parted(keys, counts, keys[0], parts))
-                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["part", "blob"])
+def _merged(parts: int):
+    """The blobs of a part as one: (of_pairs, part, blob, n), the bigrams that are not
+    rare, and what all of them add to the counts of words, by the words' parts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = [unpacked_pairs(b) for b in table.column("blob").to_pylist()]
+        keys, counts = _summed([np.concatenate([c[i] for c in columns]) for i in (0, 1)], [np.concatenate([c[i] for c in columns]).astype(np.int64) for i in (2, 3)])
+        del columns
+        (before, word), (toxic, plain) = keys, counts
+        often = toxic + plain >= RARE
+        rows = [(True, table.column("part")[0].as_py(), packed_pairs(*(c[often] for c in (before, word, toxic, plain))), int(often.sum()))]
+        names, at = np.unique(np.concatenate([before, word]), return_inverse=True)
+        as_context, as_follower = at[: len(before)], at[len(before) :]
+        total = lambda of, weight: np.bincount(of, weight, minlength=len(names)).astype(np.int64)
+        of_words = [total(as_context, toxic), total(as_context, plain), total(as_context, toxic > 0), total(as_context, plain > 0), total(as_follower, toxic > 0), total(as_follower, plain > 0), total(as_follower, None), total(as_follower, toxic + plain)]
+        rows += [(False, part, blob, 0) for part, blob in _parted([names], of_words, names, parts)]
+        kinds = (pa.bool_(), pa.int64(), pa.binary(), pa.int64())
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["of_pairs", "part", "blob", "n"])
 
     return run
 
@@ -260,8 +279,8 @@ class Models:
 
 
 def _pair_table(blobs: list[bytes]) -> Table:
-    columns = [unpacked_columns(b, *_PAIR_KINDS) for b in blobs]
-    before, word, toxic, plain = (np.concatenate([c[i] for c in columns] or [np.zeros(0, k)]) for i, k in enumerate(_PAIR_KINDS))
+    columns = [unpacked_pairs(b) for b in blobs]
+    before, word, toxic, plain = (np.concatenate([c[i] for c in columns] or [np.zeros(0, k)]) for i, k in enumerate((np.uint64, np.uint64, np.uint32, np.uint32)))
     return Table(pair_key(before, word), np.column_stack([toxic, plain]))
 
 
@@ -276,8 +295,7 @@ class Fitted:
     sums. Both tables stay in Spark unless they are small."""
 
     def __init__(self, pairs: DataFrame, words: DataFrame, sums: np.ndarray, most: int, parts: int):
-        self.pairs = pairs.select("part", F.col("common").alias("blob"), "n")
-        self.words, self.sums, self.parts = words, sums, parts
+        self.pairs, self.words, self.sums, self.parts = pairs, words, sums, parts
         self.keys = sum(t.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for t in (pairs, words))
         small = self.keys <= most
         blobs = lambda t: [r.blob for r in t.select("blob").collect()]
@@ -415,8 +433,8 @@ def _key_filter(keys: DataFrame, count: int):
     def placed(batches):
         for batch in batches:
             for pair, blob in zip(batch.column("is_pair").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                columns = unpacked_columns(blob, *(_PAIR_KINDS if pair else _WORD_KINDS))
-                at = np.unique(_places(pair_key(*columns[:2]) if pair else columns[0], pair, bits)).astype(np.int64)
+                keys = pair_key(*unpacked_pairs(blob)[:2]) if pair else unpacked_columns(blob, *_WORD_KINDS)[0]
+                at = np.unique(_places(keys, pair, bits)).astype(np.int64)
                 for low in range(0, len(at), 1 << 20):
                     yield pa.RecordBatch.from_arrays([pa.array(at[low : low + (1 << 20)] // BLOCK), pa.array(at[low : low + (1 << 20)] % BLOCK)], ["block", "bit"])
 
@@ -474,8 +492,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     sizes = [t.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] for t in (counting, docs)]
     parts = int(1 + max(sizes[0] // PART_BYTES, sizes[1] // ASKING_BYTES))
     blobs = "part long, blob binary"
-    pairs = settled(counting.mapInArrow(_counted(parts), blobs).groupBy("part").applyInArrow(_merged, f"{blobs}, common binary, n long"))
-    words = settled(pairs.select("part", "blob").mapInArrow(_word_counts(parts), blobs).groupBy("part").applyInArrow(_merged_words, f"{blobs}, n long, sums array<long>"))
+    merged = settled(counting.mapInArrow(_counted(parts), blobs).groupBy("part").applyInArrow(_merged(parts), f"of_pairs boolean, {blobs}, n long"))
+    pairs = merged.where("of_pairs").drop("of_pairs")
+    words = settled(merged.where("not of_pairs").select("part", "blob").groupBy("part").applyInArrow(_merged_words, f"{blobs}, n long, sums array<long>"))
     sums = words.agg(*(F.sum(F.col("sums")[i]) for i in range(6))).first()
     if not sums[5] or not all(sums):
         return None, float(share[1] or 0), None
