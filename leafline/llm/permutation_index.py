@@ -40,7 +40,7 @@ from .topk import _packed, _rows
 
 PIVOTS, PREFIX, SEARCHED = 256, 128, 64
 SAMPLE, APART = 2048, 0.6
-SHARE, LEAST, CLOSE = 0.1, 256, 0.7
+SHARE, LEAST, CLOSE = 0.1, 512, 0.7
 BLOCK_ROWS, QUERY_ROWS = 4096, 512
 #: Groups of blocks: one for so many blocks, between these bounds. Queries are copied to each.
 BLOCKS, LEAST_GROUPS, MOST_GROUPS = 16, 16, 8192
