@@ -50,12 +50,13 @@ WINDOWS = (1, 3, 8)
 CALIBRATION_ROWS = 50_000
 #: Bigrams and words of a broadcast table.
 BROADCAST_KEYS = 1_000_000
-BUCKET_BYTES = 16 << 20
+#: Texts of a bucket; packed they are a third of it.
+BUCKET_BYTES = 64 << 20
 #: A part of the table for so many bytes of labelled texts, and of all texts.
 PART_BYTES, ASKING_BYTES = 8 << 20, 128 << 20
 #: Most bits of the filter before the join, and how many each key is given until then.
 FILTER_BITS, BITS_A_KEY = 1 << 27, 16
-BLOCK = 1 << 15
+BLOCK, FILTER_TASKS = 1 << 15, 4
 #: Keys that a task holds (8 MB; 32 MB with their counts) while it makes them distinct.
 HELD_KEYS = 1 << 20
 _FIRST = U64(0x5851F42D4C957F2D)
@@ -322,9 +323,10 @@ class Fitted:
         table = self.pairs.select(F.lit(True).alias("is_pair"), "part", "blob").unionByName(self.words.select(F.lit(False).alias("is_pair"), "part", "blob"))
         known = _key_filter(table, self.keys)
         absent = _absent(known.value)
-        packed = settled(docs.select("id", "text").mapInArrow(lambda batches: _packed(batches, known.value, absent), f"ids array<{kind}>, sizes array<int>, words binary"))
-        size = packed.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
-        # dealt once: both uses keep all columns, so Spark shares the shuffle
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        packed = docs.select("id", "text").mapInArrow(lambda batches: _packed(batches, known.value, absent), f"ids array<{kind}>, sizes array<int>, words binary")
+        # dealt once: both uses keep all columns, so Spark shares the shuffle, and the
+        # packed texts are written nowhere else
         dealt = packed.withColumn("bucket", F.pmod(F.xxhash64("words", "ids"), F.lit(size // BUCKET_BYTES + 1))).repartition("bucket")
         parts, sums = self.parts, self.sums
         asked = dealt.mapInArrow(lambda batches: _asked(batches, known.value, parts), "bucket long, is_pair boolean, part long, keys binary")
@@ -438,7 +440,8 @@ def _key_filter(keys: DataFrame, count: int):
                 for low in range(0, len(at), 1 << 20):
                     yield pa.RecordBatch.from_arrays([pa.array(at[low : low + (1 << 20)] // BLOCK), pa.array(at[low : low + (1 << 20)] % BLOCK)], ["block", "bit"])
 
-    blocks = keys.mapInArrow(placed, "block long, bit long").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("held")).collect()
+    # each task sends a whole filter, so only a few make it
+    blocks = keys.coalesce(FILTER_TASKS).mapInArrow(placed, "block long, bit long").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("held")).collect()
     held = np.zeros((bits // BLOCK, BLOCK // 8), np.uint8)
     for r in blocks:
         held[r.block] = np.frombuffer(r.held, np.uint8)
