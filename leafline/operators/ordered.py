@@ -80,15 +80,17 @@ class Cells:
         self.rows = self._joined(cells).withColumn("_found", found).withColumns({f"prev_{c}": F.col(f"_found.{c}") for c in columns}).drop("_own", "_was", "_found")
         return self
 
-    def running(self, name: str, amount: Column) -> Cells:
-        """name: the sum of amounts up to the row."""
-        self.rows = self.rows.withColumn("_amount", amount)
-        sums = self.rows.groupBy(*self.by).agg(F.sum("_amount").alias("_sum"))
-        before = F.sum("_sum").over(Window.partitionBy(*self.keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
-        cells = sums.select(*self.by, F.coalesce(before, F.lit(0)).alias("_before"))
-        inner = F.sum("_amount").over(Window.partitionBy(*self.by).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0))
-        self.rows = self.rows.withColumn("_inner", inner)
-        self.rows = self._joined(cells).withColumn(name, F.col("_inner") + F.col("_before")).drop("_amount", "_inner", "_before")
+    def running(self, name: str, amount: Column, **more: Column) -> Cells:
+        """name (and each of ``more``): the sum of amounts up to the row."""
+        amounts = {name: amount, **more}
+        self.rows = self.rows.withColumns({f"_amount_{n}": c for n, c in amounts.items()})
+        sums = self.rows.groupBy(*self.by).agg(*(F.sum(f"_amount_{n}").alias(f"_sum_{n}") for n in amounts))
+        earlier = Window.partitionBy(*self.keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        cells = sums.select(*self.by, *(F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in amounts))
+        inner = Window.partitionBy(*self.by).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+        self.rows = self.rows.withColumns({f"_inner_{n}": F.sum(f"_amount_{n}").over(inner) for n in amounts})
+        found = self._joined(cells).withColumns({n: F.col(f"_inner_{n}") + F.col(f"_before_{n}") for n in amounts})
+        self.rows = found.drop(*(f"_{part}_{n}" for part in ("amount", "inner", "before") for n in amounts))
         return self
 
     def carried(self, name: str, value: Column) -> Cells:

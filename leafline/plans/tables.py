@@ -77,7 +77,7 @@ def carry_forward(spark, sf_dir):
 def doc_spans(spark, sf_dir):
     rows = _cut(spark, sf_dir).previous("event_type", "event_id")
     changed = F.col("prev_event_id").isNull() | ~F.col("event_type").eqNullSafe(F.col("prev_event_type"))
-    rows = rows.running("run", F.when(changed, 1).otherwise(0)).running("at", F.lit(1)).rows
+    rows = rows.running("run", F.when(changed, 1).otherwise(0), at=F.lit(1)).rows
     return rows.groupBy("user_id", "run", "event_type").agg(F.min("at").cast("int").alias("start_at"), F.max("at").cast("int").alias("end_at"), F.count("*").alias("n")).drop("run")
 
 
