@@ -47,3 +47,18 @@ def test_spans_keep_their_places(spark):
     assert [(s.start, s.stop, s.value) for s in found] == [(3, 5, "12"), (7, 9, "34")]
     place = lambda i, n: rows.select(T.relative_position(F.lit(i), F.lit(n)).alias("x")).first().x
     assert [place(0, 1), place(1, 3), place(9, 3), place(-1, 3), place(0, 0)] == [0.5, 0.5, 1.0, 0.0, 0.5]
+
+
+def test_kernels_keep_results_in_pieces():
+    import pyarrow as pa
+
+    from leafline.operators import kernels
+
+    schema = pa.schema([("n", pa.int64()), ("t", pa.string())])
+    rows = [(k, "x" * (k % 5)) for k in range(50)]
+    pieces = list(kernels.in_pieces(iter(rows), schema, most=20, chars=30))
+    assert [(r["n"], r["t"]) for p in pieces for r in p.to_pylist()] == rows
+    assert len(pieces) > 3 and all(p.num_rows <= 20 and sum(map(len, p.column(1).to_pylist())) < 30 + 5 for p in pieces)
+    taken = []
+    next(kernels.in_pieces((taken.append(r) or r for r in rows), schema, most=20, chars=30))
+    assert len(taken) < 20  # the rest of the rows is not held
