@@ -198,3 +198,22 @@ def test_nearest_templates_equal_brute_force(spark, monkeypatch, block):
     got = {(r.line, r.name, r.score, r["rank"]) for r in rows.collect()}
     assert got == want
     assert all(r.candidates < 9 for r in rows.collect())
+
+
+def test_packed_distances_equal_single_ones():
+    rng = random.Random(7)
+    for _ in range(60):
+        a, b = (["".join(rng.choices("ab é漢\0", k=rng.randrange(0, 90))) for _ in range(rng.randrange(1, 6))] for _ in "ab")
+        want = [align.distances(x, b) for x in a]
+        assert align.all_distances(a, b).tolist() == want
+        assert align.all_distances(a, b, packed=40).tolist() == want
+    assert align.all_distances(["", ""], ["", "x"]).tolist() == [[0, 1], [0, 1]]
+
+
+def test_lines_of_a_pair_share_steps(monkeypatch):
+    """All lines of a side go through the characters of the other side once."""
+    met = []
+    plain = align._packed_distances
+    monkeypatch.setattr(align, "_packed_distances", lambda a, b: met.append((len(a), len(b))) or plain(a, b))
+    align.aligned([f"line {k} of one" for k in range(30)], [f"other {k}" for k in range(20)])
+    assert met == [(30, 20)]
