@@ -6,9 +6,13 @@ are compared in whole thousandths, as the tolerance is, so no rounding decides."
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import bounded
 from .ordered import following, neighbours
 from .storage import Rounds
 
@@ -17,6 +21,26 @@ TOLERANCE = 2.0
 TOP, BOTTOM, LEAST, MOST = 0.45, 0.25, 0.05, 0.5
 
 
+def placed_words(lines: DataFrame) -> DataFrame:
+    """lines(doc_id, op_index, text) -> a row for each word between blanks (empty ones,
+    too): at (from 0), text and x0, the place in its line where it begins."""
+
+    def run(batches):
+        for batch in batches:
+            words = pc.split_pattern(batch.column("text"), " ")
+            owner = pc.list_parent_indices(words)
+            flat = words.flatten()
+            size, first = np.diff(words.offsets.to_numpy()), words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
+            at = np.arange(len(flat)) - np.repeat(first, size)
+            ends = np.concatenate([[0], np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+            x0 = ends[:-1] - np.repeat(ends[:-1][np.minimum(first, max(0, len(flat) - 1))], size) if len(flat) else at
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), batch.column("op_index").take(owner), pa.array(at, pa.int32()), flat, pa.array(x0, pa.int64())], ["doc_id", "op_index", "at", "text", "x0"])
+
+    kinds = dict(lines.dtypes)
+    rows = bounded(lines.select("doc_id", "op_index", "text").where("text is not null"))
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, op_index {kinds['op_index']}, at int, text string, x0 long")
+
+
 def in_band(y: Column, height: Column, band: str, share: float | None = None) -> Column:
     """Whether a baseline lies in the top or bottom band; shares are kept within bounds."""
     share = min(MOST, max(LEAST, (TOP if band == "top" else BOTTOM) if share is None else share))

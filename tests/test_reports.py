@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafline.functions import text as T
 from leafline.operators import align
+from leafline.operators import words as P
 from leafline.plans import registry
 from leafline.sources import sinks
 
@@ -65,6 +66,15 @@ def test_kernels_keep_results_in_pieces():
     assert len(taken) < 20  # the rest of the rows is not held
 
 
+def test_words_keep_their_places_in_lines(spark):
+    lines = ["a bc  d", "", " x", "é漢 y ", "one"]
+    rows = P.placed_words(spark.createDataFrame([(1, k, t) for k, t in enumerate([*lines, None])], "doc_id long, op_index int, text string").coalesce(1)).collect()
+    want = [(k, j, w, len(" ".join([*t.split(" ")[:j], ""]))) for k, t in enumerate(lines) for j, w in enumerate(t.split(" "))]
+    assert [(r.op_index, r["at"], r.text, r.x0) for r in rows] == want
+    whole = "w " * 30_000 + "w"  # places are not gathered in a growing array
+    assert P.placed_words(spark.createDataFrame([(1, 1, whole)], "doc_id long, op_index int, text string")).agg(F.max("x0")).first()[0] == 60_000
+
+
 def test_lines_at_one_place_with_odd_ids(spark, same):
     """Ids that stand more than once, none, or below zero, as the query's SQL has them."""
     import duckdb
