@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .align import Lines
+from .align import Lines, all_distances
+from .kernels import bounded
 
 MOST, REACH = 0.6, 5000
 #: Least similarity of a template that counts for a text, and how many are reported.
@@ -207,21 +208,15 @@ class Grams:
 
 def scored(texts: list[str], grams: Grams, least: float) -> list[tuple[int, int, float, int]]:
     """(text, template, score, candidates of the text) of all pairs that reach the score."""
-    met: dict[int, list[int]] = {}
-    counts = []
+    out = []
     for k, text in enumerate(texts):
         found = grams.candidates(text, least)
-        counts.append(len(found))
-        for t in found.tolist():
-            met.setdefault(t, []).append(k)
-    out = []
-    for t, rows in met.items():
-        template = grams.lines.texts[t]
-        for k, d in zip(rows, Lines([texts[k] for k in rows]).distances(template).tolist(), strict=True):
-            longest = max(len(template), len(texts[k]))
+        near = [grams.lines.texts[t] for t in found.tolist()]
+        for t, d in zip(found.tolist(), all_distances(near, [text])[:, 0].tolist() if near else [], strict=True):
+            longest = max(len(grams.lines.texts[t]), len(text))
             score = 1 - d / longest if longest else 0.0
             if score >= least:
-                out.append((k, t, score, counts[k]))
+                out.append((k, t, score, len(found)))
     return out
 
 
@@ -238,7 +233,7 @@ def nearest_templates(rows: DataFrame, text: str, templates: DataFrame, name: st
     chars = held.agg(F.coalesce(F.sum(F.length(template)), F.lit(0))).first()[0]
     blocks = 1 + chars // BLOCK_CHARS
     kinds = dict(templates.dtypes)
-    asked = rows.select(text).where(F.length(text) > 0).distinct()
+    asked = bounded(rows.select(text).where(F.length(text) > 0).distinct())
     found = None
     for block in range(blocks):
         own = held.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == block).orderBy(name).collect()
