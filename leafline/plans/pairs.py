@@ -90,9 +90,9 @@ def variable_tokens(spark, sf_dir):
     """Of four documents each, the tokens and gaps of the first that vary against any
     of the other three, as blocks of neighbouring slots."""
     docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 4).alias("group_id"), (F.col("doc_id") % 4).alias("member"), F.split(T.squeeze(F.col("text")), " ").alias("tokens"))
-    base = docs.where("member = 0").select("group_id", F.col("tokens").alias("base"))
-    members = base.join(docs.where("member > 0").select("group_id", F.col("tokens").alias("other")), "group_id")
-    return align.slot_blocks(align.base_slots(members))
+    held = lambda c: F.collect_list(F.when(c, F.col("tokens")))
+    groups = docs.groupBy("group_id").agg(held(F.col("member") == 0).alias("bases"), held(F.col("member") > 0).alias("others"))
+    return align.base_blocks(groups)
 
 
 #: The other engine measures bytes, so the characters of a pair become as many bytes first.

@@ -75,6 +75,15 @@ def test_words_keep_their_places_in_lines(spark):
     assert P.placed_words(spark.createDataFrame([(1, 1, whole)], "doc_id long, op_index int, text string")).agg(F.max("x0")).first()[0] == 60_000
 
 
+def test_blocks_of_a_base_equal_runs_of_its_slots(spark):
+    rng = random.Random(5)
+    groups = [(g, [rng.choices("abcd", k=rng.randrange(0, 14))], [rng.choices("abcd", k=rng.randrange(0, 14)) for _ in range(rng.randrange(0, 4))]) for g in range(60)]
+    members = [(g, bases[0], other) for g, bases, others in groups for other in others]
+    want = align.slot_blocks(align.base_slots(spark.createDataFrame(members, "group_id long, base array<string>, other array<string>"))).collect()
+    got = align.base_blocks(spark.createDataFrame(groups, "group_id long, bases array<array<string>>, others array<array<string>>")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+
+
 def test_lines_at_one_place_with_odd_ids(spark, same):
     """Ids that stand more than once, none, or below zero, as the query's SQL has them."""
     import duckdb
