@@ -17,10 +17,11 @@ or so of strangers is added up. Tables go through shuffles as packed columns, so
 with bytes of equal weight together, about 10 bytes a bigram.
 
 While there are at most ``BROADCAST_KEYS`` bigrams and words (16 bytes a bigram, 36 a
-word: 16 to 36 MB) they are collected and broadcast. Beyond that texts are packed, many
-to a row, as the numbers of their words, about a third of their bytes, and dealt into
-buckets; each bucket asks each part of the table for its distinct bigrams and words and
-is sent the counts that the part has: the same counts, so the same scores. Only what a
+word: 8 to 18 MB) they are collected and broadcast. Beyond that texts are packed, about
+``ROW_WORDS`` words to a row, as the numbers of their words, and dealt into buckets;
+each bucket asks each part of the table once for its distinct bigrams and words, in
+order, and is sent their counts in that order, without the keys, which it makes again
+from its texts: the same counts, so the same scores. Only what a
 Bloom filter of the table's keys lets through is asked for (``FILTER_BITS`` bits, 16 MB,
 at most): where the keys outgrow it more absent ones pass, and the part leaves them out.
 
@@ -49,9 +50,11 @@ WINDOWS = (1, 3, 8)
 #: The curve is fitted on so many labelled rows at most.
 CALIBRATION_ROWS = 50_000
 #: Bigrams and words of a broadcast table.
-BROADCAST_KEYS = 1_000_000
-#: Texts of a bucket; packed they are a third of it.
+BROADCAST_KEYS = 500_000
+#: Texts of a bucket.
 BUCKET_BYTES = 64 << 20
+#: Words of a packed row, which lists its distinct words once, and of a slice of it that is looked at together.
+ROW_WORDS, SLICE_WORDS = 1 << 21, 1 << 19
 #: A part of the table for so many bytes of labelled texts, and of all texts.
 PART_BYTES, ASKING_BYTES = 8 << 20, 128 << 20
 #: Most bits of the filter before the join, and how many each key is given until then.
@@ -70,12 +73,17 @@ def bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def words_before(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    return places_before(words, owner, _FIRST)
+
+
+def places_before(words: np.ndarray, owner: np.ndarray, mark) -> np.ndarray:
+    """The word before each, or the mark where a text begins."""
     before = np.empty_like(words)
     if len(words):
         before[1:] = words[:-1]
         first = np.ones(len(words), bool)
         first[1:] = owner[1:] != owner[:-1]
-        before[first] = _FIRST
+        before[first] = mark
     return before
 
 
@@ -84,6 +92,14 @@ def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
         return mix(before * _PAIR + word)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Each key once, in order. (np.unique hashes numbers first, fifty times slower on these.)"""
+    keys = np.sort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return keys[new]
+
+
 def part_of(key: np.ndarray, parts: int) -> np.ndarray:
     """By bits that neither the filter nor the order of keys depend on."""
     return (mix(key ^ _PAIR) % U64(parts)).astype(np.int64)
@@ -230,7 +246,9 @@ class Table:
         self.counts = np.concatenate([counts[order], np.zeros((1, counts.shape[1]))]).astype(np.float32)
 
     def places(self, key: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, key)
+        order = np.argsort(key)  # keys in order are found sooner
+        at = np.empty(len(key), np.int64)
+        at[order] = np.searchsorted(self.keys, key[order])
         if len(self.keys):
             at[self.keys[np.minimum(at, len(self.keys) - 1)] != key] = len(self.keys)
         return at
@@ -254,19 +272,24 @@ class Models:
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """For each text: mean log ratio, best means of windows, log of its words."""
-        return self.evidence_of(*bigrams(texts), len(texts))
+        words, owner, _, _ = word_spans(texts)
+        return self.evidence_of(*np.unique(words, return_inverse=True), owner, len(texts))
 
-    def evidence_of(self, before: np.ndarray, word: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    def evidence_of(self, kinds: np.ndarray, place: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Of texts whose words stand at ``place`` among the distinct ones."""
         size = np.bincount(owner, minlength=n)
-        seen = self.pairs.find(pair_key(before, word))
-        context, follows = self.words.find(before), self.words.find(word)[:, 4:]
+        kinds = np.append(kinds, _FIRST)
+        before = places_before(place, owner, len(kinds) - 1)
+        seen = self.pairs.find(pair_key(kinds[before], kinds[place]))
+        of_kinds = self.words.find(kinds)
         logs = []
         for k in range(2):
-            total = context[:, k].astype(np.float64)
+            total = of_kinds[:, k].astype(np.float64)
             known = total > 0
             safe = np.where(known, total, 1)
-            lower = self.lower(follows, k)
-            logs.append(np.log(np.where(known, np.maximum(seen[:, k] - DISCOUNT, 0) / safe + DISCOUNT * context[:, 2 + k] / safe * lower, lower)))
+            lower = self.lower(of_kinds[:, 4:], k)[place]
+            rest = (DISCOUNT * of_kinds[:, 2 + k] / safe)[before] * lower
+            logs.append(np.log(np.where(known[before], np.maximum(seen[:, k] - DISCOUNT, 0) / safe[before] + rest, lower)))
         ratio = logs[0] - logs[1]
         mean = np.bincount(owner, weights=ratio, minlength=n) / np.maximum(size, 1)
         sums = np.concatenate([[0.0], np.cumsum(ratio)])
@@ -329,37 +352,39 @@ class Fitted:
         # packed texts are written nowhere else
         dealt = packed.withColumn("bucket", F.pmod(F.xxhash64("words", "ids"), F.lit(size // BUCKET_BYTES + 1))).repartition("bucket")
         parts, sums = self.parts, self.sums
-        asked = dealt.mapInArrow(lambda batches: _asked(batches, known.value, parts), "bucket long, is_pair boolean, part long, keys binary")
+        asked = dealt.groupBy("bucket").applyInArrow(lambda rows: _asked(rows, known.value, parts), "bucket long, is_pair boolean, part long, keys binary")
 
         def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
-            pair = bool(asked.column("is_pair")[0].as_py())
+            """The counts of the keys of each bucket, in the order in which it asks."""
+            pair, part = (asked.column(c)[0].as_py() for c in ("is_pair", "part"))
             counts = (_pair_table if pair else _word_table)(table.column("blob").to_pylist())
-            rows = []
-            for bucket, keys in zip(asked.column("bucket").to_pylist(), asked.column("keys").to_pylist(), strict=True):
-                (keys,) = unpacked_columns(keys, np.uint64)
-                at = counts.places(keys)
-                held = at < len(counts.keys)
-                found = counts.counts[at[held]].astype(np.uint32)
-                rows.append((bucket, packed_columns(keys[held], *found.T)))
-            return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([pair] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "is_pair", "blob"])
-
-        def nothing(asked: pa.Table, table: pa.Table) -> pa.Table:
-            if asked.num_rows and table.num_rows:
+            blobs = [packed_columns(*counts.find(unpacked_columns(k.as_py(), np.uint64)[0]).astype(np.uint32).T) for k in asked.column("keys")]
+            n = len(blobs)
+            return pa.table([asked.column("bucket"), pa.array([pair] * n, pa.bool_()), pa.array([part] * n, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "is_pair", "part", "blob"])
+
+        def answered(asked: pa.Table, table: pa.Table) -> pa.Table:
+            if asked.num_rows:
                 return answer(asked, table)
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.bool_()), pa.array([], pa.binary())], ["bucket", "is_pair", "blob"])
+            return pa.table([pa.array([], kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.binary())], ["bucket", "is_pair", "part", "blob"])
 
-        own = asked.groupBy("is_pair", "part").cogroup(table.groupBy("is_pair", "part")).applyInArrow(nothing, "bucket long, is_pair boolean, blob binary")
+        own = asked.groupBy("is_pair", "part").cogroup(table.groupBy("is_pair", "part")).applyInArrow(answered, "bucket long, is_pair boolean, part long, blob binary")
 
-        def counts_of(own: pa.Table, pair: bool) -> Table:
-            n = 2 if pair else 7
-            columns = [unpacked_columns(b, np.uint64, *[np.uint32] * n) for p, b in zip(own.column("is_pair").to_pylist(), own.column("blob").to_pylist(), strict=True) if p == pair]
-            keys, *counts = (np.concatenate([c[i] for c in columns] or [np.zeros(0, np.uint64 if not i else np.uint32)]) for i in range(n + 1))
-            return Table(keys, np.column_stack(counts))
+        def counts_of(keys: np.ndarray, own: pa.Table, pair: bool) -> Table:
+            keys, cuts = _by_part(keys, parts)
+            blobs = {part: blob for is_pair, part, blob in zip(*(own.column(c).to_pylist() for c in ("is_pair", "part", "blob")), strict=True) if is_pair == pair}
+            counts = np.zeros((len(keys), 2 if pair else 7), np.uint32)
+            for part in np.flatnonzero(np.diff(cuts)).tolist():
+                for k, column in enumerate(unpacked_columns(blobs.pop(part), *[np.uint32] * counts.shape[1])):
+                    counts[cuts[part] : cuts[part + 1], k] = column
+            if blobs:
+                raise ValueError("a bucket was answered what it did not ask")
+            return Table(keys, counts)
 
         def meet(rows: pa.Table, own: pa.Table) -> pa.Table:
-            models = Models(counts_of(own, True), counts_of(own, False), sums)
+            words, pairs = _bucket_keys(rows, known.value)
+            models = Models(counts_of(pairs, own, True), counts_of(words, own, False), sums)
             ids = pa.concat_arrays([c.flatten() for c in rows.column("ids").chunks])
-            x = [models.evidence_of(words_before(word, owner), word, owner, n) for word, owner, n in _unpacked(rows.column("sizes"), rows.column("words"))]
+            x = [models.evidence_of(*piece) for piece in _unpacked(rows.column("sizes"), rows.column("words"))]
             return pa.Table.from_arrays([ids, _lists(np.concatenate(x) if x else [])], ["id", "x"])
 
         def none(ids) -> pa.Table:
@@ -383,41 +408,62 @@ def _absent(held: np.ndarray) -> np.uint64 | None:
 
 
 def _packed(batches, held: np.ndarray, absent: np.uint32 | None):
-    """Pieces of text, many to a row: ids, how many words each has, and the numbers
-    of the words: how many are distinct, these, and for each word its place among
-    them. Words that are not in the table, and so in none of its bigrams, are all
+    """Texts, many to a row whatever their batches: ids, how many words each has, and
+    the numbers of the words: how many are distinct, these, and for each word its place
+    among them. Words that are not in the table, and so in none of its bigrams, are all
     written as one number: their counts are zero alike."""
-    pack = zstandard.ZstdCompressor()
+    ids, sizes, words, many = [], [], [], 0
     for batch in batches:
         texts = _texts(batch.column("text"))
-        ids, sizes, words = [], [], []
         for a, b in chunks(texts, 1 << 22):
             _, word, owner = bigrams(texts[a:b])
-            kinds, place = np.unique(word, return_inverse=True)
-            if absent is not None:
-                kinds, again = np.unique(np.where(_holds(held, kinds, False), kinds, absent), return_inverse=True)
-                place = again[place]
-            # frequent words first, and bytes of equal weight together: they pack better
-            order = np.argsort(-np.bincount(place, minlength=len(kinds)), kind="stable")
-            kinds, place = kinds[order], np.argsort(order)[place]
-            planes = place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
-            words.append(pack.compress(np.uint32(len(kinds)).tobytes() + kinds.tobytes() + planes.tobytes()))
             ids.append(batch.column("id").slice(a, b - a))
             sizes.append(np.bincount(owner, minlength=b - a).astype(np.int32))
-        if not ids:
-            continue
-        ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(ids)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sizes)))]
-        yield pa.RecordBatch.from_arrays([*lists, pa.array(words, pa.binary())], ["ids", "sizes", "words"])
+            words.append(word)
+            many += len(word) + b - a
+            if many >= ROW_WORDS:
+                yield _packed_row(ids, sizes, words, held, absent)
+                ids, sizes, words, many = [], [], [], 0
+    if ids:
+        yield _packed_row(ids, sizes, words, held, absent)
+
+
+def _packed_row(ids: list, sizes: list, words: list, held: np.ndarray, absent: np.uint32 | None) -> pa.RecordBatch:
+    kinds, place = np.unique(np.concatenate(words), return_inverse=True)
+    if absent is not None:
+        kinds, again = np.unique(np.where(_holds(held, kinds, False), kinds, absent), return_inverse=True)
+        place = again[place]
+    # frequent words first, and bytes of equal weight together: they pack better
+    order = np.argsort(-np.bincount(place, minlength=len(kinds)), kind="stable")
+    kinds, place = kinds[order], np.argsort(order).astype(np.uint32)[place]
+    planes = place.view(np.uint8).reshape(-1, 4).T
+    packed = zstandard.ZstdCompressor().compress(np.uint32(len(kinds)).tobytes() + kinds.tobytes() + planes.tobytes())
+    ends = pa.array([0, sum(map(len, ids))], pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(ids)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sizes)))]
+    return pa.RecordBatch.from_arrays([*lists, pa.array([packed], pa.binary())], ["ids", "sizes", "words"])
+
+
+def _unpacked_row(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of a row, and each word's place among them."""
+    whole = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    kinds = int(whole[:4].view(np.uint32)[0])
+    place = np.ascontiguousarray(whole[4 + 8 * kinds :].reshape(4, -1).T).view(np.uint32).ravel()
+    return whole[4 : 4 + 8 * kinds].copy().view(np.uint64), place
 
 
 def _unpacked(sizes, words):
-    """(numbers of the words, index of text, number of texts) of each row that _packed wrote."""
-    for size, packed in zip(sizes.to_pylist(), words.to_pylist(), strict=True):
-        whole = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-        kinds = int(whole[:4].view(np.uint32)[0])
-        place = np.ascontiguousarray(whole[4 + 8 * kinds :].reshape(4, -1).T).view(np.uint32).ravel()
-        yield whole[4 : 4 + 8 * kinds].copy().view(np.uint64)[place], np.repeat(np.arange(len(size)), size), len(size)
+    """(distinct words of the row, each word's place among them, index of text, number of
+    texts) of slices of the rows that _packed wrote, at most ``SLICE_WORDS`` words or one
+    text each."""
+    for size, packed in zip(sizes, words, strict=True):
+        size = size.values.to_numpy()
+        kinds, place = _unpacked_row(packed.as_py())
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        a = 0
+        while a < len(size):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE_WORDS, side="right")) - 1)
+            yield kinds, place[ends[a] : ends[b]], np.repeat(np.arange(b - a), size[a:b]), b - a
+            a = b
 
 
 def _places(keys: np.ndarray, is_pair: bool, bits: int) -> np.ndarray:
@@ -436,7 +482,7 @@ def _key_filter(keys: DataFrame, count: int):
         for batch in batches:
             for pair, blob in zip(batch.column("is_pair").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 keys = pair_key(*unpacked_pairs(blob)[:2]) if pair else unpacked_columns(blob, *_WORD_KINDS)[0]
-                at = np.unique(_places(keys, pair, bits)).astype(np.int64)
+                at = distinct(_places(keys, pair, bits).ravel()).astype(np.int64)
                 for low in range(0, len(at), 1 << 20):
                     yield pa.RecordBatch.from_arrays([pa.array(at[low : low + (1 << 20)] // BLOCK), pa.array(at[low : low + (1 << 20)] % BLOCK)], ["block", "bit"])
 
@@ -453,32 +499,39 @@ def _holds(held: np.ndarray, keys: np.ndarray, is_pair: bool) -> np.ndarray:
     return ((held[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1).all(axis=0)
 
 
-def _asked(batches, held: np.ndarray, parts: int):
-    """(bucket, is_pair, part, keys): the words and bigrams of packed rows that the filter
-    holds, distinct among up to ``HELD_KEYS`` of them that are put together before they leave."""
-    kept, many = {}, 0
-    for batch in batches:
-        for bucket, (word, owner, _) in zip(batch.column("bucket").to_pylist(), _unpacked(batch.column("sizes"), batch.column("words")), strict=True):
-            before = words_before(word, owner)
-            for keys, is_pair in ((pair_key(before, word), True), (np.concatenate([word, before]), False)):
-                found = np.unique(keys)
-                found = found[_holds(held, found, is_pair)]
-                kept.setdefault((bucket, is_pair), []).append(found)
-                many += len(found)
-            if many > HELD_KEYS:
-                kept = {key: [np.unique(np.concatenate(p))] for key, p in kept.items()}
-                many = sum(len(p[0]) for p in kept.values())
-                if many > HELD_KEYS // 2:
-                    yield from _leaving(kept, parts)
-                    kept, many = {}, 0
-    yield from _leaving(kept, parts)
-
-
-def _leaving(kept: dict, parts: int):
-    for (bucket, is_pair), pieces in kept.items():
-        found = np.unique(np.concatenate(pieces))
-        made = list(_parted([found], [], found, parts))
-        yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(made), pa.int64()), pa.array([is_pair] * len(made)), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["bucket", "is_pair", "part", "keys"])
+def _bucket_keys(rows: pa.Table, held: np.ndarray) -> list[np.ndarray]:
+    """The words and the bigrams of a bucket that the filter holds, each once, in order
+    (whatever the order of its rows)."""
+    words = [_unpacked_row(packed.as_py())[0] for packed in rows.column("words")]
+    pairs, many, most = [], 0, HELD_KEYS
+    for kinds, place, owner, _ in _unpacked(rows.column("sizes"), rows.column("words")):
+        found = distinct(pair_key(words_before(kinds[place], owner), kinds[place]))
+        pairs.append(found[_holds(held, found, True)])
+        many += len(pairs[-1])
+        if many > most:
+            pairs = [distinct(np.concatenate(pairs))]
+            many = len(pairs[0])
+            most = max(HELD_KEYS, 2 * many)
+    words = distinct(np.concatenate([*words, np.array([_FIRST])]))
+    return [words[_holds(held, words, False)], distinct(np.concatenate(pairs or [np.zeros(0, U64)]))]
+
+
+def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys by part, in order within each, and where each part begins and the last ends."""
+    of = part_of(keys, parts)
+    order = np.argsort(of, kind="stable")
+    return keys[order], np.searchsorted(of[order], np.arange(parts + 1))
+
+
+def _asked(rows: pa.Table, held: np.ndarray, parts: int) -> pa.Table:
+    """(bucket, is_pair, part, keys): what a bucket asks each part of the table."""
+    made = []
+    for keys, is_pair in zip(_bucket_keys(rows, held), (False, True), strict=True):
+        keys, cuts = _by_part(keys, parts)
+        made += [(is_pair, part, packed_columns(keys[cuts[part] : cuts[part + 1]])) for part in np.flatnonzero(np.diff(cuts)).tolist()]
+    bucket = rows.column("bucket")[0].as_py()
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+    return pa.table([pa.array([(bucket, *m)[i] for m in made], kind) for i, kind in enumerate(kinds)], ["bucket", "is_pair", "part", "keys"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_KEYS):

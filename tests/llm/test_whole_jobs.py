@@ -71,3 +71,34 @@ def test_sanitised_hides_short_terms_of_one_line_in_many_texts(spark):
     assert all(name not in out[i] for i in range(3) for name in ("Kim", "qx77", "Olgierd", "kim@"))
     copies = spark.createDataFrame([(i, signed[0] if i < 3 else rows[i]) for i in range(len(rows))], "doc_id long, text string")
     assert all("Kim" in r.text for r in pii.sanitised(copies, chars_col=None).where("doc_id < 3").collect())
+
+
+def test_toxicity_packs_batches_together_and_buckets_ask_once(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 60, rng.integers(0, 40))) for _ in range(90)] + [None, ""]
+    batches = lambda: (pa.RecordBatch.from_pydict({"id": list(range(i, min(i + 5, len(texts)))), "text": pa.array(texts[i : i + 5], pa.string())}) for i in range(0, len(texts), 5))
+    everything = np.full(1 << 12, 255, np.uint8)
+    (row,) = toxicity._packed(batches(), everything, None)  # before, a row for each batch
+    assert row.column("ids").to_pylist() == [list(range(len(texts)))]
+    monkeypatch.setattr(toxicity, "SLICE_WORDS", 50)
+    slices = list(toxicity._unpacked(row.column("sizes"), row.column("words")))
+    word, owner, _, _ = word_spans([t or "" for t in texts])
+    assert len(slices) > 20 and sum(n for *_, n in slices) == len(texts) and all(len(place) <= 50 for _, place, *_ in slices)
+    assert np.array_equal(np.concatenate([kinds[place] for kinds, place, *_ in slices]), word)
+    begins = np.cumsum([0, *(n for *_, n in slices)])
+    assert np.array_equal(np.concatenate([o + b for (_, _, o, _), b in zip(slices, begins, strict=False)]), owner)
+
+    monkeypatch.setattr(toxicity, "ROW_WORDS", 200)
+    monkeypatch.setattr(toxicity, "HELD_KEYS", 30)
+    rows = list(toxicity._packed(batches(), everything, None))
+    assert len(rows) > 3
+    before = toxicity.words_before(word, owner)
+    wanted = {True: np.unique(toxicity.pair_key(before, word)), False: np.unique(np.concatenate([before, word]))}
+    for order in (rows, rows[::-1]):
+        bucket = pa.Table.from_batches(order).append_column("bucket", pa.array([7] * len(order), pa.int64()))
+        asked = toxicity._asked(bucket, everything, 3).to_pylist()
+        assert len({(r["is_pair"], r["part"]) for r in asked}) == len(asked) and {r["bucket"] for r in asked} == {7}
+        for pair, keys in wanted.items():
+            assert np.array_equal(np.sort(np.concatenate([toxicity.unpacked_columns(r["keys"], np.uint64)[0] for r in asked if r["is_pair"] == pair])), keys)
