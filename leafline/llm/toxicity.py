@@ -52,9 +52,9 @@ CALIBRATION_ROWS = 50_000
 #: Bigrams and words of a broadcast table.
 BROADCAST_KEYS = 500_000
 #: Texts of a bucket.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 48 << 20
 #: Words of a packed row, which lists its distinct words once, and of a slice of it that is looked at together.
-ROW_WORDS, SLICE_WORDS = 1 << 21, 1 << 19
+ROW_WORDS, SLICE_WORDS = 1 << 20, 1 << 18
 #: A part of the table for so many bytes of labelled texts, and of all texts.
 PART_BYTES, ASKING_BYTES = 8 << 20, 128 << 20
 #: Most bits of the filter before the join, and how many each key is given until then.
@@ -415,7 +415,7 @@ def _packed(batches, held: np.ndarray, absent: np.uint32 | None):
     ids, sizes, words, many = [], [], [], 0
     for batch in batches:
         texts = _texts(batch.column("text"))
-        for a, b in chunks(texts, 1 << 22):
+        for a, b in chunks(texts, 1 << 20):
             _, word, owner = bigrams(texts[a:b])
             ids.append(batch.column("id").slice(a, b - a))
             sizes.append(np.bincount(owner, minlength=b - a).astype(np.int32))
