@@ -93,3 +93,19 @@ def test_lines_at_one_place_with_odd_ids(spark, same):
     con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (0::BIGINT, 'x'), (0, 'x' || chr(10) || 'z'), (1, 'x'), (1, 'y'), (1, 'x'), (NULL, 'n'), (-1, 'm'), (-2, 'm'), (3, 'k'), (4, NULL), (5, ''), (6, 'a'), (6, 'b')) t(doc_id, text)")
     con.execute(f"COPY documents TO '{folder}/documents.parquet'")
     same(registry.QUERIES["positional_diff"](spark, folder), con, registry.ORACLES["positional_diff"])
+
+
+def test_variation_blocks_leave_a_batch_in_pieces():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from leafline.operators import kernels
+
+    frame = SimpleNamespace(sparkSession=SimpleNamespace(conf=SimpleNamespace(set=lambda *a: None)), mapInArrow=lambda run, schema: run)
+    frame.select = lambda *columns: frame
+    run = align.variation_blocks(frame)
+    members = [[f"a{k}" for k in range(1000)], [f"{'ab'[k % 2]}{k}" for k in range(1000)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([members] * 60, pa.list_(pa.list_(pa.string())))], ["group_id", "members"])
+    pieces = [p.num_rows for p in run(iter([batch]))]
+    assert sum(pieces) == 60 * 500 * 2 and max(pieces) <= kernels.PIECE_ROWS  # before, one piece of a batch's 60,000 rows
