@@ -109,3 +109,76 @@ def test_variation_blocks_leave_a_batch_in_pieces():
     batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([members] * 60, pa.list_(pa.list_(pa.string())))], ["group_id", "members"])
     pieces = [p.num_rows for p in run(iter([batch]))]
     assert sum(pieces) == 60 * 500 * 2 and max(pieces) <= kernels.PIECE_ROWS  # before, one piece of a batch's 60,000 rows
+
+
+def _kernel(fixed=False):
+    """The operator's work in a task, without Spark."""
+    from types import SimpleNamespace
+
+    frame = SimpleNamespace(sparkSession=SimpleNamespace(conf=SimpleNamespace(set=lambda *a: None)), mapInArrow=lambda run, schema: run)
+    frame.select = lambda *columns: frame
+    return align.variation_blocks(frame, fixed)
+
+
+def _batch(groups):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([g for g, _ in groups], pa.int64()), pa.array([m for _, m in groups], pa.list_(pa.list_(pa.string())))], ["group_id", "members"])
+
+
+def test_variation_blocks_equal_a_slot_by_slot_listing(spark):
+    rng = random.Random(11)
+    groups = [(g or None, [rng.choices(["a", "b", "é", "", "cc"], k=rng.randrange(0, 20)) for _ in range(rng.randrange(1, 6))]) for g in range(300)]
+    groups.append((999, [["a", "b"], None, ["a"]]))  # a document without text has no tokens; before, it ended the task
+    for fixed in (False, True):
+        want = []
+        for group, members in groups:
+            base, held = members[0], []
+            for other in members:
+                at = {}
+                for kind, i, j, k, m in align.runs(base, other or []):
+                    if kind != "DEL":
+                        at |= {2 * i: other[k:m]} if kind == "INS" else {2 * (i + n) + 1: [base[i + n]] for n in range(j - i)}
+                held.append(at)
+            varies = [any((slot in at) != slot % 2 for at in held) for slot in range(2 * len(base) + 1)]
+            first = block = 0
+            for slot in range(1, len(varies) + 1):
+                if slot == len(varies) or varies[slot] != varies[first]:
+                    block += varies[first]
+                    if varies[first] or fixed:
+                        want += [(group, block * varies[first], first, slot - 1, n, " ".join(t for s in range(first, slot) for t in at.get(s, []))) for n, at in enumerate(held)]
+                    first = slot
+        assert [r for p in _kernel(fixed)(iter([_batch(groups)])) for r in zip(*p.to_pydict().values(), strict=True)] == want
+
+
+def test_variation_blocks_hold_no_object_for_each_token(spark):
+    import tracemalloc
+
+    words = [f"w{k}" for k in range(60_000)]
+    batch = _batch([(1, [words, words[:30_000] + ["x"] + words[30_000:], words[5:], words])])
+    run = _kernel()
+    sum(p.num_rows for p in run(iter([batch.slice(0, 0)])))
+    tracemalloc.start()
+    try:
+        rows = sum(p.num_rows for p in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 24 and peak < 16 << 20, peak  # 11 MB; before, 23 MB
+
+
+def test_kernels_put_parts_together_and_cut_them():
+    import pyarrow as pa
+
+    from leafline.operators import kernels
+
+    rng = random.Random(3)
+    rows = [(k, "x" * rng.choice([0, 1, 5, 40])) for k in range(400)]
+    whole = pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["n", "t"])
+    edges = sorted({0, 400, *rng.sample(range(400), 30)})
+    pieces = list(kernels.put_together((whole.slice(i, j - i) for i, j in zip(edges, edges[1:], strict=False)), most=20, chars=100))
+    assert [r for p in pieces for r in zip(*p.to_pydict().values(), strict=True)] == rows
+    sizes = [(p.num_rows, sum(map(len, p.column(1).to_pylist()))) for p in pieces]
+    assert all(n <= 20 and c <= 100 for n, c in sizes) and len(pieces) < 60
+    longer = [p.num_rows for p in kernels.put_together(iter([whole]), most=20, chars=30) if p.column(1)[0].as_py() == "x" * 40]
+    assert set(longer) == {1} and len(longer) == sum(len(t) == 40 for _, t in rows)  # longer than the bound: a piece of its own
