@@ -97,24 +97,36 @@ def mapped_fields(spark, sf_dir):
     return rows.select("doc_id", F.explode(F.array(*found)).alias("f")).select("doc_id", "f.field", "f.value", "f.band", "f.method", F.md5("f.value_full").alias("value_full"))
 
 
-def _groups(spark, sf_dir):
-    """Texts are gathered whole and split then: their tokens take several times the room."""
-    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 4).alias("group_id"), (F.col("doc_id") % 4).cast("int").alias("member"), T.squeeze(F.col("text")).alias("text"))
+def _members(spark, sf_dir):
+    """Documents with their group and their number in it, as the SQL divides (towards
+    zero) and with the blanks that it knows (no vertical tab)."""
+    text = F.trim(F.regexp_replace("text", r"[ \t\n\f\r]+", " "))
+    return table(spark, sf_dir, "documents").select(F.expr("doc_id div 4").alias("group_id"), (F.col("doc_id") % 4).cast("int").alias("member"), text.alias("text"))
+
+
+def _groups(docs):
+    """Texts are gathered whole and split then: their tokens take several times the room.
+    A group may lack numbers or have one more than once, so names tell its members' numbers."""
     held = docs.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("member", "text"))).alias("held"))
-    return held.select("group_id", F.transform("held", lambda m: F.split(m["text"], " ")).alias("members"))
+    return held.select("group_id", F.transform("held", lambda m: F.split(m["text"], " ")).alias("members"), F.col("held.member").alias("names"))
 
 
 @query()
 def variation_blocks(spark, sf_dir):
     """What varies in groups of four documents, as blocks of the first one's tokens and
     gaps, with the text that each document has there."""
-    return align.variation_blocks(_groups(spark, sf_dir))
+    rows = align.variation_blocks(_groups(_members(spark, sf_dir)), named=True)
+    return rows.select("group_id", "block", "first_slot", "last_slot", F.col("name").alias("member"), "text")
 
 
 @query("SELECT doc_id // 4 AS group_id, (doc_id % 4)::INT AS member, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS text FROM documents")
 def variation_sides(spark, sf_dir):
     """Every document of a group, put together again from the tokens that all share and
-    the blocks in which they vary."""
-    rows = align.variation_blocks(_groups(spark, sf_dir), fixed=True)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_slot", "text"))), lambda b: b["text"]), " ")
-    return rows.where("text != ''").groupBy("group_id", "member").agg(F.md5(text).alias("text"))
+    the blocks in which they vary; one without text stays without."""
+    docs = _members(spark, sf_dir)
+    rows = align.variation_blocks(_groups(docs.where("text is not null")), fixed=True, named=True)
+    pieces = F.filter(F.array_sort(F.collect_list(F.struct("first_slot", "text"))), lambda b: b["text"] != "")
+    text = F.array_join(F.transform(pieces, lambda b: b["text"]), " ")
+    # the run at slot 0 is kept for documents that have no piece
+    found = rows.where("text != '' OR first_slot = 0").groupBy("group_id", F.col("member").alias("place"), F.col("name").alias("member")).agg(F.md5(text).alias("text"))
+    return found.select("group_id", "member", "text").unionByName(docs.where("text is null"))

@@ -95,6 +95,20 @@ def test_lines_at_one_place_with_odd_ids(spark, same):
     same(registry.QUERIES["positional_diff"](spark, folder), con, registry.ORACLES["positional_diff"])
 
 
+def test_sides_of_groups_with_odd_ids_and_texts(spark, same):
+    """Groups that lack their first numbers, ids that stand more than once, none, below
+    zero or beyond a double's whole numbers, texts that are empty, blank or none."""
+    import duckdb
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (1::BIGINT, 'a b c'), (2, 'a x c'), (3, NULL), (6, ''), (7, '  '), (9, 'q'), (9, 'q'), (9, 'r s'), (13, NULL), (-1, 'm n'), (-2, 'm'), (-5, 'k'), (NULL, 'n'), (NULL, NULL), (9007199254740993, 'u v'), (9007199254740995, 'u'), (16, ' a' || chr(11) || ' b' || chr(10) || chr(9) || 'c '), (18, 'a ' || chr(11) || 'b')) t(doc_id, text)")
+    con.execute(f"COPY documents TO '{folder}/documents.parquet'")
+    same(registry.QUERIES["variation_sides"](spark, folder), con, registry.ORACLES["variation_sides"])
+    rows = registry.QUERIES["variation_blocks"](spark, folder).where("group_id = 0").collect()
+    assert {r.member for r in rows} == {-2, -1, 1, 2, 3}  # before, places from 0 on
+
+
 def test_variation_blocks_leave_a_batch_in_pieces():
     from types import SimpleNamespace
 
