@@ -6,6 +6,8 @@ are compared in whole thousandths, as the tolerance is, so no rounding decides."
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,19 +23,26 @@ TOLERANCE = 2.0
 TOP, BOTTOM, LEAST, MOST = 0.45, 0.25, 0.05, 0.5
 
 
+def _placed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """The words between blanks of all texts: which text each is of, its number there, the
+    words, and where in its text each begins."""
+    words = pc.split_pattern(texts, " ")
+    flat = words.flatten()
+    size, first = np.diff(words.offsets.to_numpy()), words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
+    at = np.arange(len(flat)) - np.repeat(first, size)
+    ends = np.concatenate([[0], np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
+    x0 = ends[:-1] - np.repeat(ends[:-1][np.minimum(first, max(0, len(flat) - 1))], size) if len(flat) else at
+    return np.repeat(np.arange(len(texts)), size), at, flat, x0
+
+
 def placed_words(lines: DataFrame) -> DataFrame:
     """lines(doc_id, op_index, text) -> a row for each word between blanks (empty ones,
     too): at (from 0), text and x0, the place in its line where it begins."""
 
     def run(batches):
         for batch in batches:
-            words = pc.split_pattern(batch.column("text"), " ")
-            owner = pc.list_parent_indices(words)
-            flat = words.flatten()
-            size, first = np.diff(words.offsets.to_numpy()), words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
-            at = np.arange(len(flat)) - np.repeat(first, size)
-            ends = np.concatenate([[0], np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
-            x0 = ends[:-1] - np.repeat(ends[:-1][np.minimum(first, max(0, len(flat) - 1))], size) if len(flat) else at
+            owner, at, flat, x0 = _placed(batch.column("text"))
+            owner = pa.array(owner)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), batch.column("op_index").take(owner), pa.array(at, pa.int32()), flat, pa.array(x0, pa.int64())], ["doc_id", "op_index", "at", "text", "x0"])
 
     kinds = dict(lines.dtypes)
@@ -93,6 +102,64 @@ def line_texts(words: DataFrame, key: str, tolerance: float = TOLERANCE) -> Data
     return lines.withColumn("line", F.row_number().over(Window.partitionBy(key).orderBy(F.col("line_y").desc()))).select(key, "line", "line_y", "text")
 
 
+#: So many characters of pages are taken apart at once, or one page.
+PAGE_CHARS = 1 << 20
+
+
+def page_lines(lines: DataFrame, key: str, height: Callable, kept: Callable, tolerance: float = TOLERANCE) -> DataFrame:
+    """key, line_y, n and text of the lines that ``anchored_lines`` makes of the words of
+    lines(key, op_index, text): ``height(op_index, at, size)`` is a word's baseline, ``kept``
+    tells of baselines which count (both take arrays). Keys are pages: the lines of one
+    must fit a row. They are shuffled as they are and taken apart afterwards, as words in
+    rows of their own take many times the room, and no round is written."""
+    milli = int(round(tolerance * 1000))
+
+    def found(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = batch.column("held")
+        page, held = pc.list_parent_indices(held).to_numpy(), held.flatten()
+        owner, at, flat, x0 = _placed(pc.struct_field(held, "text"))
+        size = pc.utf8_length(flat).to_numpy(zero_copy_only=False)
+        y = height(pc.struct_field(held, "op_index").to_numpy()[owner], at, size)
+        own = np.flatnonzero((size > 0) & kept(y))
+        h = y[own] * 1000
+        h, page = np.trunc(h + np.copysign(0.5, h)).astype(np.int64), page[owner[own]]
+        down = np.lexsort((-h, page))
+        own, h, page = own[down], h[down], page[down]
+        # the heights of a page, downwards: each begins a line or belongs to the one before
+        fresh = np.flatnonzero(np.diff(h, prepend=0) | np.diff(page, prepend=-1))
+        begins, was, line = [], -1, 0
+        for p, x in zip(page[fresh].tolist(), h[fresh].tolist(), strict=True):
+            begins.append(p != was or x < line - milli)
+            if begins[-1]:
+                was, line = p, x
+        first = fresh[np.array(begins, bool)]
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(own))))
+        across = np.lexsort((x0[own], number))
+        tied = np.flatnonzero((np.diff(number[across]) == 0) & (np.diff(x0[own][across]) == 0))
+        if len(tied):
+            rank = np.zeros(len(own), np.int64)
+            tied = across[np.union1d(tied, tied + 1)]
+            rank[tied] = pc.rank(flat.take(pa.array(own[tied])), tiebreaker="dense").to_numpy()
+            across = np.lexsort((rank, x0[own], number))
+        edges = np.append(first, len(own))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), flat.take(pa.array(own[across]))), " ")
+        return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(page[first])), pa.array(h[first]), pa.array(np.diff(edges), pa.int64()), texts], [key, "line_y", "n", "text"])
+
+    def run(batches):
+        for batch in batches:
+            begin = chars = 0
+            for k, page in enumerate(batch.column("held")):
+                more = pc.sum(pc.binary_length(pc.struct_field(page.values, "text"))).as_py() or 0
+                if k > begin and chars + more > PAGE_CHARS:
+                    yield found(batch.slice(begin, k - begin))
+                    begin, chars = k, 0
+                chars += more
+            yield found(batch.slice(begin))
+
+    rows = lines.where("text is not null").groupBy(key).agg(F.collect_list(F.struct("op_index", "text")).alias("held"))
+    return bounded(rows).mapInArrow(run, f"{key} {dict(lines.dtypes)[key]}, line_y long, n long, text string")
+
+
 SIDES = ("x0", "y0", "x1", "y1")
 
 

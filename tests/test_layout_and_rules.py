@@ -42,6 +42,43 @@ def test_lines_against_their_first_word(spark):
     assert words.anchored_lines(table.where("false"), "doc").count() == 0
 
 
+def test_lines_of_pages_equal_lines_against_their_first_word(spark, monkeypatch):
+    rng = random.Random(3)
+    lines = [(rng.choice([1, 2, 3, None]), k, " ".join(rng.choices(["a", "", "bc", "é漢", "ddd"], k=rng.randrange(0, 30)))) for k in range(60)] + [(4, 1, None), (5, 1, ""), (6, 2, "x y")]
+    lines += [(2, 7, "b a"), (2, 7, "a b"), (2, 7, "b a")]  # words at one place go by text
+    height = lambda op, at, size: op % 5 * 0.7 + at % 7 * 0.9 - size * 0.3
+    table = spark.createDataFrame(lines, "key long, op_index int, text string")
+    placed = words.placed_words(table.withColumnRenamed("key", "doc_id")).where("text != ''")
+    placed = placed.withColumn("y", height(F.col("op_index"), F.col("at"), F.length("text"))).where("y > 0.5")
+    want = {}
+    for r in words.anchored_lines(placed.where("doc_id is not null"), "doc_id").collect():
+        want.setdefault((r.doc_id, r.line_y), []).append((r.x0, r.text))
+    want = {k: (len(w), " ".join(t for _, t in sorted(w))) for k, w in want.items()}
+    for most in (words.PAGE_CHARS, 30):
+        monkeypatch.setattr(words, "PAGE_CHARS", most)
+        rows = words.page_lines(table.where("key is not null"), "key", height, lambda y: y > 0.5).collect()
+        assert {(r.key, r.line_y): (r.n, r.text) for r in rows} == want and len(rows) == len(want) > 9
+    assert words.page_lines(table.where("false"), "key", height, lambda y: y > 0).count() == 0
+
+
+def test_band_lines_write_no_rounds_and_equal_sql_on_odd_ids(spark, same, monkeypatch):
+    import tempfile
+
+    import duckdb
+
+    from leafline.plans import registry
+
+    def kept(self, rows):
+        raise AssertionError("a table is written on the way")
+
+    monkeypatch.setattr(Rounds, "kept", kept)
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (0::BIGINT, 'b a c' || chr(10) || 'c  d '), (NULL, 'n m'), (-3, 'x y' || chr(10) || 'z'), (1, NULL), (2, ''), (3, repeat('one two three' || chr(10), 90))) t(doc_id, text)")
+    con.execute(f"COPY documents TO '{folder}/documents.parquet'")
+    same(registry.QUERIES["top_band_lines"](spark, folder), con, registry.ORACLES["top_band_lines"])
+
+
 def test_line_texts_bands_and_regions(spark):
     table = spark.createDataFrame([(1, "b", 5.0, 99.0), (1, "a", 1.0, 98.2), (1, "c", 1.0, 97.1), (1, "d", 0.0, 96.9), (1, " ", 0.0, 50.0)], "doc long, text string, x0 double, y double")
     assert [(r.line, r.text) for r in words.line_texts(table, "doc").orderBy("line").collect()] == [(1, "a b c"), (2, "d")] or [(r.line, r.text) for r in words.line_texts(table, "doc").orderBy("line").collect()] == [(1, "a c b"), (2, "d")]
