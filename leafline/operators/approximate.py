@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -176,48 +177,185 @@ def template_values(rows: DataFrame, keys: list[str], text: str, templates: dict
 # ---- the nearest templates of a text
 
 
+#: Kinds of pairs of characters that are counted apart, counts held for all templates,
+#: clusters of texts, classes of letters, characters of a pack and bits between two of
+#: its texts, how much longer its longest text may be, characters of texts held at once.
+KINDS, COUNTS, CLUSTERS, CLASSES, PACK_CHARS, SPARE, LONGER, HELD_CHARS = 256, 8 << 20, 8, 3, 512 << 10, 8, 1.25, 8 << 20
+#: Fewer of a pack than one in so many are compared at once.
+FEW = 16
+
+
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _pairs(texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of neighbouring characters of all texts, as numbers, and which text each is of."""
+    points, owner = _points(texts).astype(np.int64), np.repeat(np.arange(len(texts)), sizes)
+    inside = np.flatnonzero(np.diff(owner) == 0)
+    return points[inside] << 21 | points[inside + 1], owner[inside]
+
+
+class Pack:
+    """Texts side by side in one integer for each class of letters, for the longest common
+    subsequence of each with another text. A bit is cleared for each letter of the
+    subsequence; the spare bits after a text take the carries of so many steps."""
+
+    def __init__(self, texts: list[str], classes: dict[str, int]):
+        points, sizes = _points(texts), np.array([len(t) for t in texts], np.int64)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        if not len(points) or points.max() < 1 << 16:
+            points = points.astype(np.uint16)  # sorted by radix
+        order = np.argsort(points, kind="stable")
+        edges = np.flatnonzero(np.diff(points[order].astype(np.int64), prepend=-1))
+        letters = [chr(c) for c in points[order[edges]].tolist()]
+        kinds = np.array([classes.get(c, -1) for c in letters], np.int64)
+        kind = np.empty(len(points), np.int64)
+        kind[order] = np.repeat(kinds, np.diff(np.append(edges, len(points))))
+        self.parts = []
+        for which in range(CLASSES):
+            mask = kind == which
+            own = np.bincount(owner[mask], minlength=len(texts))
+            room = (own + SPARE + 7) // 8 * 8
+            starts = np.cumsum(room) - room
+            place, size = np.cumsum(mask) - 1 + (starts - np.cumsum(own) + own)[owner], int(room.sum()) // 8
+            numbers = {}
+            for k in np.flatnonzero(kinds == which).tolist():
+                bits = np.zeros(8 * size, np.uint8)
+                bits[place[order[edges[k] : edges[k + 1] if k + 1 < len(edges) else None]]] = 1
+                numbers[letters[k]] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            self.parts.append((sum(numbers.values()), starts // 8, size, numbers))
+
+    def common(self, text: str) -> np.ndarray:
+        """For each text of the pack a number that its longest common subsequence with
+        another text does not pass: the sum of those of each class of letters alone."""
+        total = 0
+        for full, starts, size, places in self.parts:
+            row, steps = full, [m for m in map(places.get, text) if m is not None]
+            for k in range(0, len(steps), SPARE):
+                for here in steps[k : k + SPARE]:
+                    hit = row & here
+                    row = (row + hit) | (row ^ hit)
+                row &= full
+            cleared = np.bitwise_count(np.frombuffer((row ^ full).to_bytes(size, "little"), np.uint8))
+            total = total + np.add.reduceat(cleared, starts, dtype=np.int64)
+        return total
+
+
 class Grams:
-    """Inverted files of the pairs of characters of templates, with how often each
-    template has them."""
+    """Templates by length, with how often each has each kind of pair of characters."""
 
     def __init__(self, templates: list[str]):
-        self.sizes = np.array([len(t) for t in templates], np.int64)
-        self.lines = Lines(templates)
-        points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) for t in templates]
-        grams = np.concatenate([p[:-1] << 21 | p[1:] for p in points] or [np.zeros(0, np.int64)])
-        owner = np.repeat(np.arange(len(templates)), np.maximum(self.sizes - 1, 0))
-        both, n = np.unique(np.stack([grams, owner]), axis=1, return_counts=True)
-        self.names, self.starts = np.unique(both[0], return_index=True)
-        self.starts = np.append(self.starts, both.shape[1])
-        self.owner, self.times = both[1], n
-
-    def candidates(self, text: str, least: float) -> np.ndarray:
-        """Templates that can reach the score: lengths within reach, and enough common
-        pairs, as each edit spoils two at most."""
-        p = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        longest = np.maximum(self.sizes, len(p))
-        edits = np.floor((1 - least) * longest + 1e-9).astype(np.int64)
-        shared = np.zeros(len(self.sizes), np.int64)
-        own, n = np.unique(p[:-1] << 21 | p[1:], return_counts=True)
-        _, files, mine = np.intersect1d(self.names, own, assume_unique=True, return_indices=True)
-        for g, k in zip(files.tolist(), mine.tolist(), strict=True):
-            at = slice(self.starts[g], self.starts[g + 1])
-            shared[self.owner[at]] += np.minimum(self.times[at], n[k])  # a file names a template once
-        return np.flatnonzero((np.abs(self.sizes - len(p)) <= edits) & (shared >= longest - 1 - 2 * edits))
+        self.order = np.argsort([len(t) for t in templates], kind="stable")
+        self.texts = [templates[k] for k in self.order.tolist()]
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        pairs, owner = _pairs(self.texts, self.sizes)
+        self.names, which, times = np.unique(pairs, return_inverse=True, return_counts=True)
+        # the commonest have kinds of their own, which the others share
+        self.wide = max(16, min(KINDS, COUNTS // max(1, len(templates))))
+        self.kinds = np.empty(len(times), np.int64)
+        self.kinds[np.argsort(-times, kind="stable")] = np.arange(len(times)) % self.wide
+        self.kind = np.uint16 if not len(self.sizes) or self.sizes[-1] < 1 << 16 else np.int64
+        self.counts = self._counted(self.kinds[which], owner, len(self.texts))
+        self.centers = self._centers() if self.texts else np.zeros((1, self.wide), np.float32)
+        mass, self.classes = [0] * CLASSES, {}
+        for c, n in Counter("".join(self.texts)).most_common():
+            self.classes[c] = mass.index(min(mass))
+            mass[self.classes[c]] += n
+
+    def _counted(self, kinds: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        counts = np.bincount(owner * self.wide + kinds, minlength=n * self.wide).reshape(n, self.wide)
+        return np.minimum(counts, np.iinfo(self.kind).max).astype(self.kind)
+
+    def counted(self, texts: list[str], sizes: np.ndarray) -> np.ndarray:
+        """The same of other texts; no more of a kind than a template can have, and no
+        pair that no template has."""
+        pairs, owner = _pairs(texts, sizes)
+        at = np.minimum(np.searchsorted(self.names, pairs), max(0, len(self.names) - 1))
+        known = self.names[at] == pairs if len(self.names) else np.zeros(len(pairs), bool)
+        return self._counted(self.kinds[at[known]], owner[known], len(texts))
+
+    def _centers(self) -> np.ndarray:
+        """Of clusters of the longest templates: those of a language fall together."""
+        some = slice(-1000, None)
+        some = (self.counts[some] / np.maximum(self.sizes[some], 1)[:, None]).astype(np.float32)
+        centers = some[-1:]
+        for turn in range(CLUSTERS + 5):
+            away = (centers**2).sum(axis=1) - 2 * some @ centers.T
+            if turn < CLUSTERS - 1:  # the farthest from all others
+                centers = np.vstack([centers, some[(away.min(axis=1) + (some**2).sum(axis=1)).argmax()]])
+            else:
+                own = away.argmin(axis=1)
+                centers = np.stack([some[own == k].mean(axis=0) if (own == k).any() else c for k, c in enumerate(centers)])
+        return centers
+
+    def packs(self, texts: list[str]):
+        """(places of texts, their counts): of one cluster and about one length each.
+        Nothing but time depends on how texts are put together."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        counts, begin = [np.zeros((0, self.wide), self.kind)], 0
+        ends = np.cumsum(sizes)
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << 20))))
+            counts.append(self.counted(texts[begin:end], sizes[begin:end]))
+            begin = end
+        counts = np.concatenate(counts)
+        label = np.zeros(len(texts), np.int64)
+        for begin in range(0, len(texts), 1000):
+            part = slice(begin, begin + 1000)
+            label[part] = ((self.centers**2).sum(axis=1) - 2 * (counts[part] / np.maximum(sizes[part], 1)[:, None]).astype(np.float32) @ self.centers.T).argmin(axis=1)
+        order, begin = np.lexsort((sizes, label)), 0
+        while begin < len(order):
+            end, chars, first = begin + 1, sizes[order[begin]], order[begin]
+            while end < len(order) and label[order[end]] == label[first] and chars + sizes[order[end]] <= PACK_CHARS and sizes[order[end]] <= LONGER * sizes[first] + 4:
+                chars += sizes[order[end]]
+                end += 1
+            yield order[begin:end], counts[order[begin:end]]
+            begin = end
 
 
 def scored(texts: list[str], grams: Grams, least: float) -> list[tuple[int, int, float, int]]:
-    """(text, template, score, candidates of the text) of all pairs that reach the score."""
-    out = []
-    for k, text in enumerate(texts):
-        found = grams.candidates(text, least)
-        near = [grams.lines.texts[t] for t in found.tolist()]
-        for t, d in zip(found.tolist(), all_distances(near, [text])[:, 0].tolist() if near else [], strict=True):
-            longest = max(len(grams.lines.texts[t]), len(text))
-            score = 1 - d / longest if longest else 0.0
-            if score >= least:
-                out.append((k, t, score, len(found)))
-    return out
+    """(text, template, score, candidates of the text) of all pairs that reach the score.
+    Candidates are of a length within reach and have enough common pairs of characters, as
+    each edit spoils two at most. Those that then have enough common letters in order, as
+    each edit spoils one, are compared: letters of each class alone, which takes a part of
+    the time and tells enough where most letters differ. Few of a pack go without that."""
+    out, looked = [], np.zeros(len(texts), np.int64)
+    for own, counts in grams.packs(texts):
+        held = [texts[k] for k in own.tolist()]
+        sizes, pack = np.array([len(t) for t in held], np.int64), None
+        low, high = np.searchsorted(grams.sizes, [sizes.min() * least - 1, sizes.max() / least + 1])
+        for t in range(low, high):
+            longest = np.maximum(sizes, grams.sizes[t])
+            edits = np.floor((1 - least) * longest + 1e-9).astype(np.int64)
+            shared = np.minimum(counts, grams.counts[t]).sum(axis=1, dtype=np.int32)
+            near = np.flatnonzero((np.abs(sizes - grams.sizes[t]) <= edits) & (shared >= longest - 1 - 2 * edits))
+            if not len(near):
+                continue
+            looked[own[near]] += 1
+            if FEW * len(near) >= len(held):
+                pack = pack or Pack(held, grams.classes)
+                near = near[pack.common(grams.texts[t])[near] >= (longest - edits)[near]]
+            if len(near):
+                for k, d in zip(near.tolist(), all_distances([held[k] for k in near.tolist()], [grams.texts[t]])[:, 0].tolist(), strict=True):
+                    score = 1 - d / int(longest[k]) if longest[k] else 0.0
+                    if score >= least:
+                        out.append((int(own[k]), int(grams.order[t]), score))
+    return [(k, t, score, int(looked[k])) for k, t, score in out]
+
+
+def held_together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+    """The texts of batches, so many at once that those of a length fill packs."""
+    held, chars = [], 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if held and chars + len(text) > HELD_CHARS:
+                yield held
+                held, chars = [], 0
+            held.append(text)
+            chars += len(text)
+    if held:
+        yield held
 
 
 def nearest_templates(rows: DataFrame, text: str, templates: DataFrame, name: str, template: str, top: int = TOP, least: float = LEAST_SCORE) -> DataFrame:
@@ -233,7 +371,8 @@ def nearest_templates(rows: DataFrame, text: str, templates: DataFrame, name: st
     chars = held.agg(F.coalesce(F.sum(F.length(template)), F.lit(0))).first()[0]
     blocks = 1 + chars // BLOCK_CHARS
     kinds = dict(templates.dtypes)
-    asked = bounded(rows.select(text).where(F.length(text) > 0).distinct())
+    # texts of about one length go through a task together, as packs ask for them
+    asked = bounded(rows.select(text).where(F.length(text) > 0).distinct().sortWithinPartitions(F.length(text)))
     found = None
     for block in range(blocks):
         own = held.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == block).orderBy(name).collect()
@@ -241,8 +380,7 @@ def nearest_templates(rows: DataFrame, text: str, templates: DataFrame, name: st
 
         def run(batches, names=names, texts=texts):
             grams = Grams(texts)
-            for batch in batches:
-                lines = batch.column(0).to_pylist()
+            for lines in held_together(batches):
                 hits = scored(lines, grams, least) if texts else []
                 columns = [pa.array([lines[k] for k, _, _, _ in hits], pa.string()), pa.array([names[t] for _, t, _, _ in hits]).cast(kind) if hits else pa.array([], kind)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([s for _, _, s, _ in hits], pa.float64()), pa.array([c for *_, c in hits], pa.int32())], [text, name, "score", "candidates"])

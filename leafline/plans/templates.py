@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import approximate
+from ..operators.storage import Rounds
 from ..sources.content import line_ops, table
 from .documents import LINES
 from .forms import squeezed
@@ -27,9 +28,10 @@ def _forms(spark, sf_dir):
 def nearest_templates(spark, sf_dir):
     """The three templates (lines that several documents have) nearest to each distinct
     line, by edit distance over normal forms, where they are similar enough."""
-    forms = _forms(spark, sf_dir)
-    shared = forms.where("form != ''").groupBy("form").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= SHARED).select(F.col("form").alias("template"))
-    found = approximate.nearest_templates(forms, "form", shared.withColumn("name", F.col("template")), "name", "template")
+    forms = _forms(spark, sf_dir).where("form != ''").groupBy("form").agg(F.countDistinct("doc_id").alias("n"))
+    forms = Rounds(spark).kept(forms)  # made once, read for templates and for lines
+    shared = forms.where(F.col("n") >= SHARED).select(F.col("form").alias("name"), F.col("form").alias("template"))
+    found = approximate.nearest_templates(forms, "form", shared, "name", "template")
     return found.select("form", F.col("name").alias("template"), F.round("score", 6).alias("score"), "rank")
 
 

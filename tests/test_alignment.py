@@ -200,6 +200,43 @@ def test_nearest_templates_equal_brute_force(spark, monkeypatch, block):
     assert all(r.candidates < 9 for r in rows.collect())
 
 
+def test_templates_that_are_not_near_are_not_compared(monkeypatch):
+    """Texts of one language have most pairs of characters in common."""
+    rng = random.Random(8)
+    parts = ["er", "th", "an", "on", "in", "the", "re", " ", "ed ", "st", "at"]
+
+    def edited(t):
+        for _ in range(rng.randrange(0, len(t) * 2 // 5 + 1)):
+            at = rng.randrange(0, len(t) + 1)
+            t = t[:at] + rng.choice(["", "e", "x", "é漢"]) + t[at + rng.randrange(0, 2) :]
+        return t
+
+    templates = ["".join(rng.choices(parts, k=rng.randrange(60, 150))) for _ in range(50)] + ["", "e", "th", "é漢y"]
+    texts = list(dict.fromkeys(t for t in [*templates, *(edited(t) for t in templates * 3), *("".join(rng.choices(parts, k=100)) for _ in range(60))] if t))
+    distance = [align.distances(t, templates) for t in texts]
+    want = {(k, n): 1 - d / max(len(texts[k]), len(templates[n])) for k, row in enumerate(distance) for n, d in enumerate(row)}
+    want = {pair: score for pair, score in want.items() if score >= 0.7}
+    met, plain = [], approximate.all_distances
+    monkeypatch.setattr(approximate, "all_distances", lambda a, b: met.append(len(a) * len(b)) or plain(a, b))
+    assert {(k, n): s for k, n, s, _ in approximate.scored(texts, approximate.Grams(templates), 0.7)} == want and len(want) > 100
+    assert sum(met) < 5 * len(want)  # 574 pairs for 186; before, 7,990
+    for name, value in (("PACK_CHARS", 600), ("FEW", 1), ("KINDS", 16), ("LONGER", 50.0), ("CLASSES", 1)):
+        monkeypatch.setattr(approximate, name, value)
+        assert {(k, n): s for k, n, s, _ in approximate.scored(texts, approximate.Grams(templates), 0.7)} == want
+    assert approximate.scored(texts, approximate.Grams([]), 0.7) == approximate.scored([], approximate.Grams(templates), 0.7) == []
+
+
+def test_common_letters_are_bounded_from_above():
+    rng = random.Random(9)
+    for _ in range(40):
+        texts = ["".join(rng.choices("abcdefé漢", k=rng.randrange(0, 70))) for _ in range(7)]
+        other = "".join(rng.choices("abcdefgé", k=rng.randrange(0, 90)))
+        bound = approximate.Pack(texts, {c: k % approximate.CLASSES for k, c in enumerate("abcdefé")}).common(other)
+        numbers = [[np.array([ord(c) for c in s if "abcdefé".find(c) % approximate.CLASSES == k and c != "漢"]) for s in [*texts, other]] for k in range(approximate.CLASSES)]
+        assert bound.tolist() == [sum(len(align.common(side[i], side[-1])) for side in numbers) for i in range(7)]
+        assert all(b >= len(align.common(*(np.array([ord(c) for c in s if c != "漢"]) for s in (t, other)))) for b, t in zip(bound, texts, strict=True))
+
+
 def test_packed_distances_equal_single_ones():
     rng = random.Random(7)
     for _ in range(60):
